@@ -68,7 +68,10 @@ def concept_totals(
     )
 
     def total(amount: str, h: str, name: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col(h), F.col(amount))), F.lit(0)).alias(name)
+        # A FILTER skips the sum of a line without a hit; sum(when(...)) would read and
+        # write back the decimal of every concept for every line.
+        found = F.expr(f"sum({amount}) FILTER (WHERE {h} AND {amount} IS NOT NULL)")
+        return F.coalesce(found, F.lit(0)).alias(name)
 
     return flagged.groupBy(*by).agg(
         *[total("_cur", h, f"{c.key}_cur") for c, h in zip(concepts, hit)],

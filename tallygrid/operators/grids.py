@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Side of the square tiles in which cells meet their neighbours. A tile is the
 # largest group that one task must sort; its border adds 4/TILE to the shuffle.
-TILE = 64
+TILE = 128
 
 
 def in_grid(i: Column, j: Column, rows: Column, cols: Column) -> Column:
@@ -53,21 +53,31 @@ def average_matrix(cells: DataFrame, keys: Sequence[str] = (), tile: int = TILE)
     added in a fixed order: self, up, down, left, right. Missing cells count as
     outside the grid. ``keys`` name the grid when there are several.
     """
-    i, j, ti, tj = F.col("i"), F.col("j"), _origin("i", tile), _origin("j", tile)
-
-    def copy(when: Column, ti: Column, tj: Column) -> Column:
-        return F.when(when, F.struct(ti.alias("ti"), tj.alias("tj"), F.lit(False).alias("own")))
-
-    copies = F.array_compact(F.array(
-        F.struct(ti.alias("ti"), tj.alias("tj"), F.lit(True).alias("own")),
-        copy(i == ti, ti - tile, tj),
-        copy(i == ti + tile - 1, ti + tile, tj),
-        copy(j == tj, ti, tj - tile),
-        copy(j == tj + tile - 1, ti, tj + tile),
-    ))
+    placed = cells.select(
+        *keys,
+        F.col("i").cast("bigint").alias("i"),
+        F.col("j").cast("bigint").alias("j"),
+        F.col("v").cast("double").alias("v"),
+        _origin("i", tile).alias("oi"),
+        _origin("j", tile).alias("oj"),
+    )
+    i, j, oi, oj = (F.col(c) for c in ("i", "j", "oi", "oj"))
+
+    def copy(ti: Column, tj: Column, own: bool, wanted: Column) -> Column:
+        return F.struct(ti.alias("ti"), tj.alias("tj"), F.lit(own).alias("own"), wanted.alias("wanted"))
+
+    # Five candidates and a filter stay in generated code, unlike a filtered array.
+    copies = F.array(
+        copy(oi, oj, True, F.lit(True)),
+        copy(oi - tile, oj, False, i == oi),
+        copy(oi + tile, oj, False, i == oi + tile - 1),
+        copy(oi, oj - tile, False, j == oj),
+        copy(oi, oj + tile, False, j == oj + tile - 1),
+    )
     tiles = (
-        cells.select(*keys, i.cast("bigint").alias("i"), j.cast("bigint").alias("j"), F.col("v").cast("double").alias("v"))
-        .select(*keys, "i", "j", "v", F.inline(copies))
+        placed.select(*keys, "i", "j", "v", F.inline(copies))
+        .filter("wanted")
+        .drop("wanted")
         .repartition(*keys, "ti", "tj")
     )
     down_columns = Window.partitionBy(*keys, "ti", "tj", "j").orderBy("i")
@@ -103,16 +113,25 @@ def average_rows(matrix: DataFrame, row: str = "i", values: str = "vs", tile: in
     from a window inside bands of ``tile`` rows, so whole rows are shuffled once and
     cells are never taken apart.
     """
-    band = _origin(row, tile)
-    r = F.col(row)
-    copies = F.array_compact(F.array(
-        F.struct(band.alias("band"), F.lit(True).alias("own")),
-        F.when(r == band, F.struct((band - tile).alias("band"), F.lit(False).alias("own"))),
-        F.when(r == band + tile - 1, F.struct((band + tile).alias("band"), F.lit(False).alias("own"))),
-    ))
+    r, first = F.col(row), F.col("first")
+
+    def copy(band: Column, own: bool, wanted: Column) -> Column:
+        return F.struct(band.alias("band"), F.lit(own).alias("own"), wanted.alias("wanted"))
+
+    copies = F.array(
+        copy(first, True, F.lit(True)),
+        copy(first - tile, False, r == first),
+        copy(first + tile, False, r == first + tile - 1),
+    )
     bands = (
-        matrix.select(r.cast("bigint").alias(row), F.col(values).cast("array<double>").alias(values))
+        matrix.select(
+            r.cast("bigint").alias(row),
+            F.col(values).cast("array<double>").alias(values),
+            _origin(row, tile).alias("first"),
+        )
         .select(row, values, F.inline(copies))
+        .filter("wanted")
+        .drop("wanted")
         .repartition("band")
     )
     window = Window.partitionBy("band").orderBy(row)

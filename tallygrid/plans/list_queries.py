@@ -73,9 +73,14 @@ def nullable_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_sum(documents.join(quality, "doc_id", "left"), "total", by=["source"])
 
 
+def _word_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number lists of the size of the data: the word lengths of each document."""
+    return table(spark, sf_dir, "documents").select("doc_id", words.make_lengths(text_words()).alias("lengths"))
+
+
 def list_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lengths = words.make_lengths(text_words())
-    return table(spark, sf_dir, "documents").select(
+    lengths = F.col("lengths")
+    return _word_lengths(spark, sf_dir).select(
         "doc_id",
         numbers.list_sum(lengths, numbers.is_even).alias("evens"),
         numbers.list_sum(lengths, lambda x: numbers.is_multiple(x, 3)).alias("multiples_of_3"),
@@ -84,8 +89,8 @@ def list_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def number_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lengths = words.make_lengths(text_words())
-    return table(spark, sf_dir, "documents").select(
+    lengths = F.col("lengths")
+    return _word_lengths(spark, sf_dir).select(
         "doc_id",
         joined(numbers.select_even(lengths), "evens"),
         joined(numbers.sum_mult_of_3(lengths), "multiples_of_3"),
@@ -112,7 +117,7 @@ def text_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", joined(words.make_lengths(text_words()), "lengths"))
+    return _word_lengths(spark, sf_dir).select("doc_id", joined(F.col("lengths"), "lengths"))
 
 
 def characters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,12 +142,12 @@ def vowel_infix_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").select("doc_id", text_words().alias("words")).select(
         "doc_id",
-        joined(words.select_long_words(8, text_words()), "long_words"),
-        joined(words.select_starts_letter("a", text_words()), "letter_words"),
-        joined(words.select_contains("en", text_words()), "containing"),
-        joined(words.select_starts("re", text_words()), "prefixed"),
+        joined(words.select_long_words(8, "words"), "long_words"),
+        joined(words.select_starts_letter("a", "words"), "letter_words"),
+        joined(words.select_contains("en", "words"), "containing"),
+        joined(words.select_starts("re", "words"), "prefixed"),
     )
 
 

@@ -1,0 +1,104 @@
+from decimal import Decimal
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tallygrid.functions import numbers as N
+from tallygrid.operators.lists import flat_sum, update_salaries
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        (None, "0"), ("", "0"), (" ", "0"), (";", "0"), (" ; ", "0"),
+        ("679861,1", "679861.1"), ("679.861,10", "679861.1"), ("-5305", "-5305"), ("0", "0"), ("12,5;", "12.5"),
+        ("1.234.567", "1234567"), ("+3,5", "3.5"), (",5", "0.5"), ("5,", "5"),
+        ("abc", "0"), ("12 €", "0"), ("1 234", "0"), ("1,2,3", "0"), ("-", "0"), (",", "0"),
+        ("1,234.56", "1.23456"), ("1_000", "1000"), ("_1", "0"), ("1__0", "0"), ("1_0,5", "10.5"),
+        ("1d", "0"), ("1f", "0"), ("1e5", "100000"), ("1,5e3", "1500"), ("1,00005", "1.00005"),
+        ("\t7", "7"), (" 7 ", "7"), ("\x1f7", "7"), ("　7\n", "7"), ("1 000", "0"),
+        ("inf", "0"), ("nan", "0"), ("9.999.999.999.999.999,99", "9999999999999999.99"),
+    ],
+)
+def test_clean_amount(one, text, expected):
+    assert one(N.clean_amount(F.lit(text).cast("string"))) == Decimal(expected)
+
+
+def test_clean_amount_handles_many_values_at_once(spark):
+    df = spark.createDataFrame([("1.000,5",), ("x",), (None,), ("2_0",)], "t string").repartition(3)
+    assert df.agg(F.sum(N.clean_amount("t"))).first()[0] == Decimal("1020.5")
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.decimals(-(10**13), 10**13, places=2), min_size=1, max_size=60))
+def test_cleaning_spanish_text_returns_the_number(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v decimal(18,2)")
+    text = N.spanish_number("v")
+    wrong = df.select("v", text.alias("t"), N.clean_amount(text).alias("back")).filter("back <> v")
+    assert wrong.collect() == []
+
+
+def ints(*values):
+    return F.lit(list(values)) if values else F.array().cast("array<int>")
+
+
+def test_number_selectors(one):
+    assert one(N.sum_mult_of_3(ints(1, 2, 3, 4, 5, 6))) == [3, 6]
+    assert one(N.select_even(ints(1, 2, 3, 4, 5, 6))) == [2, 4, 6]
+    assert one(N.select_even(ints(-2, -1, 0))) == [-2, 0]
+    assert one(N.select_bigger(4, ints(2, 3, 7, 1, 0, 9, 10, 13))) == [7, 9, 10, 13]
+    assert one(N.select_bigger(4, ints())) == []
+    assert one(N.select_bigger(4, F.lit([1.0, float("nan"), 5.0]))) == [5.0]
+    assert one(N.select_mult_5(ints(1, 2, 5, 10, 9, 3, 20, 30))) == [5, 10, 20, 30]
+    assert one(N.add(F.lit(2), F.lit(2))) == 4
+
+
+def test_selectors_drop_nulls(one):
+    assert one(N.select_even(F.array(F.lit(2), F.lit(None), F.lit(3)))) == [2]
+
+
+def test_list_sums(one):
+    assert one(N.list_sum(ints(1, 2, 3, 4, 6), N.is_even)) == 12
+    assert one(N.list_sum(ints(1, 2, 3, 4, 5, 6), lambda x: N.is_multiple(x, 3))) == 9
+    assert one(N.list_sum(F.array(*[F.lit(x) for x in (2, 3, 6, 3, None, 4)]))) == 18
+    assert one(N.list_sum(ints())) == 0
+    assert one(N.list_sum(F.lit([1.5, 2.0]), total_type="double")) == 3.5
+
+
+def test_column_sums(spark):
+    df = spark.createDataFrame([(x,) for x in (1, 2, 3, 4, 6, None)], "x bigint")
+    row = df.agg(
+        N.sum_even("x").alias("even"), N.total_mult_of_3("x").alias("threes"), N.sum_present("x").alias("all")
+    ).first()
+    assert tuple(row) == (12, 9, 16)
+    empty = df.filter("x > 100").agg(N.sum_even("x"), N.total_mult_of_3("x"), N.sum_present("x")).first()
+    assert tuple(empty) == (0, 0, 0)
+
+
+def test_wide_total_does_not_overflow(spark):
+    df = spark.createDataFrame([(2**62,)] * 4, "x bigint")
+    assert df.agg(N.sum_even("x", "decimal(20,0)")).first()[0] == 2**64
+
+
+def test_flat_sum(spark):
+    df = spark.createDataFrame([(x,) for x in (2, 3, 6, 3, None, 4)], "x int")
+    assert flat_sum(df, "x").first().total == 18
+    assert flat_sum(df, "x", ints_only=True).first().total == 18
+    floats = spark.createDataFrame([(1.5,), (None,), (2.0,)], "x double")
+    assert flat_sum(floats, "x").first().total == 3.5
+    assert flat_sum(floats, "x", ints_only=True).first().total == 0
+
+
+SALARIES = [(4000, 4000), (2000, 2000), (4500, 4500), (7000, 14000), (500, 650), (899, 1168.7), (900, 1008),
+            (1499, 1678.88), (1500, 1500), (5999, 5999), (6000, None), (6001, 12002), (-10, -13)]
+
+
+def test_salaries(spark, one):
+    pays = [float(p) for p, _ in SALARIES]
+    expected = [r for _, r in SALARIES if r is not None]
+    assert one(N.update_salaries(F.lit([*pays, float("nan")]))) == pytest.approx(expected)
+    rows = update_salaries(spark.createDataFrame([(p,) for p in [*pays, float("nan")]], "pay double"), "pay")
+    assert sorted(r.revised for r in rows.collect()) == pytest.approx(sorted(expected))
+    assert 6000.0 in one(N.update_salaries(F.lit(pays), keep_gap=True))

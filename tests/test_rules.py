@@ -1,0 +1,163 @@
+import json
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallygrid.operators import close_rules as R
+from tallygrid.operators.concepts import CONCEPTS
+from tallygrid.operators.letters import CLOSING, SECTIONS, letter_bodies, prompt_rows, summary_json
+from tallygrid.sources.letters import wrap_letter, write_letters
+from tests.ledger_files import FILLED_SUMMARY
+
+YEARS = (2025, 2024)
+KEYS = {c.name: c.key for c in CONCEPTS}
+FILLED = {KEYS[name]: amounts for name, amounts in FILLED_SUMMARY.items()}
+
+
+def totals(spark, *clients):
+    """Totals of clients given as ``{key: (current, previous)}``; the rest is 0."""
+    columns = [f"{c.key}_{end}" for c in CONCEPTS for end in ("cur", "prev")]
+    rows = [
+        (f"c{n}", *[Decimal(str(x)) for c in CONCEPTS for x in client.get(c.key, (0, 0))])
+        for n, client in enumerate(clients)
+    ]
+    return spark.createDataFrame(rows, "client string, " + ", ".join(f"{c} decimal(38,6)" for c in columns))
+
+
+@pytest.fixture
+def rule(spark):
+    """Value of a rule for one client."""
+    return lambda column, **amounts: totals(spark, amounts).select(column.alias("v")).first().v
+
+
+def test_changes_of_the_filled_ledger(rule):
+    assert rule(R.change_pct("ventas"), **FILLED) == 25.74
+    assert rule(R.change_pct("gastos"), **FILLED) == 20.46
+    assert rule(R.change_pct("gastos_financieros"), **FILLED) == 156.58
+    assert round(rule(R.effective_rate(), **FILLED), 4) == 0.23
+    assert round(rule(R.margin(), **FILLED), 4) == 0.1644
+    assert rule(R.tax_rate(), **FILLED) == 0.23
+    assert rule(R.main_driver(), **FILLED) == "Ventas"
+    assert rule(R.screening(), **FILLED) == "review"
+
+
+def test_change(rule):
+    assert rule(R.change_pct("ventas"), ventas=(10, 0)) is None
+    assert rule(R.change_pct("gastos"), gastos=(-150, -100)) == 50.0
+    assert rule(R.change_pct("gastos"), gastos=(150, -100)) == 50.0
+    assert rule(R.change_pct("resultado"), resultado=(50, -100)) == 150.0
+    assert rule(R.change_pct("resultado"), resultado=(-150, -100)) == -50.0
+
+
+@pytest.mark.parametrize("sales, rate", [(999_999.99, 0.23), (1_000_000, 0.25), (1_000_000.01, 0.25), (0, 0.23)])
+def test_tax_rate(rule, sales, rate):
+    assert rule(R.tax_rate(), ventas=(sales, 0)) == rate
+
+
+def test_rates_without_a_base_are_null(rule):
+    assert rule(R.margin()) is None
+    assert rule(R.effective_rate()) is None
+
+
+def test_false_self_employed(rule):
+    alert = R.false_self_employed()
+    assert rule(alert, profesionales=(-60_000, 0)) is True
+    assert rule(alert, profesionales=(60_000, 0)) is True
+    assert rule(alert, profesionales=(-60_000, 0), salarios=(-1, 0)) is False
+    assert rule(alert, profesionales=(-50_000, 0)) is False
+    assert rule(R.false_self_employed(R.Thresholds(min_professionals=10)), profesionales=(-11, 0)) is True
+
+
+@pytest.mark.parametrize(
+    "key, alert, limit",
+    [("arrendamientos", "rent", 10), ("suministros", "utilities", 25), ("amortizaciones", "amortization", 25)],
+)
+def test_stability(rule, key, alert, limit):
+    alert = getattr(R, f"{alert}_alert")()
+    assert rule(alert, **{key: (-100 - limit, -100)}) is False
+    assert rule(alert, **{key: (-101 - limit, -100)}) is True
+    assert rule(alert, **{key: (-100 + limit, -100)}) is False
+    assert rule(alert, **{key: (-99 + limit, -100)}) is True
+    assert rule(alert, **{key: (-50, 0)}) is False
+    assert rule(alert, **{key: (0, -100)}) is True
+
+
+def test_new_assets(rule):
+    assert rule(R.new_assets(), amortizaciones=(-11, -10)) is True
+    assert rule(R.new_assets(), amortizaciones=(-10, -10)) is False
+
+
+def test_financing(rule):
+    key = "gastos_financieros"
+    assert rule(R.financing_alert(), **{key: (-151, -100)}) is True
+    assert rule(R.financing_alert(), **{key: (-150, -100)}) is False
+    assert rule(R.financing_alert(), **{key: (-10, -100)}) is False
+    assert rule(R.financing_alert(), **{key: (-1, 0)}) is True
+    assert rule(R.financing_alert(), **{key: (0, 0)}) is False
+
+
+def test_main_driver(rule):
+    assert rule(R.main_driver(), ventas=(1, 0), gastos=(-5, -1), impuesto=(100, 0)) == "Gastos"
+    assert rule(R.main_driver(), ventas=(1, 0), gastos=(-1, 0)) == "Ventas"
+
+
+def test_screening(rule):
+    assert rule(R.screening(), ventas=(100, 50), gastos=(-90, -10)) == "stable"
+    assert rule(R.screening(), amortizaciones=(-200, -100)) == "review"
+    assert rule(R.screening(R.Thresholds(amortization_pct=200)), amortizaciones=(-200, -100)) == "stable"
+
+
+def test_rules_do_not_shuffle(spark):
+    df = R.with_changes(totals(spark, FILLED), YEARS)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == 10
+    assert R.with_alerts(totals(spark, FILLED)).first().asDict() == {
+        "client": "c0", "false_self_employed": True, "rent_alert": False, "utilities_alert": False,
+        "new_assets": True, "financing_alert": True,
+    }
+
+
+def test_letter(spark):
+    body = letter_bodies(totals(spark, FILLED, {}), YEARS).orderBy("client").collect()[0].body
+    titles = [line[1:-1] for line in body.splitlines() if line.startswith("[")]
+    assert titles == list(SECTIONS)
+    for part in (
+        "Ventas: 540.678,43 € en 2024, 679.861,10 € en 2025 (+25,74%).",
+        "Gastos: -243.856,74 € en 2024, -293.751,27 € en 2025 (+20,46%).",
+        "tipo reducido del 23%",
+        "falsos autónomos",
+        "Gastos financieros: -1.503,17 € en 2024, -3.856,76 € en 2025 (+156,58%). Aumento significativo",
+        "El impuesto aumenta sobre todo por la variación de: Ventas.",
+    ):
+        assert part in body
+    assert body.endswith(CLOSING)
+
+
+def test_letter_of_an_empty_ledger_has_every_section(spark):
+    body = letter_bodies(totals(spark, {}), YEARS).first().body
+    assert [line[1:-1] for line in body.splitlines() if line.startswith("[")] == list(SECTIONS)
+    assert "sin comparación" in body and "No aplica." in body
+
+
+def test_farewell_appears_once(one):
+    assert one(wrap_letter(F.lit("Texto."))) == "Estimado cliente,\n\nTexto.\n\nUn saludo."
+    assert one(wrap_letter(F.lit("Fin.\nUn saludo y gracias."))) == "Estimado cliente,\n\nFin.\nUn saludo y gracias."
+
+
+def test_letters_are_written_by_client(spark, tmp_path):
+    bodies = letter_bodies(totals(spark, FILLED, {}), YEARS)
+    write_letters(bodies, str(tmp_path / "out"))
+    expected = {r.client: r.letter for r in bodies.select("client", wrap_letter("body").alias("letter")).collect()}
+    for client, letter in expected.items():
+        (file,) = (tmp_path / "out" / f"client={client}").glob("*.txt")
+        assert file.read_text(encoding="utf-8") == letter + "\n"
+    with pytest.raises(Exception, match="already exists"):
+        write_letters(bodies, str(tmp_path / "out"))
+
+
+def test_prompt(spark):
+    row = totals(spark, FILLED).select(summary_json(YEARS).alias("j")).first()
+    assert json.loads(row.j)["Ventas"] == {"2025": 679861.10, "2024": 540678.43}
+    prompt = prompt_rows(totals(spark, FILLED), YEARS).first().prompt
+    assert row.j in prompt and all(f"[{s}]" in prompt for s in SECTIONS)
