@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.functions.labels import label_matches
+from tallygrid.functions.numbers import AMOUNT_TYPE
+from tallygrid.session import stored
 
 
 class Concept(NamedTuple):
@@ -33,8 +35,10 @@ CONCEPTS = (
     Concept("resultado", "Resultado", r"D\) RESULTADO DEL"),
 )
 
-# Concepts per scan. Each one adds two sums to the aggregate.
+# Up to this many concepts are added up side by side in one scan.
 CONCEPTS_PER_SCAN = 25
+# Patterns tried on the distinct labels in one projection.
+PATTERNS_PER_PASS = 100
 # A pattern table is configuration; a larger one points to the wrong input.
 MAX_PATTERNS = 10_000
 
@@ -115,15 +119,62 @@ def concept_summary(
 ) -> DataFrame:
     """Summary of long lines for any number of concepts.
 
-    Up to ``CONCEPTS_PER_SCAN`` concepts take one scan; a longer list takes one scan
-    per batch, since a single aggregate of hundreds of sums would leave codegen.
+    A short list is tried on every line in one scan. A longer list is tried on the
+    distinct labels only, in a job of its own, and joined back to the lines.
     """
+    if len(concepts) > CONCEPTS_PER_SCAN:
+        return _summary_by_label(lines, years, by, concepts, anchored)
     current, previous = (year_amount(y) for y in years)
-    parts = [
-        to_summary(concept_totals(lines, current, previous, by, batch, anchored), years, by, batch)
-        for batch in batched(concepts, CONCEPTS_PER_SCAN)
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return to_summary(concept_totals(lines, current, previous, by, concepts, anchored), years, by, concepts)
+
+
+def _summary_by_label(
+    lines: DataFrame,
+    years: tuple[int, int],
+    by: Sequence[str],
+    concepts: Sequence[Concept],
+    anchored: bool,
+) -> DataFrame:
+    labels = lines.select("label").distinct()
+
+    def hits(batch: Sequence[tuple[int, Concept]]) -> Column:
+        tried = [F.when(label_matches("label", c.pattern, anchored), F.lit(n)) for n, c in batch]
+        return F.array_compact(F.array(*tried))
+
+    # The distinct labels are shuffled once; every batch of patterns reuses them.
+    matched = reduce(
+        DataFrame.unionByName,
+        [
+            labels.select("label", F.explode(hits(batch)).alias("n"))
+            for batch in batched(enumerate(concepts), PATTERNS_PER_PASS)
+        ],
+    )
+    # Stored, so that the lines are shuffled only if the matches are known to be too
+    # large to broadcast; adaptive execution then splits a label many lines share.
+    matched = stored(matched, "label-matches")
+    cur, prev = (f"y{y}" for y in years)
+    amounts = lines.select(
+        *by, "label", year_amount(years[0]).alias(cur), year_amount(years[1]).alias(prev)
+    )
+    found = amounts.join(matched, "label").select(*by, "n", cur, prev)
+    nothing = F.lit(0).cast(AMOUNT_TYPE)
+    everyone = (
+        lines.select(*by)
+        .distinct()
+        .select(
+            *by,
+            F.explode(F.sequence(F.lit(0), F.lit(len(concepts) - 1))).alias("n"),
+            nothing.alias(cur),
+            nothing.alias(prev),
+        )
+    )
+    names = F.array(*[F.lit(c.name) for c in concepts])
+    return (
+        found.unionByName(everyone)
+        .groupBy(*by, "n")
+        .agg(*[F.coalesce(F.sum(y), nothing).cast("double").alias(y) for y in (cur, prev)])
+        .select(*by, F.get(names, F.col("n")).alias("concept"), cur, prev)
+    )
 
 
 def concepts_from_table(patterns: DataFrame) -> list[Concept]:

@@ -120,11 +120,21 @@ def test_concepts_may_overlap(spark):
     assert got[("a", "Salarios")] == got[("a", "Profesionales (6230)")] == (5.0, 0.0)
 
 
-def test_pattern_table_of_any_length(spark):
-    patterns = spark.createDataFrame([(f"c{n}", f"^{n} ") for n in range(60)], "concept string, pattern string")
-    df = lines(spark, [("a", f"{n} x", 2025, n) for n in range(60)])
+@pytest.mark.parametrize("size", [5, 26, 230])
+def test_pattern_table_of_any_length(spark, size):
+    patterns = spark.createDataFrame([(f"c{n}", f"^{n} ") for n in range(size)], "concept string, pattern string")
+    df = lines(spark, [(c, f"{n} x", 2025, n) for n in range(size) for c in "ab"] + [("c", None, 2024, 1)])
     got = as_dict(concept_summary(df, YEARS, concepts=concepts_from_table(patterns)))
-    assert got == {("a", f"c{n}"): (float(n), 0.0) for n in range(60)}
+    expected = {(c, f"c{n}"): (float(n) if c in "ab" else 0.0, 0.0) for n in range(size) for c in "abc"}
+    assert got == expected
+
+
+def test_long_and_short_lists_agree(spark, folder, monkeypatch):
+    long = to_long(read_ledgers(spark, folder))
+    short = as_dict(concept_summary(long, YEARS))
+    monkeypatch.setattr("tallygrid.operators.concepts.CONCEPTS_PER_SCAN", 3)
+    monkeypatch.setattr("tallygrid.operators.concepts.PATTERNS_PER_PASS", 4)
+    assert as_dict(concept_summary(long, YEARS)) == short
 
 
 def test_pattern_table_is_checked(spark):
