@@ -83,11 +83,28 @@ def concept_totals(
     )
 
 
+def year_totals(
+    lines: DataFrame,
+    years: tuple[int, int],
+    by: Sequence[str] = ("client",),
+    concepts: Sequence[Concept] = CONCEPTS,
+    anchored: bool = False,
+) -> DataFrame:
+    """:func:`concept_totals` of long lines. Other years are filtered out first, so
+    that a table partitioned by year reads two of its folders."""
+    current, previous = (year_amount(y) for y in years)
+    return concept_totals(_of_years(lines, years), current, previous, by, concepts, anchored)
+
+
+def _of_years(lines: DataFrame, years: tuple[int, int]) -> DataFrame:
+    return lines.filter(F.col("year").isin(*years))
+
+
 def pattern_total(
-    lines: DataFrame, pattern: str, current: Column, previous: Column, by: Sequence[str] = ("client",)
+    lines: DataFrame, pattern: str, years: tuple[int, int], by: Sequence[str] = ("client",)
 ) -> DataFrame:
-    """Totals ``cur`` and ``prev`` of the lines whose label matches one pattern."""
-    totals = concept_totals(lines, current, previous, by, [Concept("c", "c", pattern)])
+    """Totals ``cur`` and ``prev`` of the long lines whose label matches one pattern."""
+    totals = year_totals(lines, years, by, [Concept("c", "c", pattern)])
     return totals.withColumnsRenamed({"c_cur": "cur", "c_prev": "prev"})
 
 
@@ -123,9 +140,8 @@ def concept_summary(
     distinct labels only, in a job of its own, and joined back to the lines.
     """
     if len(concepts) > CONCEPTS_PER_SCAN:
-        return _summary_by_label(lines, years, by, concepts, anchored)
-    current, previous = (year_amount(y) for y in years)
-    return to_summary(concept_totals(lines, current, previous, by, concepts, anchored), years, by, concepts)
+        return _summary_by_label(_of_years(lines, years), years, by, concepts, anchored)
+    return to_summary(year_totals(lines, years, by, concepts, anchored), years, by, concepts)
 
 
 def _summary_by_label(

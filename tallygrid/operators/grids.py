@@ -20,23 +20,34 @@ def _as_column(bound: Column | str | int) -> Column:
     return F.col(bound) if isinstance(bound, str) else bound if isinstance(bound, Column) else F.lit(bound)
 
 
+# Steps to the neighbours in their order: up, down, left, right.
+STEPS = ((-1, 0), (1, 0), (0, -1), (0, 1))
+
+
 def valid_neighbors(
     i: Column | str, j: Column | str, rows: Column | str | int, cols: Column | str | int
 ) -> Column:
-    """Array of the direct neighbours inside the grid: up, down, left, right."""
+    """Array of the direct neighbours inside the grid, in the order of the steps."""
     i, j, rows, cols = (_as_column(c) for c in (i, j, rows, cols))
-    around = F.array(*[
-        F.struct((i + di).alias("i"), (j + dj).alias("j")) for di, dj in ((-1, 0), (1, 0), (0, -1), (0, 1))
-    ])
+    around = F.array(*[F.struct((i + di).alias("i"), (j + dj).alias("j")) for di, dj in STEPS])
     return F.filter(around, lambda c: in_grid(c["i"], c["j"], rows, cols))
 
 
 def get_valid_neighbors(
     cells: DataFrame, rows: Column | str | int, cols: Column | str | int, keep: Sequence[str] = ("i", "j")
 ) -> DataFrame:
-    """One row per cell and neighbour: ``pos`` (order), ``ni``, ``nj``."""
-    found = F.posexplode(valid_neighbors("i", "j", rows, cols)).alias("pos", "n")
-    return cells.select(*keep, found).select(*keep, "pos", F.col("n.i").alias("ni"), F.col("n.j").alias("nj"))
+    """One row per cell and neighbour: ``pos`` (place in the list), ``ni``, ``nj``.
+
+    Row form of :func:`valid_neighbors`; without an array to filter it stays in
+    generated code.
+    """
+    i, j, rows, cols = F.col("i"), F.col("j"), _as_column(rows), _as_column(cols)
+    inside = [in_grid(i + di, j + dj, rows, cols) for di, dj in STEPS]
+    pos, around = F.lit(0), []
+    for (di, dj), ok in zip(STEPS, inside):
+        around.append(F.struct(pos.alias("pos"), (i + di).alias("ni"), (j + dj).alias("nj"), ok.alias("ok")))
+        pos = pos + F.when(ok, 1).otherwise(0)
+    return cells.select(*keep, F.inline(F.array(*around))).filter("ok").drop("ok")
 
 
 def _origin(c: str, size: int) -> Column:

@@ -9,11 +9,10 @@ from tallygrid.operators import close_rules as rules
 from tallygrid.operators.concepts import (
     CONCEPTS,
     concept_summary,
-    concept_totals,
     concepts_from_table,
     pattern_total,
     to_summary,
-    year_amount,
+    year_totals,
 )
 from tallygrid.operators.letters import CLOSING, SECTIONS, letter_bodies, prompt_rows
 from tallygrid.plans.close import folder_totals
@@ -33,7 +32,7 @@ def totals(spark: SparkSession, sf_dir: str, by: str = "client") -> DataFrame:
     lines = ledger(spark, sf_dir)
     if by != "client":
         lines = lines.withColumn("client", F.col(by))
-    return concept_totals(lines, year_amount(CUR), year_amount(PREV))
+    return year_totals(lines, YEARS)
 
 
 def ledger_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +40,7 @@ def ledger_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pattern_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pattern_total(ledger(spark, sf_dir), "640|642", year_amount(CUR), year_amount(PREV))
+    found = pattern_total(ledger(spark, sf_dir), "640|642", YEARS)
     return found.select("client", F.col("cur").cast("double").alias("cur"), F.col("prev").cast("double").alias("prev"))
 
 

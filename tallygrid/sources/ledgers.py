@@ -65,6 +65,14 @@ def to_long(wide: DataFrame, keys: Sequence[str] = ("client",)) -> DataFrame:
     )
 
 
+def land_ledgers(long: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Keep long lines as Parquet, a folder per year, for ledgers read more than once.
+
+    Each task writes one file per year it holds; nothing is shuffled.
+    """
+    long.write.mode(mode).partitionBy("year").parquet(path)
+
+
 def read_mixed_ledgers(
     spark: SparkSession, path: str | list[str], client: Column | None = None
 ) -> DataFrame:

@@ -97,6 +97,9 @@ def test_no_tile_grows_with_the_grid(spark):
 def neighbours(spark, i, j, rows, cols):
     one = spark.createDataFrame([(i, j)], "i int, j int")
     found = G.get_valid_neighbors(one, rows, cols).orderBy("pos").collect()
+    assert [r.pos for r in found] == list(range(len(found)))
+    listed = one.select(G.valid_neighbors("i", "j", rows, cols).alias("n")).first().n
+    assert [tuple(n) for n in listed] == [(r.ni, r.nj) for r in found]
     return [(r.ni, r.nj) for r in found]
 
 

@@ -7,14 +7,13 @@ from tallygrid.operators.concepts import (
     CONCEPTS,
     Concept,
     concept_summary,
-    concept_totals,
     concepts_from_table,
     pattern_total,
     to_summary,
-    year_amount,
+    year_totals,
 )
 from tallygrid.plans.close import close_folder, folder_totals
-from tallygrid.sources.ledgers import read_ledgers, read_mixed_ledgers, to_long, trim_header, year_columns
+from tallygrid.sources.ledgers import land_ledgers, read_ledgers, read_mixed_ledgers, to_long, trim_header, year_columns
 from tests.ledger_files import EMPTY, FILLED, FILLED_SUMMARY, write
 
 YEARS = (2025, 2024)
@@ -102,9 +101,19 @@ def lines(spark, rows):
     )
 
 
+def test_landed_ledger_reads_only_the_years_it_needs(spark, tmp_path):
+    path = str(tmp_path / "landed")
+    land_ledgers(lines(spark, [("a", "6230", y, y) for y in (2022, 2023, 2024, 2025)]), path)
+    landed = spark.read.parquet(path)
+    summary = concept_summary(landed, YEARS)
+    scan = summary._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [year" in scan.replace("isnotnull(", "")
+    assert as_dict(summary)[("a", "Profesionales (6230)")] == (2025.0, 2024.0)
+
+
 def test_pattern_total(spark):
     df = lines(spark, [("a", "6230 X", 2025, 1.25), ("a", "16230", 2024, 2), ("a", None, 2025, 9), ("b", "7", 2025, 4)])
-    got = pattern_total(df, "6230", year_amount(2025), year_amount(2024))
+    got = pattern_total(df, "6230", YEARS)
     assert {r.client: (float(r["cur"]), float(r["prev"])) for r in got.collect()} == {"a": (1.25, 2.0), "b": (0.0, 0.0)}
 
 
@@ -135,6 +144,12 @@ def test_long_and_short_lists_agree(spark, folder, monkeypatch):
     monkeypatch.setattr("tallygrid.operators.concepts.CONCEPTS_PER_SCAN", 3)
     monkeypatch.setattr("tallygrid.operators.concepts.PATTERNS_PER_PASS", 4)
     assert as_dict(concept_summary(long, YEARS)) == short
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert as_dict(concept_summary(long, YEARS)) == short
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
 def test_pattern_table_is_checked(spark):
@@ -154,7 +169,7 @@ def test_hot_client_is_added_up_before_the_shuffle(spark):
         F.lit(2025).alias("year"),
         F.lit("0.01").cast("decimal(28,6)").alias("amount"),
     )
-    totals = concept_totals(rows, year_amount(2025), year_amount(2024))
+    totals = year_totals(rows, YEARS)
     plan = totals._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "partial_sum" in plan
     assert {r.client: r.profesionales_cur for r in totals.collect()}["hot"] == Decimal("810")
