@@ -229,7 +229,7 @@ ORACLES = {
         SELECT x FROM (SELECT unnest(range(min(o_orderkey), max(o_orderkey) + 1)) AS x FROM orders)
         WHERE x % 2 = 0""",
     "even_range_lists": """
-        SELECT p_partkey, len(l) AS n, array_to_string(l, ',') AS evens
+        SELECT p_partkey, len(l)::INTEGER AS n, array_to_string(l, ',') AS evens
         FROM (SELECT p_partkey, list_filter(range(p_size, p_partkey % 60 + 1), lambda x: x % 2 = 0) AS l FROM part)""",
     "select_even": _multiples_sql(2),
     "select_mult_3": _multiples_sql(3),
@@ -261,10 +261,10 @@ ORACLES = {
         FROM (SELECT vec_id, generate_subscripts(pay, 1) AS pos, unnest(pay) AS x
               FROM (SELECT vec_id, list_transform(embedding, lambda e: abs(e::DOUBLE) * 20000) AS pay
                     FROM embeddings))""",
-    "text_lengths": "SELECT doc_id, length(text) AS n FROM documents",
+    "text_lengths": "SELECT doc_id, length(text)::INTEGER AS n FROM documents",
     "word_lengths": f"SELECT doc_id, array_to_string({_LENGTHS}, ',') AS lengths FROM documents",
     "characters": """
-        SELECT doc_id, length(text) AS n, array_to_string(string_split(text, ''), '|') AS chars
+        SELECT doc_id, length(text)::INTEGER AS n, array_to_string(string_split(text, ''), '|') AS chars
         FROM documents""",
     "vowel_infix": f"""
         SELECT p_partkey, {_infix_sql("p")} AS p_sentence, {_infix_sql("l")} AS l_sentence,

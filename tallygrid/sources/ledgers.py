@@ -82,7 +82,7 @@ def read_mixed_ledgers(
     joined to that file's lines. The header side holds one row per file; when one
     file holds much of the data, adaptive execution splits its lines in the join.
     """
-    first = F.regexp_replace(F.trim(F.ltrim(F.col("value"))), "^﻿", "")
+    first = F.regexp_replace(F.trim(F.ltrim(F.col("value"))), "^\ufeff", "")
     names = F.transform(F.split(first, ";"), lambda c: F.trim(F.btrim(F.trim(c), F.lit('"'))))
     headers = (
         spark.read.text(path)

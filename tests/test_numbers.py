@@ -18,7 +18,7 @@ from tallygrid.operators.lists import flat_sum, update_salaries
         ("abc", "0"), ("12 €", "0"), ("1 234", "0"), ("1,2,3", "0"), ("-", "0"), (",", "0"),
         ("1,234.56", "1.23456"), ("1_000", "1000"), ("_1", "0"), ("1__0", "0"), ("1_0,5", "10.5"),
         ("1d", "0"), ("1f", "0"), ("1e5", "100000"), ("1,5e3", "1500"), ("1,00005", "1.00005"),
-        ("\t7", "7"), (" 7 ", "7"), ("\x1f7", "7"), ("　7\n", "7"), ("1 000", "0"),
+        ("\t7", "7"), ("\xa07\u2003", "7"), ("\x1f7", "7"), ("\u30007\n", "7"), ("1\xa0000", "0"),
         ("inf", "0"), ("nan", "0"), ("9.999.999.999.999.999,99", "9999999999999999.99"),
     ],
 )
