@@ -114,11 +114,11 @@ _SMOOTH = f"""
         FROM cells WINDOW c AS (PARTITION BY j ORDER BY i), r AS (PARTITION BY i ORDER BY j))
     SELECT i, j, round((v + coalesce(up, 0) + coalesce(down, 0) + coalesce(le, 0) + coalesce(ri, 0))
                        / (1 + (up IS NOT NULL)::INT + (down IS NOT NULL)::INT
-                            + (le IS NOT NULL)::INT + (ri IS NOT NULL)::INT), 6) AS v
+                            + (le IS NOT NULL)::INT + (ri IS NOT NULL)::INT), 6) + 0 AS v
     FROM sides"""
 _SPARSE = f"""
     WITH {_CELLS}
-    SELECT a.label, a.i, a.j, round(avg(b.v), 6) AS v
+    SELECT a.label, a.i, a.j, round(avg(b.v), 6) + 0 AS v
     FROM cells a JOIN cells b ON a.label = b.label AND (
         (a.i = b.i AND b.j BETWEEN a.j - 1 AND a.j + 1) OR (a.j = b.j AND (b.i = a.i - 1 OR b.i = a.i + 1)))
     GROUP BY ALL"""

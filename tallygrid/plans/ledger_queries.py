@@ -178,7 +178,8 @@ def _summary_sql(concepts, by: str = "client", anchored: bool = False) -> str:
 def _pct_sql(key: str) -> str:
     now, before = f"{key}_cur", f"{key}_prev"
     delta = f"{now} - {before}" if key == "resultado" else f"abs({now}) - abs({before})"
-    return f"round(({delta}) / nullif(abs({before}), 0) * 100, 2)"
+    # + 0 turns a rounded -0.0 into 0.0, which is what Spark's round gives.
+    return f"(round(({delta}) / nullif(abs({before}), 0) * 100, 2) + 0)"
 
 
 def _moved_sql(key: str, limit: float) -> str:
@@ -316,7 +317,7 @@ ORACLES = {
         "ventas_cur AS ventas, CASE WHEN ventas_cur < 1000000 THEN 0.23::DOUBLE ELSE 0.25::DOUBLE END AS rate"
     ),
     "margins": _from_totals(
-        "round(resultado_cur / nullif(ventas_cur, 0), 6) AS margin,"
+        "round(resultado_cur / nullif(ventas_cur, 0), 6) + 0 AS margin,"
         " round(abs(impuesto_cur) / nullif(resultado_cur + abs(impuesto_cur), 0), 6) AS effective_rate"
     ),
     "alerts": _from_totals(", ".join(f"{sql} AS {name}" for name, sql in ALERTS_SQL.items())),

@@ -207,7 +207,7 @@ def _multiples_sql(k: int) -> str:
 def _revised_sql(x: str) -> str:
     return (
         f"round(CASE WHEN {x} < 900 THEN {x} * 1.30::DOUBLE WHEN {x} < 1500 THEN {x} * 1.12::DOUBLE"
-        f" WHEN {x} < 6000 THEN {x} ELSE {x} * 2 END, 4)"
+        f" WHEN {x} < 6000 THEN {x} ELSE {x} * 2 END, 4) + 0"
     )
 
 
