@@ -36,6 +36,10 @@ DEFAULTS = Thresholds()
 # Concepts that may be named as the main reason of a change in tax.
 DRIVERS = ("ventas", "gastos", "amortizaciones", "gastos_financieros")
 RESULT = "resultado"
+# Concepts that the alerts and the screening read.
+ALERT_KEYS = (
+    "profesionales", "salarios", "arrendamientos", "suministros", "amortizaciones", "gastos_financieros"
+)
 
 
 def cur(key: str) -> Column:

@@ -35,6 +35,13 @@ CONCEPTS = (
     Concept("resultado", "Resultado", r"D\) RESULTADO DEL"),
 )
 
+
+
+def concepts_named(*keys: str) -> list[Concept]:
+    """Some of the ten concepts; patterns that are not asked for are not tried."""
+    return [c for c in CONCEPTS if c.key in keys]
+
+
 # Up to this many concepts are added up side by side in one scan.
 CONCEPTS_PER_SCAN = 25
 # Patterns tried on the distinct labels in one projection.
@@ -64,11 +71,13 @@ def concept_totals(
     concepts nor one very large client adds to the shuffle.
     """
     hit = [f"_hit{n}" for n in range(len(concepts))]
-    flagged = lines.select(
-        *by,
-        current.alias("_cur"),
-        previous.alias("_prev"),
-        *[label_matches("label", c.pattern, anchored).alias(h) for c, h in zip(concepts, hit)],
+    tagged = lines.select(
+        "*", *[label_matches("label", c.pattern, anchored).alias(h) for c, h in zip(concepts, hit)]
+    )
+    # Most lines of a ledger hit nothing; their amounts need not be read from text.
+    any_hit = reduce(Column.__or__, [F.col(h) for h in hit])
+    flagged = tagged.select(
+        *by, *hit, F.when(any_hit, current).alias("_cur"), F.when(any_hit, previous).alias("_prev")
     )
 
     def total(amount: str, h: str, name: str) -> Column:

@@ -10,6 +10,7 @@ from tallygrid.operators.concepts import (
     CONCEPTS,
     concept_summary,
     concepts_from_table,
+    concepts_named,
     pattern_total,
     to_summary,
     year_totals,
@@ -28,11 +29,8 @@ LIMITS = rules.Thresholds(
 )
 
 
-def totals(spark: SparkSession, sf_dir: str, by: str = "client") -> DataFrame:
-    lines = ledger(spark, sf_dir)
-    if by != "client":
-        lines = lines.withColumn("client", F.col(by))
-    return year_totals(lines, YEARS)
+def totals(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    return year_totals(ledger(spark, sf_dir), YEARS, concepts=concepts_named(*keys) if keys else CONCEPTS)
 
 
 def ledger_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,11 +56,11 @@ def yoy_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tax_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return totals(spark, sf_dir).select("client", rules.cur("ventas").alias("ventas"), rules.tax_rate().alias("rate"))
+    return totals(spark, sf_dir, "ventas").select("client", rules.cur("ventas").alias("ventas"), rules.tax_rate().alias("rate"))
 
 
 def margins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return totals(spark, sf_dir).select(
+    return totals(spark, sf_dir, "ventas", "resultado", "impuesto").select(
         "client",
         F.round(rules.margin(), 6).alias("margin"),
         F.round(rules.effective_rate(), 6).alias("effective_rate"),
@@ -70,15 +68,15 @@ def margins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.with_alerts(totals(spark, sf_dir), LIMITS)
+    return rules.with_alerts(totals(spark, sf_dir, *rules.ALERT_KEYS), LIMITS)
 
 
 def main_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return totals(spark, sf_dir).select("client", rules.main_driver().alias("driver"))
+    return totals(spark, sf_dir, *rules.DRIVERS).select("client", rules.main_driver().alias("driver"))
 
 
 def screening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return totals(spark, sf_dir).select("client", rules.screening(LIMITS).alias("screening"))
+    return totals(spark, sf_dir, *rules.ALERT_KEYS).select("client", rules.screening(LIMITS).alias("screening"))
 
 
 def letter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +91,8 @@ def prompt_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def letter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "letters")
-    write_letters(letter_bodies(totals(spark, sf_dir, by="branch"), YEARS, LIMITS), path)
+    branches = ledger(spark, sf_dir).withColumn("client", F.col("branch"))
+    write_letters(letter_bodies(year_totals(branches, YEARS), YEARS, LIMITS), path)
     files = spark.read.text(path, wholetext=True)
     return files.select(F.col("client").cast("string").alias("client"), F.rtrim("value", F.lit("\n")).alias("letter"))
 

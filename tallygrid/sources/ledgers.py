@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrid.functions.numbers import clean_amount
+from tallygrid.session import stored
 
 # The header of a ledger file.
 LABEL_HEADER = "Cuenta de Pérdidas y Ganancias"
@@ -78,16 +79,18 @@ def read_mixed_ledgers(
 ) -> DataFrame:
     """Long ledger lines from files whose headers name different years.
 
-    Spark takes one schema per read, so the header of each file is read as text and
-    joined to that file's lines. The header side holds one row per file; when one
-    file holds much of the data, adaptive execution splits its lines in the join.
+    Spark takes one schema per read, so the header of each file is read as text, stored,
+    and joined to that file's lines. The headers are one row per file: few enough files
+    are broadcast by their stored size, and with more, adaptive execution splits the
+    lines of a file that holds much of the data.
     """
     first = F.regexp_replace(F.trim(F.ltrim(F.col("value"))), "^\ufeff", "")
     names = F.transform(F.split(first, ";"), lambda c: F.trim(F.btrim(F.trim(c), F.lit('"'))))
-    headers = (
+    headers = stored(
         spark.read.text(path)
         .select(F.col("_metadata.file_path").alias("path"), names.alias("names"))
-        .filter(F.col("names")[0] == LABEL_HEADER)
+        .filter(F.col("names")[0] == LABEL_HEADER),
+        "ledger-headers",
     )
     width = headers.agg(F.max(F.size("names"))).first()[0]
     if width is None:
