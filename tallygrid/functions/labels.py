@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallygrid.functions.columns import as_column
+
 
 def label_matches(label: Column | str, pattern: str, anchored: bool = False) -> Column:
     """Case-insensitive regex search in a label; a null label does not match.
@@ -12,8 +14,7 @@ def label_matches(label: Column | str, pattern: str, anchored: bool = False) ->
     The search is unanchored, so ``621`` also hits ``16210``. ``anchored`` asks for
     the match at the start of the label instead.
     """
-    label = F.col(label) if isinstance(label, str) else label
     if anchored:
         pattern = rf"^\s*(?:{pattern})"
     # u: without it Java folds the case of ASCII letters only.
-    return F.coalesce(label.rlike(f"(?iu){pattern}"), F.lit(False))
+    return F.coalesce(as_column(label).rlike(f"(?iu){pattern}"), F.lit(False))

@@ -7,10 +7,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallygrid.functions.columns import as_column
+
 
 def keep(arr: Column | str, wanted: Callable[[Column], Column]) -> Column:
     """The elements for which ``wanted`` is true, in their order."""
-    return F.filter(F.col(arr) if isinstance(arr, str) else arr, wanted)
+    return F.filter(as_column(arr), wanted)
 
 
 def list_rows(

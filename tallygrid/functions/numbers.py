@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallygrid.functions.columns import as_column
 from tallygrid.functions.lists import keep
 
 # Money is exact inside the library and turned into DOUBLE only at the output, so
@@ -21,17 +22,13 @@ WHITESPACE = (
 )
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def clean_amount(text: Column | str) -> Column:
     """Number text in Spanish layout (``1.234,56``) as an exact decimal.
 
     Blank, null and unreadable text gives 0; so do amounts of 10^22 and more.
     Digits after the sixth decimal are rounded.
     """
-    plain = F.btrim(F.translate(_col(text), ",.;", "."), F.lit(WHITESPACE))
+    plain = F.btrim(F.translate(as_column(text), ",.;", "."), F.lit(WHITESPACE))
     # Python reads 1_000 as 1000. Hardly any text holds an underscore, so this is
     # tried only where the plain text is no number.
     grouped = F.regexp_replace(plain, r"(?<=\d)_(?=\d)", "")
@@ -42,16 +39,16 @@ def clean_amount(text: Column | str) -> Column:
 
 def spanish_number(c: Column | str, decimals: int = 2) -> Column:
     """The number as Spanish text, the opposite of :func:`clean_amount`."""
-    return F.translate(F.format_number(_col(c), decimals), ",.", ".,")
+    return F.translate(F.format_number(as_column(c), decimals), ",.", ".,")
 
 
 def add(x: Column | str, y: Column | str) -> Column:
     """``x + y``; integer overflow raises."""
-    return _col(x) + _col(y)
+    return as_column(x) + as_column(y)
 
 
 def is_multiple(c: Column | str, k: int) -> Column:
-    return _col(c) % F.lit(k) == 0
+    return as_column(c) % F.lit(k) == 0
 
 
 def is_even(c: Column | str) -> Column:
@@ -63,7 +60,7 @@ def is_bigger(c: Column | str, num, floating: bool = True) -> Column:
 
     Pass ``floating=False`` for integer columns, which hold no NaN.
     """
-    c = _col(c)
+    c = as_column(c)
     bigger = c > num
     return bigger & ~F.isnan(c) if floating else bigger
 
@@ -98,7 +95,7 @@ def total_where(
     ``total_type`` widens each value before it is added. A BIGINT sum raises when
     it overflows; ``decimal(20,0)`` input gives an exact sum of up to 30 digits.
     """
-    c = _col(c)
+    c = as_column(c)
     value = c.cast(total_type) if total_type else c
     return F.coalesce(F.sum(F.when(wanted(c), value)), F.lit(0))
 
@@ -139,7 +136,7 @@ def revised_salary(c: Column | str, keep_gap: bool = False) -> Column:
     No tier covers a salary of exactly 6000 (nor NaN): the result is null and the
     selectors below drop the row. ``keep_gap`` passes 6000 through unchanged.
     """
-    pay = _col(c).cast("double")
+    pay = as_column(c).cast("double")
     gap = pay if keep_gap else F.lit(None).cast("double")
     return (
         F.when(F.isnan(pay), F.lit(None))
@@ -153,4 +150,4 @@ def revised_salary(c: Column | str, keep_gap: bool = False) -> Column:
 
 def update_salaries(arr: Column | str, keep_gap: bool = False) -> Column:
     """List form of :func:`revised_salary`."""
-    return keep(F.transform(_col(arr), lambda x: revised_salary(x, keep_gap)), lambda x: x.isNotNull())
+    return keep(F.transform(as_column(arr), lambda x: revised_salary(x, keep_gap)), lambda x: x.isNotNull())

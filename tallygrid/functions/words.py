@@ -5,35 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallygrid.functions.columns import as_column
 from tallygrid.functions.lists import keep
 
 # Fixed value: the letters that get an infix; capitals and accented vowels do not.
 VOWELS = "aeiou"
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def is_long_word(c: Column | str, num: int) -> Column:
-    return F.length(_col(c)) >= num
+    return F.length(as_column(c)) >= num
 
 
 def starts_with_letter(c: Column | str, letter: str) -> Column:
     """First character equals ``letter``; a longer ``letter`` never matches, nor
     does the empty string."""
-    c = _col(c)
+    c = as_column(c)
     if len(letter) != 1:
         return c.isNotNull() & F.lit(False)
     return c.startswith(letter)
 
 
 def contains_text(c: Column | str, sub: str) -> Column:
-    return _col(c).contains(sub)
+    return as_column(c).contains(sub)
 
 
 def starts_with(c: Column | str, prefix: str) -> Column:
-    return _col(c).startswith(prefix)
+    return as_column(c).startswith(prefix)
 
 
 def select_long_words(num: int, arr: Column | str) -> Column:
@@ -54,12 +51,12 @@ def select_starts(prefix: str, arr: Column | str) -> Column:
 
 def make_lengths(arr: Column | str) -> Column:
     """Length in characters of each string of a list."""
-    return F.transform(_col(arr), F.length)
+    return F.transform(as_column(arr), F.length)
 
 
 def characters(c: Column | str) -> Column:
     """The characters of a string; the empty string gives an empty list."""
-    c = _col(c)
+    c = as_column(c)
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ""))
 
 
@@ -75,7 +72,7 @@ def to_consonant(text: Column | str, consonant: Column | str) -> Column:
         escaped = F.replace(consonant, F.lit("\\"), F.lit("\\\\"))
         escaped = F.replace(escaped, F.lit("$"), F.lit("\\$"))
         infix = F.concat(F.lit("$1"), escaped, F.lit("$1"))
-    return F.regexp_replace(_col(text), F.lit(f"([{VOWELS}])"), infix)
+    return F.regexp_replace(as_column(text), F.lit(f"([{VOWELS}])"), infix)
 
 
 def to_p_sentence(text: Column | str, consonant: Column | str = "p") -> Column:

@@ -107,13 +107,20 @@ def financing_alert(t: Thresholds = DEFAULTS) -> Column:
 def main_driver() -> Column:
     """Name of the driver that moved most; the later name wins a tie."""
     names = {c.key: c.name for c in CONCEPTS}
-    moves = [F.struct(F.abs(cur(k) - prev(k)).alias("delta"), F.lit(names[k]).alias("concept")) for k in DRIVERS]
+    moves = [
+        F.struct(F.abs(cur(k) - prev(k)).alias("delta"), F.lit(names[k]).alias("concept"))
+        for k in DRIVERS
+    ]
     return F.array_max(F.array(*moves))["concept"]
 
 
 def needs_review(t: Thresholds = DEFAULTS) -> Column:
     return (
-        false_self_employed(t) | rent_alert(t) | utilities_alert(t) | financing_alert(t) | amortization_alert(t)
+        false_self_employed(t)
+        | rent_alert(t)
+        | utilities_alert(t)
+        | financing_alert(t)
+        | amortization_alert(t)
     )
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallygrid.functions.columns import as_column
+
 # Side of the square tiles in which cells meet their neighbours. A tile is the
 # largest group that one task must sort; its border adds 4/TILE to the shuffle.
 TILE = 128
@@ -16,10 +18,6 @@ def in_grid(i: Column, j: Column, rows: Column, cols: Column) -> Column:
     return (i >= 0) & (i < rows) & (j >= 0) & (j < cols)
 
 
-def _as_column(bound: Column | str | int) -> Column:
-    return F.col(bound) if isinstance(bound, str) else bound if isinstance(bound, Column) else F.lit(bound)
-
-
 # Steps to the neighbours in their order: up, down, left, right.
 STEPS = ((-1, 0), (1, 0), (0, -1), (0, 1))
 
@@ -28,7 +26,7 @@ def valid_neighbors(
     i: Column | str, j: Column | str, rows: Column | str | int, cols: Column | str | int
 ) -> Column:
     """Array of the direct neighbours inside the grid, in the order of the steps."""
-    i, j, rows, cols = (_as_column(c) for c in (i, j, rows, cols))
+    i, j, rows, cols = (as_column(c) for c in (i, j, rows, cols))
     around = F.array(*[F.struct((i + di).alias("i"), (j + dj).alias("j")) for di, dj in STEPS])
     return F.filter(around, lambda c: in_grid(c["i"], c["j"], rows, cols))
 
@@ -41,7 +39,7 @@ def get_valid_neighbors(
     Row form of :func:`valid_neighbors`; without an array to filter it stays in
     generated code.
     """
-    i, j, rows, cols = F.col("i"), F.col("j"), _as_column(rows), _as_column(cols)
+    i, j, rows, cols = F.col("i"), F.col("j"), as_column(rows), as_column(cols)
     inside = [in_grid(i + di, j + dj, rows, cols) for di, dj in STEPS]
     pos, around = F.lit(0), []
     for (di, dj), ok in zip(STEPS, inside):
@@ -109,8 +107,8 @@ def average_matrix(cells: DataFrame, keys: Sequence[str] = (), tile: int = TILE)
 
 def mean_of(value: Column | str, others: Sequence[Column | str]) -> Column:
     """Mean of a value and of those others that are present, added in that order."""
-    others = [_as_column(o) for o in others]
-    total, count = _as_column(value), F.lit(1)
+    others = [as_column(o) for o in others]
+    total, count = as_column(value), F.lit(1)
     for other in others:
         total = total + F.coalesce(other, F.lit(0.0))
         count = count + F.when(other.isNull(), 0).otherwise(1)

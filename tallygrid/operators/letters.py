@@ -69,10 +69,14 @@ def letter_body(years: tuple[int, int], t: Thresholds = DEFAULTS) -> Column:
         ),
         _either(
             rules.false_self_employed(t),
-            "La cuenta 6230 es alta y no hay salarios: riesgo de que los profesionales se recalifiquen como falsos autónomos.",
+            "La cuenta 6230 es alta y no hay salarios: riesgo de que los profesionales "
+            "se recalifiquen como falsos autónomos.",
             "No aplica.",
         ),
-        _text(compared["arrendamientos"], _either(rules.rent_alert(t), " Variación relevante: conviene revisarla.", " Estables.")),
+        _text(
+            compared["arrendamientos"],
+            _either(rules.rent_alert(t), " Variación relevante: conviene revisarla.", " Estables."),
+        ),
         _text(
             compared["suministros"],
             _either(
@@ -83,7 +87,11 @@ def letter_body(years: tuple[int, int], t: Thresholds = DEFAULTS) -> Column:
         ),
         _text(
             compared["amortizaciones"],
-            _either(rules.new_assets(), " Aumentan: probablemente se adquirió nuevo inmovilizado.", " No aumentan."),
+            _either(
+                rules.new_assets(),
+                " Aumentan: probablemente se adquirió nuevo inmovilizado.",
+                " No aumentan.",
+            ),
         ),
         _text(
             compared["gastos_financieros"],
@@ -110,15 +118,14 @@ def letter_bodies(
 
 def summary_json(years: tuple[int, int]) -> Column:
     """The summary as JSON text: concept -> year -> amount with two decimals."""
-    def money(c: Column) -> Column:
-        return c.cast("decimal(28,2)")
 
-    return F.to_json(F.struct(*[
-        F.struct(
-            money(F.col(f"{c.key}_cur")).alias(str(years[0])), money(F.col(f"{c.key}_prev")).alias(str(years[1]))
-        ).alias(c.name)
-        for c in CONCEPTS
-    ]))
+    def by_year(key: str) -> Column:
+        return F.struct(*[
+            F.col(f"{key}_{end}").cast("decimal(28,2)").alias(str(year))
+            for end, year in zip(("cur", "prev"), years)
+        ])
+
+    return F.to_json(F.struct(*[by_year(c.key).alias(c.name) for c in CONCEPTS]))
 
 
 def prompt_rows(totals: DataFrame, years: tuple[int, int], by: Sequence[str] = ("client",)) -> DataFrame:
@@ -127,5 +134,6 @@ def prompt_rows(totals: DataFrame, years: tuple[int, int], by: Sequence[str] = (
         f"Redacta como asesor fiscal el informe de cierre {years[0]} frente a {years[1]}, en tono profesional "
         "y directo, a partir de estos datos:\n"
     )
-    sections = "\nUsa estas secciones en este orden, sin omitir ninguna: " + ", ".join(f"[{s}]" for s in SECTIONS)
-    return totals.select(*by, _text(task, summary_json(years), sections).alias("prompt"))
+    sections = ", ".join(f"[{s}]" for s in SECTIONS)
+    layout = f"\nUsa estas secciones en este orden, sin omitir ninguna: {sections}"
+    return totals.select(*by, _text(task, summary_json(years), layout).alias("prompt"))

@@ -127,7 +127,8 @@ _SHAPES = "(SELECT p_partkey, p_retailprice, p_size AS m, p_partkey % 7 AS n FRO
 
 ORACLES = {
     "constant_grid": f"""
-        SELECT i, unnest(range(n)) AS j, 7.5::DOUBLE AS v FROM (SELECT unnest(range(m)) AS i, n FROM {_SHAPE})""",
+        SELECT i, unnest(range(n)) AS j, 7.5::DOUBLE AS v
+        FROM (SELECT unnest(range(m)) AS i, n FROM {_SHAPE})""",
     "constant_grids": f"""
         SELECT p_partkey, i, unnest(range(n)) AS j, p_retailprice AS v
         FROM (SELECT p_partkey, p_retailprice, unnest(range(m)) AS i, n FROM {_SHAPES})""",

@@ -39,7 +39,7 @@ def ledger_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pattern_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pattern_total(ledger(spark, sf_dir), "640|642", YEARS)
-    return found.select("client", F.col("cur").cast("double").alias("cur"), F.col("prev").cast("double").alias("prev"))
+    return found.select("client", *[F.col(c).cast("double").alias(c) for c in ("cur", "prev")])
 
 
 def anchored_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,9 @@ def yoy_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tax_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return totals(spark, sf_dir, "ventas").select("client", rules.cur("ventas").alias("ventas"), rules.tax_rate().alias("rate"))
+    return totals(spark, sf_dir, "ventas").select(
+        "client", rules.cur("ventas").alias("ventas"), rules.tax_rate().alias("rate")
+    )
 
 
 def margins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +96,9 @@ def letter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     branches = ledger(spark, sf_dir).withColumn("client", F.col("branch"))
     write_letters(letter_bodies(year_totals(branches, YEARS), YEARS, LIMITS), path)
     files = spark.read.text(path, wholetext=True)
-    return files.select(F.col("client").cast("string").alias("client"), F.rtrim("value", F.lit("\n")).alias("letter"))
+    return files.select(
+        F.col("client").cast("string").alias("client"), F.rtrim("value", F.lit("\n")).alias("letter")
+    )
 
 
 def folder_close(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +237,8 @@ def _letter_sql(by: str = "client") -> str:
         ),
         either(
             ALERTS_SQL["false_self_employed"],
-            "La cuenta 6230 es alta y no hay salarios: riesgo de que los profesionales se recalifiquen como falsos autónomos.",
+            "La cuenta 6230 es alta y no hay salarios: riesgo de que los profesionales "
+            "se recalifiquen como falsos autónomos.",
             "No aplica.",
         ),
         f"{compared['arrendamientos']} || "

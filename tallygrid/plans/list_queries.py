@@ -230,7 +230,8 @@ ORACLES = {
         WHERE x % 2 = 0""",
     "even_range_lists": """
         SELECT p_partkey, len(l)::INTEGER AS n, array_to_string(l, ',') AS evens
-        FROM (SELECT p_partkey, list_filter(range(p_size, p_partkey % 60 + 1), lambda x: x % 2 = 0) AS l FROM part)""",
+        FROM (SELECT p_partkey, list_filter(range(p_size, p_partkey % 60 + 1), lambda x: x % 2 = 0) AS l
+              FROM part)""",
     "select_even": _multiples_sql(2),
     "select_mult_3": _multiples_sql(3),
     "select_mult_5": _multiples_sql(5),
@@ -255,7 +256,8 @@ ORACLES = {
                {_listed_sql("multiples_of_5", "x % 5 = 0", _LENGTHS)},
                {_listed_sql("bigger", "x > 9", _LENGTHS)}
         FROM documents""",
-    "salary_revision": f"SELECT c_custkey, {_revised_sql('c_acctbal')} AS revised FROM customer WHERE c_acctbal <> 6000",
+    "salary_revision": f"""
+        SELECT c_custkey, {_revised_sql("c_acctbal")} AS revised FROM customer WHERE c_acctbal <> 6000""",
     "salary_lists": f"""
         SELECT vec_id, CAST(pos - 1 AS INTEGER) AS pos, {_revised_sql("x")} AS revised
         FROM (SELECT vec_id, generate_subscripts(pay, 1) AS pos, unnest(pay) AS x

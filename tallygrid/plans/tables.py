@@ -95,5 +95,6 @@ def ledger_sql() -> str:
                     ELSE ([{labels}])[{k} + 1] END AS label,
                CASE WHEN year(l_shipdate) % 2 = 1 THEN {YEARS[0]} ELSE {YEARS[1]} END AS year,
                CAST(l_extendedprice AS DECIMAL(18,2))
-                 * CASE WHEN {k} = 0 OR ({k} = {len(LABELS) - 1} AND l_partkey % 3 <> 0) THEN 1 ELSE -1 END AS amount
+                 * CASE WHEN {k} = 0 OR ({k} = {len(LABELS) - 1} AND l_partkey % 3 <> 0)
+                        THEN 1 ELSE -1 END AS amount
         FROM lineitem"""

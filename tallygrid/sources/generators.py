@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallygrid.functions.columns import as_column
 from tallygrid.functions.numbers import is_even
 
 # Cells that one row hands over at a time when many grids are generated at once.
@@ -28,7 +29,7 @@ def range_list(x: Column | str, y: Column | str) -> Column:
 
     ``sequence`` alone would count down when x > y.
     """
-    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    x, y = as_column(x), as_column(y)
     return F.when(x <= y, F.sequence(x.cast("bigint"), y.cast("bigint"))).otherwise(
         F.array().cast("array<bigint>")
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallygrid.functions.columns import as_column
+
 # Greeting and farewell round the body of a letter.
 GREETING = "Estimado cliente,"
 FAREWELL = "Un saludo."
@@ -13,7 +15,7 @@ BODY_FAREWELL = "Un saludo y gracias."
 
 def wrap_letter(body: Column | str) -> Column:
     """Greeting, body and farewell; a body that already says farewell gets no second."""
-    body = F.col(body) if isinstance(body, str) else body
+    body = as_column(body)
     farewell = F.when(F.rtrim(body).endswith(BODY_FAREWELL), "").otherwise(f"\n\n{FAREWELL}")
     return F.concat(F.lit(f"{GREETING}\n\n"), body, farewell)
 

@@ -14,7 +14,8 @@ def words(*values):
 
 def test_word_selectors(one):
     animals = words("alomejor", "madre", "aleatorio", "normal", "a")
-    assert one(W.select_long_words(5, words("Calle", "Metro", "Sol", "Colegio", "Pan"))) == ["Calle", "Metro", "Colegio"]
+    places = words("Calle", "Metro", "Sol", "Colegio", "Pan")
+    assert one(W.select_long_words(5, places)) == ["Calle", "Metro", "Colegio"]
     letters = words("alomejor", "puede", "quizás", "alejandro", "")
     assert one(W.select_starts_letter("a", letters)) == ["alomejor", "alejandro"]
     assert one(W.select_starts_letter("al", letters)) == []
@@ -57,7 +58,14 @@ def test_infix_names(one):
 
 
 @settings(max_examples=5, deadline=None)
-@given(st.lists(st.text(st.characters(exclude_categories=["Cs"], exclude_characters="\0"), max_size=30), min_size=1, max_size=40), st.text("plf$\\", max_size=3))
+@given(
+    st.lists(
+        st.text(st.characters(exclude_categories=["Cs"], exclude_characters="\0"), max_size=30),
+        min_size=1,
+        max_size=40,
+    ),
+    st.text("plf$\\", max_size=3),
+)
 def test_infix_length(spark, texts, infix):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     rows = df.select("t", W.to_consonant("t", infix).alias("r"), F.length("t").alias("n")).collect()
