@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallygrid.functions.numbers import clean_amount
 from tallygrid.session import stored
@@ -33,14 +34,45 @@ def read_ledgers(spark: SparkSession, path: str | list[str], client: Column | No
     All files must share one header; a file with another fails the job instead of
     putting amounts under the wrong year. See :func:`read_mixed_ledgers` for those.
     """
-    raw = spark.read.options(**CSV_OPTIONS).option("enforceSchema", "false").csv(path)
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in first_header(spark, path)])
+    raw = spark.read.schema(schema).options(**CSV_OPTIONS, enforceSchema="false").csv(path)
     named = raw.select(
         (client if client is not None else file_client()).alias("client"),
-        *[f"`{c}`" for c in raw.columns if c != "client"],
+        *[f"`{name}`" for name in schema.names if name.strip()],
     )
     return trim_header(named).withColumnRenamed(LABEL_HEADER, "label")
 
 
+def header_line() -> Column:
+    """A line of text without the byte order mark a file may start with."""
+    return F.regexp_replace("value", "^\ufeff", "")
+
+
+def is_header(line: Column) -> Column:
+    return line.rlike(rf'^\s*"?\s*{LABEL_HEADER}\s*"?\s*(;|$)')
+
+
+def split_header(line: Column, width: int) -> Column:
+    """The names in a header line, read by the CSV parser; missing ones are null."""
+    schema = ", ".join(f"c{k} string" for k in range(width))
+    parsed = F.from_csv(line, F.lit(schema), {k: v for k, v in CSV_OPTIONS.items() if k in ("sep", "escape")})
+    return F.array(*[parsed[f"c{k}"] for k in range(width)])
+
+
+def first_header(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Column names of the first file found.
+
+    Left to itself, the CSV reader would look at every file of the folder one by one
+    on the driver before it takes the names from the first.
+    """
+    found = spark.read.text(path).select(header_line().alias("line")).filter(is_header(F.col("line"))).first()
+    if found is None:
+        raise ValueError(f"no file under {path} has a header starting with {LABEL_HEADER!r}")
+    width = re.sub('"[^"]*"', "", found.line).count(";") + 1
+    names = spark.range(1).select(split_header(F.lit(found.line), width).alias("names")).first().names
+    return [name or "" for name in names]
+
+
 def trim_header(df: DataFrame) -> DataFrame:
     """Strip blanks round the column names."""
     return df.toDF(*[c.strip() for c in df.columns])
@@ -84,17 +116,17 @@ def read_mixed_ledgers(
     are broadcast by their stored size, and with more, adaptive execution splits the
     lines of a file that holds much of the data.
     """
-    first = F.regexp_replace(F.trim(F.ltrim(F.col("value"))), "^\ufeff", "")
-    names = F.transform(F.split(first, ";"), lambda c: F.trim(F.btrim(F.trim(c), F.lit('"'))))
     headers = stored(
         spark.read.text(path)
-        .select(F.col("_metadata.file_path").alias("path"), names.alias("names"))
-        .filter(F.col("names")[0] == LABEL_HEADER),
+        .select(F.col("_metadata.file_path").alias("path"), header_line().alias("line"))
+        .filter(is_header(F.col("line"))),
         "ledger-headers",
     )
-    width = headers.agg(F.max(F.size("names"))).first()[0]
+    width = headers.agg(F.max(F.size(F.split("line", ";")))).first()[0]
     if width is None:
         raise ValueError(f"no file under {path} has a header starting with {LABEL_HEADER!r}")
+    names = F.transform(split_header(F.col("line"), width), lambda name: F.trim(name))
+    headers = headers.select("path", names.alias("names"))
     fields = [f"c{k}" for k in range(width)]
     lines = (
         spark.read.schema(", ".join(f"{f} string" for f in fields))

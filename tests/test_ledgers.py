@@ -68,6 +68,28 @@ def test_whole_numbers_are_not_read_as_floats(spark, tmp_path):
     assert as_dict(to_summary(folder_totals(spark, path, YEARS), YEARS))[("a", "Profesionales (6230)")] == (5305.0, 10.0)
 
 
+@pytest.mark.parametrize(
+    "header",
+    [
+        "Cuenta de Pérdidas y Ganancias;AÑO 2025;AÑO 2024;",
+        '"Cuenta de Pérdidas y Ganancias"; AÑO 2025 ;"AÑO 2024";"a; b"',
+        " Cuenta de Pérdidas y Ganancias ;AÑO 2025;AÑO 2024",
+    ],
+)
+def test_header_layouts(spark, tmp_path, header):
+    path = write(tmp_path / "in", "a.csv", f"{header}\n6230;1.000,5;2\n")
+    expected = {2025: 1000.5, 2024: 2.0}
+    for long in (to_long(read_ledgers(spark, path)), read_mixed_ledgers(spark, path)):
+        assert {r.year: float(r.amount) for r in long.collect()} == expected
+
+
+def test_folder_without_a_ledger_is_an_error(spark, tmp_path):
+    path = write(tmp_path / "in", "a.csv", "x;y\n1;2\n")
+    for read in (read_ledgers, read_mixed_ledgers):
+        with pytest.raises(ValueError):
+            read(spark, path)
+
+
 def test_trim_header(spark):
     assert trim_header(spark.range(1).toDF("  a b ")).columns == ["a b"]
 
