@@ -22,13 +22,17 @@ WHITESPACE = (
 )
 
 
+def _plain(text: Column | str) -> Column:
+    return F.btrim(F.translate(as_column(text), ",.;", "."), F.lit(WHITESPACE))
+
+
 def clean_amount(text: Column | str) -> Column:
     """Number text in Spanish layout (``1.234,56``) as an exact decimal.
 
     Blank, null and unreadable text gives 0; so do amounts of 10^22 and more.
     Digits after the sixth decimal are rounded.
     """
-    plain = F.btrim(F.translate(as_column(text), ",.;", "."), F.lit(WHITESPACE))
+    plain = _plain(text)
     # Python reads 1_000 as 1000. Hardly any text holds an underscore, so this is
     # tried only where the plain text is no number.
     grouped = F.regexp_replace(plain, r"(?<=\d)_(?=\d)", "")
@@ -37,6 +41,17 @@ def clean_amount(text: Column | str) -> Column:
     )
 
 
+def is_unreadable(text: Column | str) -> Column:
+    """Text that holds something but no number, which :func:`clean_amount` makes 0."""
+    plain = F.regexp_replace(_plain(text), r"(?<=\d)_(?=\d)", "")
+    return F.coalesce((plain != "") & plain.try_cast(AMOUNT_TYPE).isNull(), F.lit(False))
+
+
+def is_english(text: Column | str) -> Column:
+    """Text in English layout (``1,234.56``), which :func:`clean_amount` reads as 1.23456."""
+    return F.coalesce(as_column(text).rlike(r"^\s*[+-]?\d{1,3}(,\d{3})+\.\d+\s*$"), F.lit(False))
+
+
 def spanish_number(c: Column | str, decimals: int = 2) -> Column:
     """The number as Spanish text, the opposite of :func:`clean_amount`."""
     return F.translate(F.format_number(as_column(c), decimals), ",.", ".,")

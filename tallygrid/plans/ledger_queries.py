@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallygrid.functions.numbers import spanish_number
 from tallygrid.operators import close_rules as rules
 from tallygrid.operators.concepts import (
     CONCEPTS,
@@ -17,9 +18,9 @@ from tallygrid.operators.concepts import (
 )
 from tallygrid.operators.letters import CLOSING, SECTIONS, letter_bodies, prompt_rows
 from tallygrid.plans.close import folder_totals
-from tallygrid.plans.tables import YEARS, folder_client, ledger, ledger_sql, write_ledger_files
+from tallygrid.plans.tables import YEARS, folder_client, ledger, ledger_sql, table, write_ledger_files
 from tallygrid.session import scratch_dir
-from tallygrid.sources.ledgers import read_ledgers, read_mixed_ledgers, to_long
+from tallygrid.sources.ledgers import amount_quality, read_ledgers, read_mixed_ledgers, to_long
 from tallygrid.sources.letters import GREETING, wrap_letter, write_letters
 from tallygrid.streaming.arrivals import arrived_totals, close_arrivals, ledger_stream
 
@@ -116,6 +117,23 @@ def mixed_folder_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_counts(read_mixed_ledgers(spark, f"{path}/*", folder_client()))
 
 
+def amount_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of amounts of which some are no numbers and some in English layout."""
+    price = F.col("l_extendedprice")
+    text = (
+        F.when(F.col("l_discount") == 0, "pendiente")
+        .when(F.col("l_tax") >= 0.07, F.format_number(price, 2))
+        .otherwise(spanish_number(price))
+    )
+    odd = F.year("l_shipdate") % 2
+    wide = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("client"),
+        F.when(odd == 1, text).alias(f"AÑO {CUR}"),
+        F.when(odd == 0, text).alias(f"AÑO {PREV}"),
+    )
+    return amount_quality(wide)
+
+
 def _line_counts(long: DataFrame) -> DataFrame:
     return long.groupBy("client", "label", "year").agg(
         F.count("*").alias("n"), F.sum("amount").cast("double").alias("amount")
@@ -148,6 +166,7 @@ QUERIES = {
     "folder_lines": folder_lines,
     "mixed_folder_lines": mixed_folder_lines,
     "arrivals_close": arrivals_close,
+    "amount_texts": amount_texts,
 }
 
 # More patterns than one scan takes: the ten concepts and single accounts.
@@ -341,4 +360,9 @@ ORACLES = {
     "folder_lines": LINES_SQL,
     "mixed_folder_lines": LINES_SQL,
     "arrivals_close": SUMMARY_BY_BRANCH_SQL,
+    "amount_texts": """
+        SELECT l_suppkey AS client,
+               count(*) FILTER (WHERE l_discount = 0) AS unreadable,
+               count(*) FILTER (WHERE l_discount <> 0 AND l_tax >= 0.07::DOUBLE AND l_extendedprice >= 1000) AS english
+        FROM lineitem GROUP BY 1""",
 }

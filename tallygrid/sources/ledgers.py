@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrid.functions.numbers import clean_amount
+from tallygrid.functions.numbers import clean_amount, is_english, is_unreadable
 from tallygrid.session import stored
 
 # The header of a ledger file.
@@ -98,6 +98,19 @@ def to_long(wide: DataFrame, keys: Sequence[str] = ("client",)) -> DataFrame:
     )
 
 
+def amount_quality(wide: DataFrame, keys: Sequence[str] = ("client",)) -> DataFrame:
+    """Amount texts per client that :func:`clean_amount` reads without complaint though
+    they are no Spanish numbers: ``unreadable`` (made 0) and ``english`` layout."""
+    texts = [F.col(f"`{c}`") for c in year_columns(wide).values()]
+
+    def count(wrong: Callable[[Column], Column]) -> Column:
+        return F.sum(sum((wrong(t).cast("int") for t in texts), F.lit(0)))
+
+    return wide.groupBy(*keys).agg(
+        count(is_unreadable).alias("unreadable"), count(is_english).alias("english")
+    )
+
+
 def land_ledgers(long: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Keep long lines as Parquet, a folder per year, for ledgers read more than once.
 
@@ -116,10 +129,14 @@ def read_mixed_ledgers(
     are broadcast by their stored size, and with more, adaptive execution splits the
     lines of a file that holds much of the data.
     """
+    # A header repeated further down a file is one of its lines; the first one counts.
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     headers = stored(
         spark.read.text(path)
-        .select(F.col("_metadata.file_path").alias("path"), header_line().alias("line"))
-        .filter(is_header(F.col("line"))),
+        .select(F.col("_metadata.file_path").alias("path"), header_line().alias("line"), place.alias("place"))
+        .filter(is_header(F.col("line")))
+        .groupBy("path")
+        .agg(F.min_by("line", "place").alias("line")),
         "ledger-headers",
     )
     width = headers.agg(F.max(F.size(F.split("line", ";")))).first()[0]

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallygrid.functions.numbers import clean_amount
-from tallygrid.operators.concepts import CONCEPTS, Concept, concept_totals
+from tallygrid.operators.close_rules import DEFAULTS, Thresholds
+from tallygrid.operators.concepts import concept_totals
+from tallygrid.operators.letters import letter_bodies
 from tallygrid.sources.ledgers import CSV_OPTIONS, LABEL_HEADER, file_client
+from tallygrid.sources.letters import write_letters
 
 
 def ledger_stream(
@@ -41,18 +42,30 @@ def ledger_stream(
 
 
 def close_arrivals(
-    lines: DataFrame, out: str, checkpoint: str, concepts: Sequence[Concept] = CONCEPTS
+    lines: DataFrame,
+    out: str,
+    checkpoint: str,
+    letters: str | None = None,
+    years: tuple[int, int] | None = None,
+    thresholds: Thresholds = DEFAULTS,
 ) -> StreamingQuery:
-    """Write the totals of each micro-batch to ``out/batch=<id>`` and stop when the
-    folder is read. Run again with the same checkpoint to take up new files.
+    """Write the totals of each micro-batch to ``out/batch=<id>``, its letters to
+    ``letters/batch=<id>`` if that is given, and stop when the folder is read. Run
+    again with the same checkpoint to take up new files.
 
-    A file is read whole within one batch. A batch that is repeated after a failure
-    replaces its own folder, so nothing is counted twice.
+    A file is read whole within one batch, so a client with one file gets a complete
+    letter. A batch that is repeated after a failure replaces its own folders, so
+    nothing is counted or written twice.
     """
+    if letters and not years:
+        raise ValueError("letters name their years")
 
     def close(batch: DataFrame, batch_id: int) -> None:
-        totals = concept_totals(batch, F.col("current"), F.col("previous"), concepts=concepts)
-        totals.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        path = f"{out}/batch={batch_id}"
+        concept_totals(batch, F.col("current"), F.col("previous")).write.mode("overwrite").parquet(path)
+        if letters:
+            bodies = letter_bodies(batch.sparkSession.read.parquet(path), years, thresholds)
+            write_letters(bodies, f"{letters}/batch={batch_id}", mode="overwrite")
 
     return (
         lines.writeStream.foreachBatch(close)

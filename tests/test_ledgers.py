@@ -13,7 +13,7 @@ from tallygrid.operators.concepts import (
     year_totals,
 )
 from tallygrid.plans.close import close_folder, folder_totals
-from tallygrid.sources.ledgers import land_ledgers, read_ledgers, read_mixed_ledgers, to_long, trim_header, year_columns
+from tallygrid.sources.ledgers import amount_quality, land_ledgers, read_ledgers, read_mixed_ledgers, to_long, trim_header, year_columns
 from tests.ledger_files import EMPTY, FILLED, FILLED_SUMMARY, write
 
 YEARS = (2025, 2024)
@@ -83,6 +83,16 @@ def test_header_layouts(spark, tmp_path, header):
         assert {r.year: float(r.amount) for r in long.collect()} == expected
 
 
+def test_repeated_header_is_a_line(spark, tmp_path):
+    header = "Cuenta de Pérdidas y Ganancias;AÑO 2025;AÑO 2024"
+    again = "Cuenta de Pérdidas y Ganancias;AÑO 2023;AÑO 2022"
+    path = write(tmp_path / "in", "a.csv", f"{header}\n6230;1;2\n{header}\n{again}\n6230;3;4\n")
+    for long in (to_long(read_ledgers(spark, path)), read_mixed_ledgers(spark, path)):
+        sums = as_dict(concept_summary(long, YEARS))
+        assert sums[("a", "Profesionales (6230)")] == (4.0, 6.0)
+        assert long.count() == 8
+
+
 def test_folder_without_a_ledger_is_an_error(spark, tmp_path):
     path = write(tmp_path / "in", "a.csv", "x;y\n1;2\n")
     for read in (read_ledgers, read_mixed_ledgers):
@@ -123,6 +133,16 @@ def lines(spark, rows):
     )
 
 
+def test_amount_quality(spark, tmp_path):
+    rows = ["6230;1,234.56;abc", "6230;1.234,56;", "x;-;-12,345,678.9", ";;", "y;1_0; 5 "]
+    header = "Cuenta de Pérdidas y Ganancias;AÑO 2025;AÑO 2024"
+    path = write(tmp_path / "in", "a.csv", "\n".join([header, *rows]))
+    write(tmp_path / "in", "b.csv", FILLED)
+    got = {r.client: (r.unreadable, r.english) for r in amount_quality(read_ledgers(spark, path)).collect()}
+    # -12,345,678.9 is both: with every comma a decimal point it is no number.
+    assert got == {"a": (3, 2), "b": (0, 0)}
+
+
 def test_landed_ledger_reads_only_the_years_it_needs(spark, tmp_path):
     path = str(tmp_path / "landed")
     land_ledgers(lines(spark, [("a", "6230", y, y) for y in (2022, 2023, 2024, 2025)]), path)

@@ -1,5 +1,7 @@
+import pytest
+
 from tallygrid.operators.concepts import to_summary
-from tallygrid.plans.close import folder_totals
+from tallygrid.plans.close import close_folder, folder_totals
 from tallygrid.streaming.arrivals import arrived_totals, close_arrivals, ledger_stream
 from tests.ledger_files import EMPTY, FILLED, FILLED_SUMMARY, write
 
@@ -28,6 +30,20 @@ def test_stream_agrees_with_batch_and_takes_up_new_files(spark, tmp_path):
     assert {("late", c, *v) for c, v in FILLED_SUMMARY.items()} < got
 
 
+def test_stream_writes_the_letters_of_the_batch_job(spark, tmp_path):
+    path = write(tmp_path / "in", "a.csv", FILLED)
+    write(tmp_path / "in", "b.csv", EMPTY)
+    streamed, batch = str(tmp_path / "streamed"), str(tmp_path / "batch")
+    lines = ledger_stream(spark, path, YEARS, files_per_batch=1)
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "progress")
+    close_arrivals(lines, out, checkpoint, streamed, YEARS).awaitTermination()
+    close_folder(spark, path, batch, YEARS)
+    read = [spark.read.text(p, wholetext=True).select("client", "value") for p in (streamed, batch)]
+    assert as_set(read[0]) == as_set(read[1]) and read[0].count() == 2
+    with pytest.raises(ValueError):
+        close_arrivals(lines, out, checkpoint, streamed)
+
+
 def test_repeated_batch_replaces_its_own_output(spark, tmp_path):
     path = write(tmp_path / "in", "a.csv", FILLED)
     out = str(tmp_path / "out")
