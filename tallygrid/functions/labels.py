@@ -16,5 +16,6 @@ def label_matches(label: Column | str, pattern: str, anchored: bool = False) ->
     """
     if anchored:
         pattern = rf"^\s*(?:{pattern})"
-    # u: without it Java folds the case of ASCII letters only.
-    return F.coalesce(as_column(label).rlike(f"(?iu){pattern}"), F.lit(False))
+    # Without u Java folds the case of ASCII letters only, and without U its classes
+    # such as \d and \b know no others.
+    return F.coalesce(as_column(label).rlike(f"(?iuU){pattern}"), F.lit(False))

@@ -57,9 +57,10 @@ def spanish_number(c: Column | str, decimals: int = 2) -> Column:
     return F.translate(F.format_number(as_column(c), decimals), ",.", ".,")
 
 
-def add(x: Column | str, y: Column | str) -> Column:
-    """``x + y``; integer overflow raises."""
-    return as_column(x) + as_column(y)
+def add(x: Column | str, y: Column | str, null_on_overflow: bool = False) -> Column:
+    """``x + y``; integer overflow raises unless null is asked for."""
+    x, y = as_column(x), as_column(y)
+    return F.try_add(x, y) if null_on_overflow else x + y
 
 
 def is_multiple(c: Column | str, k: int) -> Column:

@@ -3,6 +3,7 @@ from decimal import Decimal
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import ArithmeticException
 from pyspark.sql import functions as F
 
 from tallygrid.functions import numbers as N
@@ -55,6 +56,13 @@ def test_number_selectors(one):
     assert one(N.add(F.lit(2), F.lit(2))) == 4
 
 
+def test_add_overflow(one):
+    big, small = F.lit(2**63 - 1), F.lit(1).cast("bigint")
+    assert one(N.add(big, small, null_on_overflow=True)) is None
+    with pytest.raises(ArithmeticException):
+        one(N.add(big, small))
+
+
 def test_selectors_drop_nulls(one):
     assert one(N.select_even(F.array(F.lit(2), F.lit(None), F.lit(3)))) == [2]
 

@@ -86,6 +86,8 @@ def test_infix_length(spark, texts, infix):
         ("   6420 X", "640|642", True, True),
         ("16230", "6230", False, True),
         (" d) resultado del ejercicio", r"D\) RESULTADO DEL", False, True),
+        ("cuenta ٦٢", r"\d\d", False, True),
+        ("ÑANDÚ", r"\bñandú\b", False, True),
         (None, "6", False, False),
     ],
 )
