@@ -50,6 +50,10 @@ def _compared(key: str, name: str, years: tuple[int, int]) -> Column:
     )
 
 
+def _percent(share: Column) -> Column:
+    return F.coalesce(_text(spanish_number(F.round(share * 100, 2)), "%"), F.lit("sin datos"))
+
+
 def _either(alert: Column, yes: str, no: str) -> Column:
     return F.when(alert, yes).otherwise(no)
 
@@ -57,10 +61,13 @@ def _either(alert: Column, yes: str, no: str) -> Column:
 def letter_body(years: tuple[int, int], t: Thresholds = DEFAULTS) -> Column:
     """The eight sections as one text; a section without findings says so."""
     compared = {c.key: _compared(c.key, c.name, years) for c in CONCEPTS}
-    tax_up = F.abs(rules.cur("impuesto")) > F.abs(rules.prev("impuesto"))
+    tax, last_tax = F.abs(rules.cur("impuesto")), F.abs(rules.prev("impuesto"))
+    moves = F.when(tax > last_tax, "aumenta").when(tax < last_tax, "disminuye").otherwise("no varía")
     contents = [
         _text(
             compared["ventas"], " ", compared["gastos"], " ", compared["resultado"], " ", compared["impuesto"],
+            " Margen sobre ventas: ", _percent(rules.margin()),
+            "; impuesto sobre el resultado previo: ", _percent(rules.effective_rate()), ".",
             _either(
                 rules.cur("ventas") < rules.TAX_LIMIT,
                 " La facturación no llega a un millón de euros: tipo reducido del 23%.",
@@ -102,8 +109,7 @@ def letter_body(years: tuple[int, int], t: Thresholds = DEFAULTS) -> Column:
             ),
         ),
         _text(
-            "El impuesto ", _either(tax_up, "aumenta", "no aumenta"), " sobre todo por la variación de: ",
-            rules.main_driver(), ".",
+            "El impuesto ", moves, "; la partida que más cambia es: ", rules.main_driver(), ".",
         ),
         F.lit(CLOSING),
     ]

@@ -218,6 +218,8 @@ ALERTS_SQL = {
         " OR (gastos_financieros_prev = 0 AND gastos_financieros_cur <> 0))"
     ),
 }
+MARGIN_SQL = "(resultado_cur / nullif(ventas_cur, 0))"
+EFFECTIVE_SQL = "(abs(impuesto_cur) / nullif(resultado_cur + abs(impuesto_cur), 0))"
 DRIVER_SQL = "list_max([{}]).concept".format(
     ", ".join(
         f"{{'delta': abs({k}_cur - {k}_prev), 'concept': '{name}'}}"
@@ -246,9 +248,13 @@ def _letter_sql(by: str = "client") -> str:
     def either(alert: str, yes: str, no: str) -> str:
         return f"CASE WHEN {alert} THEN '{yes}' ELSE '{no}' END"
 
+    def percent(share: str) -> str:
+        return f"coalesce({_number_sql(f'round({share} * 100, 2) + 0')} || '%', 'sin datos')"
+
     contents = [
         f"{compared['ventas']} || ' ' || {compared['gastos']} || ' ' || {compared['resultado']} || ' ' || "
-        + f"{compared['impuesto']} || "
+        + f"{compared['impuesto']} || ' Margen sobre ventas: ' || {percent(MARGIN_SQL)} || "
+        + f"'; impuesto sobre el resultado previo: ' || {percent(EFFECTIVE_SQL)} || '.' || "
         + either(
             "ventas_cur < 1000000",
             " La facturación no llega a un millón de euros: tipo reducido del 23%.",
@@ -278,9 +284,9 @@ def _letter_sql(by: str = "client") -> str:
             " Aumento significativo: mayor financiación ajena y más riesgo.",
             " Sin aumento significativo.",
         ),
-        "'El impuesto ' || "
-        + either("abs(impuesto_cur) > abs(impuesto_prev)", "aumenta", "no aumenta")
-        + f" || ' sobre todo por la variación de: ' || {DRIVER_SQL} || '.'",
+        "'El impuesto ' || CASE WHEN abs(impuesto_cur) > abs(impuesto_prev) THEN 'aumenta'"
+        " WHEN abs(impuesto_cur) < abs(impuesto_prev) THEN 'disminuye' ELSE 'no varía' END"
+        f" || '; la partida que más cambia es: ' || {DRIVER_SQL} || '.'",
         f"'{CLOSING}'",
     ]
     sections = [f"'[{title}]\n' || {body}" for title, body in zip(SECTIONS, contents)]
@@ -340,8 +346,7 @@ ORACLES = {
         "ventas_cur AS ventas, CASE WHEN ventas_cur < 1000000 THEN 0.23::DOUBLE ELSE 0.25::DOUBLE END AS rate"
     ),
     "margins": _from_totals(
-        "round(resultado_cur / nullif(ventas_cur, 0), 6) + 0 AS margin,"
-        " round(abs(impuesto_cur) / nullif(resultado_cur + abs(impuesto_cur), 0), 6) AS effective_rate"
+        f"round({MARGIN_SQL}, 6) + 0 AS margin, round({EFFECTIVE_SQL}, 6) + 0 AS effective_rate"
     ),
     "alerts": _from_totals(", ".join(f"{sql} AS {name}" for name, sql in ALERTS_SQL.items())),
     "main_driver": _from_totals(f"{DRIVER_SQL} AS driver"),

@@ -33,6 +33,25 @@ def test_plan(spark, name):
     assert not re.search(FORBIDDEN, plan)
 
 
+@pytest.mark.parametrize(
+    "name, pushed",
+    [
+        ("bigger_orders", "GreaterThan(o_totalprice,250000.0)"),
+        ("starts_letter", "StringStartsWith(p_name,s)"),
+        ("contains", "StringContains(p_name,ing)"),
+        ("starts", "StringStartsWith(c_mktsegment,MA)"),
+    ],
+)
+def test_filter_reaches_the_scan(spark, name, pushed):
+    assert pushed in registry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["ledger_summary", "yoy_change", "alerts", "letter", "grid_smooth"])
+def test_single_shuffle(spark, name):
+    plan = registry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_entry(spark):
     df = registry.entry(spark)
     assert df.columns == ["client", "concept", "y2025", "y2024"]

@@ -128,7 +128,8 @@ def test_letter(spark):
         "tipo reducido del 23%",
         "falsos autónomos",
         "Gastos financieros: -1.503,17 € en 2024, -3.856,76 € en 2025 (+156,58%). Aumento significativo",
-        "El impuesto aumenta sobre todo por la variación de: Ventas.",
+        "Margen sobre ventas: 16,44%; impuesto sobre el resultado previo: 23,00%.",
+        "El impuesto aumenta; la partida que más cambia es: Ventas.",
     ):
         assert part in body
     assert body.endswith(CLOSING)
@@ -138,6 +139,7 @@ def test_letter_of_an_empty_ledger_has_every_section(spark):
     body = letter_bodies(totals(spark, {}), YEARS).first().body
     assert [line[1:-1] for line in body.splitlines() if line.startswith("[")] == list(SECTIONS)
     assert "sin comparación" in body and "No aplica." in body
+    assert "Margen sobre ventas: sin datos" in body and "El impuesto no varía" in body
 
 
 def test_farewell_appears_once(one):
