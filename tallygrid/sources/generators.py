@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,7 +62,12 @@ def make_constant_matrix(spark: SparkSession, rows: int, cols: int, value) -> Da
     return grid_cells(spark, rows, cols).withColumn("v", F.lit(value))
 
 
-def make_random_matrix(spark: SparkSession, rows: int, cols: int, seed: int = 0) -> DataFrame:
+def make_random_matrix(
+    spark: SparkSession, rows: int, cols: int, seed: int | None = None
+) -> DataFrame:
+    """Uniform values; without a seed each call draws other values."""
+    if seed is None:
+        seed = secrets.randbits(62)
     return grid_cells(spark, rows, cols).withColumn("v", uniform(seed, "i", "j"))
 
 

@@ -137,6 +137,8 @@ def test_random_values_do_not_depend_on_partitions(spark):
     again = S.grid_cells(spark, 20, 20).repartition(7).withColumn("v", S.uniform(1, "i", "j"))
     assert as_dict(grid) == as_dict(again)
     assert as_dict(grid) != as_dict(S.make_random_matrix(spark, 20, 20, seed=2))
+    unseeded = S.make_random_matrix(spark, 20, 20)
+    assert as_dict(unseeded) == as_dict(unseeded) != as_dict(S.make_random_matrix(spark, 20, 20))
 
 
 def test_grids_by_row(spark, monkeypatch):
