@@ -67,8 +67,8 @@ def concept_totals(
 
     ``current`` and ``previous`` are the two amounts of a line. A line may count
     for several concepts; a concept without lines is 0. All sums are made in one
-    scan, first inside each task and then by client, so neither the number of
-    concepts nor one very large client adds to the shuffle.
+    scan, first inside each task and then by client: what is shuffled is one row per
+    task and client, also when one client holds much of the data.
     """
     hit = [f"_hit{n}" for n in range(len(concepts))]
     tagged = lines.select(
@@ -209,8 +209,8 @@ def concepts_from_table(patterns: DataFrame) -> list[Concept]:
     compiled again for every line. The size is checked before anything is read.
     """
     rows = patterns.select("concept", "pattern").limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"a pattern table holds at most {MAX_PATTERNS} rows")
+    if not 0 < len(rows) <= MAX_PATTERNS:
+        raise ValueError(f"a pattern table holds 1 to {MAX_PATTERNS} rows")
     if len({r.concept for r in rows}) != len(rows) or any(None in r for r in rows):
         raise ValueError("every concept needs one name of its own and one pattern")
     return [Concept(f"k{n}", r.concept, r.pattern) for n, r in enumerate(sorted(rows))]

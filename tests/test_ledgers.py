@@ -198,6 +198,8 @@ def test_pattern_table_is_checked(spark):
     twice = spark.createDataFrame([("a", "1"), ("a", "2")], "concept string, pattern string")
     with pytest.raises(ValueError):
         concepts_from_table(twice)
+    with pytest.raises(ValueError):
+        concepts_from_table(twice.limit(0))
     huge = spark.range(20_000).select(F.col("id").cast("string").alias("concept"), F.lit("x").alias("pattern"))
     with pytest.raises(ValueError):
         concepts_from_table(huge)
