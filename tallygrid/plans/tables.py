@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,8 +68,12 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache
 def write_ledger_files(spark: SparkSession, sf_dir: str) -> str:
-    """Write the derived ledger as CSV files, a folder per branch; returns the path."""
+    """Write the derived ledger as CSV files, a folder per branch; returns the path.
+
+    The files are the input of several queries and written once per session.
+    """
     path = scratch_dir(spark, "ledgers")
     text = ledger_text(spark, sf_dir)
     wide = text.select(
