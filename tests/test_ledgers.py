@@ -48,6 +48,23 @@ def test_summary_of_the_filled_ledger(spark, folder):
     assert as_dict(concept_summary(read_mixed_ledgers(spark, folder), YEARS)) == expected
 
 
+def test_file_split_over_tasks(spark, folder):
+    """One ledger file may be large enough for many tasks."""
+    settings = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "0"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        assert read_ledgers(spark, folder).select(F.spark_partition_id()).distinct().count() > 8
+        totals = folder_totals(spark, folder, YEARS)
+        for summary in (to_summary(totals, YEARS), concept_summary(read_mixed_ledgers(spark, folder), YEARS)):
+            got = as_dict(summary)
+            assert {c: got[("filled", c)] for c in FILLED_SUMMARY} == FILLED_SUMMARY
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 # Section lines and the account lines that make them up, by number of the data line.
 SECTIONS = {2: [3], 4: [5, 6], 7: range(8, 18), 18: range(19, 23), 23: [24], 25: [26], 28: [29]}
 
