@@ -18,6 +18,9 @@ def build_session(app: str = "tallygrid", master: str | None = None, **conf) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Join by hash where every partition of the smaller side is measured to be small,
+        # instead of sorting the lines.
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
     builder = SparkSession.builder.appName(app)
