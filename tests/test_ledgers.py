@@ -13,7 +13,15 @@ from tallygrid.operators.concepts import (
     year_totals,
 )
 from tallygrid.plans.close import close_folder, folder_totals
-from tallygrid.sources.ledgers import amount_quality, land_ledgers, read_ledgers, read_mixed_ledgers, to_long, trim_header, year_columns
+from tallygrid.sources.ledgers import (
+    amount_quality,
+    land_ledgers,
+    read_ledgers,
+    read_mixed_ledgers,
+    to_long,
+    trim_header,
+    year_columns,
+)
 from tests.ledger_files import EMPTY, FILLED, FILLED_SUMMARY, write
 
 YEARS = (2025, 2024)
