@@ -73,3 +73,10 @@ def sigmoid(x):
 
 def logit(p):
     return np.log(p) - np.log1p(-p)
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join in which a null key equals a null key; the key columns are those of ``left``."""
+    other = right.withColumnsRenamed({k: f"_right{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right{k}")) for k in keys]
+    return left.join(other, same, how).drop(*[f"_right{k}" for k in keys])

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from tallygrid.llm import decontam, linededup
+from tallygrid.llm.bpe import op5_bpe
+from tallygrid.llm.decontam import op8_decontamination
+from tallygrid.llm.linededup import op6_line_dedup
+from tallygrid.llm.minhash import op3_minhash
 from tallygrid.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op3_minhash": op3_minhash,
+    "op5_bpe": op5_bpe,
+    "op6_line_dedup": op6_line_dedup,
+    "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op6_line_dedup": linededup.ORACLE,
+    "op8_decontamination": decontam.ORACLE,
+}
