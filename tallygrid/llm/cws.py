@@ -6,53 +6,41 @@ hash of the word. With t = floor(ln w / r + b) and ln a = ln c - r (t - b + 1) t
 sampled, together with its t. Two documents sample the same pair with a probability equal to the
 generalised Jaccard similarity of their weights, sum of minima over sum of maxima.
 
-Gamma quantiles come from a table of ``LEVELS`` steps, so a draw is a lookup. The order of ln a and
-the identity of the pair share one 64-bit number, so that all samples of a document are plain
-minima, added up by partial aggregates.
+The draws are cut from the bits of one hash. The order of ln a and the identity of the pair share
+one 64-bit number, so that all samples of a document are plain minima, added up by partial aggregates.
 """
 
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallygrid.llm.common import WHITE, join_null_safe, table
+from tallygrid.llm.common import WHITE, table
 from tallygrid.session import stored
 
-SAMPLES, LEVELS = 64, 2048
+SAMPLES = 32
+BITS = 12  # of each of the five uniform numbers of a draw
 LANE = 16  # bits of a sample in the fingerprint; four lanes make a number
 PACKED = [f"f{k}" for k in range(SAMPLES * LANE // 64)]
 KEY = ["id", "none", "h1", "h2"]  # identity of a document without nulls: its id and hashes of its text
 
 
-@lru_cache
-def gamma_quantiles(levels: int = LEVELS) -> list[float]:
-    """Quantiles of Gamma(2, 1) at the middles of equal steps, from 1 - (1 + x) exp(-x) = p."""
-    out, x = [], 0.0
-    for k in range(levels):
-        p, high = (k + 0.5) / levels, 60.0
-        low = x
-        for _ in range(60):
-            x = (low + high) / 2
-            low, high = (x, high) if 1 - (1 + x) * math.exp(-x) < p else (low, x)
-        out.append(x)
-    return out
-
-
-def _sample(k: int, word: Column, log_weight: Column, r_table: Column, c_table: Column) -> Column:
-    """One number for the k-th sample: ln a in the high bits, the sampled pair in the low 16."""
-    draw = F.xxhash64(word, F.lit(k))
-    bits = int(math.log2(LEVELS))
-    r = F.get(r_table, F.shiftrightunsigned(draw, 64 - bits).cast("int"))
-    log_c = F.get(c_table, F.shiftrightunsigned(draw, 64 - 2 * bits).bitwiseAND(LEVELS - 1).cast("int"))
-    b = draw.bitwiseAND((1 << 24) - 1) / float(1 << 24)
-    t = F.floor(log_weight / r + b)
-    log_a = log_c - r * (t - b + 1)
-    pair = F.hash(draw, t).bitwiseAND(0xFFFF)
-    return F.shiftleft(F.round(log_a * float(1 << 32)).cast("long"), 16).bitwiseOR(pair.cast("long"))
+def _sample(k: int) -> Column:
+    """One number for the k-th sample: ln a in the high bits, the sampled pair in the low ones."""
+    draw, steps = F.xxhash64("word", F.lit(k)), float(1 << BITS)
+
+    def uniform(j: int) -> Column:  # times the number of steps
+        return F.shiftrightunsigned(draw, 64 - BITS * (j + 1)).bitwiseAND((1 << BITS) - 1) + F.lit(0.5)
+
+    both = 2 * math.log(steps)
+    r, c = both - F.log(uniform(0) * uniform(1)), both - F.log(uniform(2) * uniform(3))
+    b = uniform(4) / steps
+    t = F.floor(F.col("lw") / r + b)
+    log_a = F.log(c) - r * (t - b + 1)
+    pair = F.hash(draw, t).bitwiseAND((1 << LANE) - 1).cast("long")
+    return F.shiftleft((log_a * float(1 << 32)).cast("long"), LANE).bitwiseOR(pair)
 
 
 def _weighted_words(texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,16 +56,14 @@ def _weighted_words(texts: DataFrame, keys: list[str]) -> DataFrame:
     )
     run = F.transform("starts", lambda at, k: F.struct(
         F.get("words", at).alias("word"), (F.coalesce(F.get("starts", k + 1), F.size("words")) - at).alias("n")))
-    exploded = hashed.withColumn("starts", starts).select(*keys, F.explode(run).alias("x"))
+    exploded = hashed.withColumn("starts", starts).select(*keys, F.explode_outer(run).alias("x"))
     return exploded.select(*keys, "x.word", F.log(F.col("x.n").cast("double")).alias("lw"))
 
 
 def _samples(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """The samples of each text, four in a number; texts without words give no row."""
-    quantiles = gamma_quantiles()
-    r_table, c_table = F.lit(quantiles), F.lit([math.log(x) for x in quantiles])
+    """The samples of each text, four in a number; nulls for a text without words."""
     words = _weighted_words(texts, keys)
-    least = [F.min(_sample(k, F.col("word"), F.col("lw"), r_table, c_table)).alias(f"s{k}") for k in range(SAMPLES)]
+    least = [F.min(_sample(k)).alias(f"s{k}") for k in range(SAMPLES)]
     each = 64 // LANE
 
     def lane(k: int, j: int) -> Column:
@@ -119,24 +105,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``fingerprint`` of every row of ``docs``; a text without words (null, empty
     or white space) has the empty fingerprint."""
     keyed = _keyed(docs)
-    found = _samples(keyed, KEY)
-    rows = keyed.drop("text").join(found, KEY, "left")
+    rows = keyed.drop("text").join(_samples(keyed, KEY), KEY)
     return rows.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), _printed(PACKED).alias("fingerprint"))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """Every different document: ``row`` (its number), its key, ``copies``, ``n_chars``, ``next``
-    (the number of the next) and ``p_*`` (key of the one before).
+    """Every different document: ``row`` (its number), its key, ``n_chars``, ``next`` (the number
+    of the next one), and key (``p_*``) and length (``p_chars``) of the one before.
 
     Documents come by descending id, null last, equal ids by their hashes; the last is followed
     by the first. Only ids, hashes and lengths are sorted: by range over the cluster, then within
     each range, and the ends of the ranges, one row for each, are joined up.
     """
-    rows = _keyed(docs).groupBy(*KEY).agg(F.count("*").alias("copies"), F.max(F.length("text")).alias("n_chars"))
+    rows = _keyed(docs).groupBy(*KEY).agg(F.max(F.length("text")).alias("n_chars"))
     order = [F.col("none"), F.col("id").desc(), F.col("h1"), F.col("h2")]
     ranged = rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id())
     ranged = stored(ranged.withColumn("row", F.monotonically_increasing_id()), "order")
-    me = F.struct(*KEY, "row")
+    me = F.struct(*KEY, "n_chars", "row")
     inside = Window.partitionBy("range").orderBy(*order)
     linked = ranged.select("*", F.lead(me).over(inside).alias("next"), F.lag(me).over(inside).alias("previous"))
     at = F.struct("none", -F.col("id"), "h1", "h2")
@@ -150,7 +135,8 @@ def neighbours(docs: DataFrame) -> DataFrame:
     )
     following, leading = F.coalesce("next", "after"), F.coalesce("previous", "before")
     return stored(linked.join(ends, "range").select(
-        "row", *KEY, "copies", "n_chars", following["row"].alias("next"), *[leading[c].alias(f"p_{c}") for c in KEY]
+        "row", *KEY, "n_chars", following["row"].alias("next"),
+        leading["n_chars"].alias("p_chars"), *[leading[c].alias(f"p_{c}") for c in KEY],
     ), "neighbours")
 
 
@@ -163,12 +149,34 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     the empty text. Rows with equal id and text are one document and come out as often as they are
     there; a null id is an id like any other. Further columns are not read; an empty table gives none.
     """
-    order = neighbours(docs)
-    placed = _keyed(docs).join(order.select("row", *KEY, "n_chars", "copies", *[f"p_{c}" for c in KEY]), KEY)
-    # The beginning that the document before takes over; of equal rows each gives it.
-    lent = order.select(*[F.col(c).alias(f"p_{c}") for c in KEY], F.expr("n_chars div 2").cast("int").alias("need"))
-    given = _keyed(docs).join(order.select(*KEY, *[f"p_{c}" for c in KEY]), KEY).join(lent, [f"p_{c}" for c in KEY])
-    return order, placed, given
+    # Equal rows are joined into one before anything is shuffled.
+    one_each = _keyed(docs).groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    placed = one_each.join(neighbours(docs), KEY)
+    given = placed.select(
+        *[F.col(f"p_{c}").alias(c) for c in KEY], F.expr("substring(text, 1, int(p_chars div 2))").alias("begin")
+    )
+    kept = F.expr("substring(text, 1, int(n_chars - n_chars div 2))")
+    both = placed.select(*KEY, "row", "copies", "n_chars", "next", "text").join(given, KEY)
+    edited = both.withColumn("edited", F.concat(kept, "begin"))
+    versions = edited.select(*KEY, "row", "copies", "n_chars", "next", F.explode(F.array(
+        F.struct(F.lit(0).alias("version"), F.lit("").alias("sha"), F.col("text").alias("text")),
+        F.struct(F.lit(1).alias("version"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), F.col("edited").alias("text")),
+    )).alias("x")).select("*", "x.*").drop("x")
+    keys = [*KEY, "row", "copies", "n_chars", "next", "version", "sha"]
+    found = stored(_samples(versions, keys), "fingerprints")
+    own = found.where("version = 0").drop("version", "sha", "h1", "h2")
+    changed = found.where("version = 1").select("row", "sha", *[F.col(f).alias(f"e_{f}") for f in PACKED])
+    following = own.select(F.col("row").alias("next"), *[F.col(f).alias(f"n_{f}") for f in PACKED])
+    joined = own.join(changed, "row").join(following, "next")
+    names = {p: [f"{p}{f}" for f in PACKED] for p in ("", "e_", "n_")}
+    result = joined.select(
+        F.when(~F.col("none"), F.col("id")).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"),
+        F.col("sha").alias("edited_sha256"), _printed(names[""]).alias("fingerprint"),
+        _printed(names["e_"]).alias("edited_fingerprint"), likeness(names[""], names["e_"]).alias("near_edited"),
+        likeness(names[""], names["n_"]).alias("near_next"), "copies",
+    )
+    again = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return result.withColumn("_copy", again).drop("copies", "_copy")
 
 
 def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
