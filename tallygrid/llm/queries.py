@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from tallygrid.llm import decontam, linededup
 from tallygrid.llm.bpe import op5_bpe
+from tallygrid.llm.cws import op10_weighted_sampling
 from tallygrid.llm.decontam import op8_decontamination
+from tallygrid.llm.html import op1_html
+from tallygrid.llm.langid import op2_language
 from tallygrid.llm.linededup import op6_line_dedup
 from tallygrid.llm.minhash import op3_minhash
+from tallygrid.llm.quality import op4_quality
 from tallygrid.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_html": op1_html,
+    "op2_language": op2_language,
     "op3_minhash": op3_minhash,
+    "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
     "op6_line_dedup": op6_line_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
+    "op10_weighted_sampling": op10_weighted_sampling,
 }
 
 ORACLES = {
