@@ -9,6 +9,7 @@ from tallygrid.llm.decontam import op8_decontamination
 from tallygrid.llm.html import op1_html
 from tallygrid.llm.langid import op2_language
 from tallygrid.llm.linededup import op6_line_dedup
+from tallygrid.llm.lm import op7_language_model
 from tallygrid.llm.minhash import op3_minhash
 from tallygrid.llm.quality import op4_quality
 from tallygrid.llm.toxicity import op9_toxicity
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
     "op6_line_dedup": op6_line_dedup,
+    "op7_language_model": op7_language_model,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_weighted_sampling": op10_weighted_sampling,
