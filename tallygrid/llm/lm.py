@@ -218,14 +218,14 @@ def filter_shards(docs: DataFrame, words: Words, shards: int) -> DataFrame:
 
 SCORED = (
     "rid long, doc_id long, n_tokens long, n_known long, base double, score double, "
-    "rare array<struct<a:long,b:long,n:long,m:long>>"
+    "rare array<struct<a:long,b:long,level:int,n:long,m:long>>"
 )
 
 
 def _score_round(rows: DataFrame, words: Words, shards: int, held: dict[int, bytes], first: bool) -> DataFrame:
     """Sums over the tokens whose bigram lies in one of the ``held`` shards; the counts of tokens and
     the single-word sums come with the ``first`` round. ``rare`` lists the words whose count is
-    still to be looked up: ``n`` places for the base, ``m`` places for the score."""
+    still to be looked up, with the level of the bigram: ``n`` places for the base, ``m`` for the score."""
     context = rows.sparkSession.sparkContext
     shared, data = context.broadcast(vars(words)), context.broadcast(held)
 
@@ -240,33 +240,34 @@ def _score_round(rows: DataFrame, words: Words, shards: int, held: dict[int, byt
             add = lambda v, at: np.bincount(row[at], weights=v, minlength=size)
             order = np.argsort(shard, kind="stable")
             bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-            value, missing = np.zeros(len(shard)), np.zeros(len(shard), bool)
+            value, levels = np.zeros(len(shard)), np.full(len(shard), -1)
             for s, bits in data.value.items():
                 at = order[bounds[s] : bounds[s + 1]]
                 v, w = x.before[at], x.tokens[at]
-                seen = _count_of(_levels(bits, bigram[at]))
+                levels[at] = _levels(bits, bigram[at])
                 of_history = np.maximum(counts[v], 0).astype(np.float64)
                 rare = ~known[v]
                 of_history[rare] = _count_of(_levels(bits, history[v[rare]]))
-                of_history = np.maximum(of_history, seen)
-                found = (seen > 0) | known[w]
-                p = (seen + PRIOR * 10.0 ** log_p[w]) / (of_history + PRIOR)
-                # A rare word without a bigram: its own probability follows by the join.
-                value[at] = np.where(found, np.log10(p), np.log10(PRIOR / (of_history + PRIOR)))
-                missing[at] = ~found
+                # A wrong hit cannot exceed the counts of the words it is made of.
+                levels[at] = np.where(of_history > 0, levels[at], 0)
+                seen = np.minimum(_count_of(levels[at]), of_history)
+                seen = np.where(known[w], np.minimum(seen, counts[w]), seen)
+                # What a rare word adds above the fraction line follows by the join.
+                above = np.where(known[w], np.log10(seen + PRIOR * 10.0 ** log_p[w]), 0.0)
+                value[at] = above - np.log10(of_history + PRIOR)
             every = slice(None)
             tail = ~known[x.tokens]
-            listed = np.flatnonzero(tail if first else missing)
-            key = row[listed] * len(x.a) + x.tokens[listed]
-            pairs, back = np.unique(key, return_inverse=True)
-            n = np.bincount(back, minlength=len(pairs)) * first
-            m = np.bincount(back, weights=missing[listed], minlength=len(pairs)).astype(np.int64)
+            listed = np.flatnonzero(tail if first else tail & (levels >= 0))
+            key = (row[listed] * len(x.a) + x.tokens[listed]) * 65 + levels[listed] + 1
+            pairs, n = np.unique(key, return_counts=True)
+            level, pairs = (pairs % 65 - 1).astype(np.int32), pairs // 65
+            m = n * (level >= 0)
             owner, word = pairs // len(x.a), pairs % len(x.a)
             lists = pa.ListArray.from_arrays(
                 pa.array(np.searchsorted(owner, np.arange(size + 1)).astype(np.int32)),
                 pa.StructArray.from_arrays(
-                    [pa.array(c) for c in (x.a[word].view(np.int64), x.b[word].view(np.int64), n.astype(np.int64), m)],
-                    names=["a", "b", "n", "m"],
+                    [pa.array(c) for c in (x.a[word].view(np.int64), x.b[word].view(np.int64), level, n * int(first), m)],
+                    names=["a", "b", "level", "n", "m"],
                 ),
             )
             rid = np.arange(number, number + size)
@@ -315,9 +316,11 @@ def score_documents(
         scored = scored.unionByName(part)
     rare = scored.select("rid", F.explode("rare").alias("x")).select("rid", "x.*")
     c = F.coalesce("c", F.lit(0))
-    log_p = F.log10((c + 0.5) / (words.tokens + 0.5 * (words.different + 1)))
+    p = (c + 0.5) / (words.tokens + 0.5 * (words.different + 1))
+    low = F.pow(F.lit(2.0), F.col("level") - 1)
+    seen = F.when(F.col("level") <= 0, 0.0).otherwise(F.least(F.sqrt(low * (2 * low - 1)), c))
     looked_up = rare.join(counts, ["a", "b"], "left").groupBy("rid").agg(
-        F.sum(F.col("n") * log_p).alias("more_base"), F.sum(F.col("m") * log_p).alias("more_score"),
+        F.sum(F.col("n") * F.log10(p)).alias("more_base"), F.sum(F.col("m") * F.log10(seen + PRIOR * p)).alias("more_score"),
         F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more_known"),
     )
     whole = scored.drop("rare")
