@@ -6,11 +6,11 @@ minima are the keys of buckets; classes that share a bucket are candidates. The
 minima discards candidates that are far below the limit, the full shingle sets decide on the
 rest, and connected components come from alternating large-star and small-star rounds.
 
-No bucket is expanded into all pairs. First every member is compared with the least member of its
+No bucket is expanded into pairs. First every member is compared with the least member of its
 bucket, which joins a group of copies. Only buckets that still hold several components are
-looked at again: their members are dealt into small blocks and blocks are compared in arrays,
-where pairs within one component are passed over. So every pair in a common bucket is either
-compared or known to be connected.
+looked at again: their members are dealt into blocks of bounded size, and a task takes two blocks
+that meet in a bucket, skips what is connected and passes on only the links that join components.
+So every pair in a common bucket is either compared or known to be connected.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from tallygrid.session import stored
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
 MARGIN = 0.15  # so far below the limit the share of equal minima rules a pair out: more than four deviations
-BLOCK = 128  # members of a bucket that are compared at once
+BLOCK, BLOCK_SHINGLES = 128, 1 << 17  # about so many members and shingles are in a block
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -143,26 +144,28 @@ def _sizes_allow(n_a: Column, n_b: Column, percent: int) -> Column:
     return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """The pairs whose full shingle sets reach the limit."""
-    pairs = stored(pairs, f"{name}-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    chosen = classes.join(ends, "c").select("c", "h1", "h2", "n")
-    texts = _hashed(docs).drop("doc_id").join(chosen, ["h1", "h2"])
-    one_each = texts.groupBy("c").agg(F.first("text").alias("text"), F.first("n").alias("n"))
+def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``c``, ``n``, ``minima`` and the full shingle ``set`` of the classes in ``nodes``."""
+    chosen = classes.join(nodes, "c").select("c", "h1", "h2")
+    texts = _hashed(docs).drop("doc_id").join(chosen, ["h1", "h2"]).groupBy("c").agg(F.first("text").alias("text"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(width)
         for batch in batches:
             found = [np.unique(shingler(t).view(np.int64)) for t in batch["text"]]
-            yield pd.DataFrame({"c": batch["c"], "n": batch["n"], "set": found})
+            yield pd.DataFrame({"c": batch["c"], "set": found})
+
+    full = stored(texts.mapInPandas(sets, "c long, set array<long>"), "sets")
+    return full.join(classes.select("c", "n", "minima"), "c")
+
 
-    full = stored(one_each.mapInPandas(sets, "c long, n long, set array<long>"), f"{name}-sets")
-    a = full.select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("set").alias("set_a"))
-    b = full.select(F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("set").alias("set_b"))
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets reach the limit."""
+    a = sets.select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("set").alias("set_a"))
+    b = sets.select(F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("set").alias("set_b"))
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.col("n_a") + F.col("n_b") - common
-    return stored(pairs.join(a, "a").join(b, "b").where(100 * common >= percent * union).select("a", "b"), name)
+    return stored(pairs.join(a, "a").join(b, "b").where(100 * common >= percent * union).select("a", "b"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -196,54 +199,81 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def _rest(buckets: DataFrame, found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in a common bucket that minima do not rule out."""
-    placed = buckets.join(found, "c", "left").withColumn("component", F.coalesce("component", "c"))
-    mixed = placed.groupBy("band", "key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")
-    ).where("low <> high")
-    # A component that fills blocks of its own needs no comparison inside them.
-    own = placed.groupBy("band", "key", "component").agg(F.count("*").alias("of_own"))
-    own = own.join(mixed, ["band", "key"])
-    pure = F.col("of_own") >= BLOCK
-    spread = F.when(pure, F.ceil(F.col("of_own") / BLOCK)).otherwise(F.ceil(F.col("members") / BLOCK))
-    own = own.select("band", "key", "component", F.when(pure, F.col("component")).otherwise(-1).alias("kind"), spread.alias("spread"))
-    at = F.pmod(F.xxhash64("c", F.lit(3)), F.col("spread")).alias("part")
-    members = placed.join(own, ["band", "key", "component"]).select("c", "component", "band", "key", "kind", at)
-    described = members.join(classes.select("c", "n", "minima"), "c")
-    blocks = stored(described.groupBy("band", "key", "kind", "part").agg(
-        F.collect_list(F.struct("c", "component", "n", "minima")).alias("rows")
+def _rest(buckets: DataFrame, stars: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that meet in a bucket, at least enough to join what is linked.
+
+    A cluster is what buckets connect, linked or not; all members of a bucket are in one cluster.
+    Blocks lie within a cluster. A component that fills blocks of its own has only these, so that
+    blocks which need no comparison with each other are many where a group is large.
+    """
+    placed = components(stars).withColumnRenamed("component", "cluster").join(found, "c", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "c"))
+    several = placed.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    placed = placed.join(several.where("low <> high").select("cluster"), "cluster").join(sets.select("c", "n"), "c")
+    sizes = placed.groupBy("cluster", "component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    kind = F.when((F.col("members") >= BLOCK) | (F.col("shingles") >= BLOCK_SHINGLES), F.col("component")).otherwise(-1)
+    kinds = sizes.withColumn("kind", kind)
+    parts = F.ceil(F.greatest(F.sum("members") / BLOCK, F.sum("shingles") / BLOCK_SHINGLES)).alias("parts")
+    kinds = kinds.join(kinds.groupBy("cluster", "kind").agg(parts), ["cluster", "kind"])
+    block = F.xxhash64("cluster", "kind", F.pmod(F.xxhash64("c", F.lit(3)), F.col("parts")))
+    members = stored(placed.drop("n").join(kinds.select("cluster", "component", "kind", "parts"), ["cluster", "component"])
+                     .select("c", "component", block.alias("block")), "members")
+    there = buckets.join(members, "c").groupBy("band", "key", "block").agg(
+        F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    mixed = there.groupBy("band", "key").agg(F.min("low").alias("lo"), F.max("high").alias("hi")).where("lo <> hi")
+    there = there.join(mixed.select("band", "key"), ["band", "key"])
+    one = there.select("band", "key", *[F.col(x).alias(f"{x}_a") for x in ("block", "low", "high")])
+    other = there.select("band", "key", *[F.col(x).alias(f"{x}_b") for x in ("block", "low", "high")])
+    differ = F.least("low_a", "low_b") != F.greatest("high_a", "high_b")
+    meeting = one.join(other, ["band", "key"]).where((F.col("block_a") <= F.col("block_b")) & differ)
+    meeting = stored(meeting.select("block_a", "block_b").distinct(), "meeting")
+    rows = stored(members.join(sets, "c").groupBy("block").agg(
+        F.collect_list(F.struct("c", "component", "n", "minima", "set")).alias("rows")
     ), "blocks")
-    left = blocks.select("band", "key", *[F.col(x).alias(f"{x}_a") for x in ("kind", "part", "rows")])
-    right = blocks.select("band", "key", *[F.col(x).alias(f"{x}_b") for x in ("kind", "part", "rows")])
-    order_a, order_b = F.struct("kind_a", "part_a"), F.struct("kind_b", "part_b")
-    twice = left.join(right, ["band", "key"]).where((order_a <= order_b) & (F.expr("kind_a <> kind_b OR kind_a = -1")))
+    twice = meeting.join(rows.select(F.col("block").alias("block_a"), F.col("rows").alias("rows_a")), "block_a")
+    twice = twice.join(rows.select(F.col("block").alias("block_b"), F.col("rows").alias("rows_b")), "block_b")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for band, one, other in zip(batch["band"], batch["rows_a"], batch["rows_b"], strict=True):
-                yield _pairs_of_blocks(int(band), list(one), list(other), percent)
+            for k in range(batch.num_rows):
+                found = _between(_Block(batch.column("rows_a")[k]), _Block(batch.column("rows_b")[k]), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)] or [pa.array([], pa.int64())] * 2, names=["a", "b"])
+
+    return stored(twice.select("rows_a", "rows_b").mapInArrow(compare, "a long, b long"), "more-links")
+
 
-    return twice.select("band", "rows_a", "rows_b").mapInPandas(compare, "a long, b long").distinct()
+class _Block:
+    """Members of a block as arrays."""
 
+    def __init__(self, rows: pa.ListScalar):
+        values = rows.values
+        self.c, self.component, self.n = (values.field(x).to_numpy(zero_copy_only=False) for x in ("c", "component", "n"))
+        self.minima = np.frombuffer(b"".join(values.field("minima").to_pylist()), np.int32).reshape(-1, HASHES)
+        self.sets = [s.values.to_numpy() for s in values.field("set")]
 
-def _pairs_of_blocks(band: int, one: list[dict], other: list[dict], percent: int) -> pd.DataFrame:
-    def columns(rows):
-        minima = np.frombuffer(b"".join(r["minima"] for r in rows), np.int32).reshape(-1, HASHES)
-        return (*(np.array([r[x] for r in rows], np.int64) for x in ("c", "component", "n")), minima)
 
-    c_a, k_a, n_a, m_a = columns(one)
-    c_b, k_b, n_b, m_b = columns(other)
+def _between(one: _Block, other: _Block, percent: int) -> list[tuple[int, int]]:
+    """Links that join components, by exact sets of all pairs that minima and sizes do not rule out."""
+    parent: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while parent.get(k, k) != k:
+            k = parent[k]
+        return k
+
     out = []
-    for i in range(len(c_a)):
-        same = m_a[i] == m_b
-        fit = (k_b != k_a[i]) & (same.mean(1) >= percent / 100 - MARGIN)
-        fit &= 100 * np.minimum(n_b, n_a[i]) >= percent * np.maximum(n_b, n_a[i])
-        if band and fit.any():  # a pair counts in the first band it shares
-            shared = same[fit].reshape(-1, BANDS, ROWS).all(2)
-            fit[np.flatnonzero(fit)[shared[:, :band].any(1)]] = False
-        out.append(np.stack([np.minimum(c_b[fit], c_a[i]), np.maximum(c_b[fit], c_a[i])], 1))
-    return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+    for i in range(len(one.c)):
+        fit = (one.minima[i] == other.minima).mean(1) >= percent / 100 - MARGIN
+        fit &= 100 * np.minimum(other.n, one.n[i]) >= percent * np.maximum(other.n, one.n[i])
+        for j in np.flatnonzero(fit):
+            a, b = root(int(one.component[i])), root(int(other.component[j]))
+            if a != b:
+                common = len(np.intersect1d(one.sets[i], other.sets[j], assume_unique=True))
+                if 100 * common >= percent * (int(one.n[i]) + int(other.n[j]) - common):
+                    parent[max(a, b)] = min(a, b)
+                    out.append((int(one.c[i]), int(other.c[j])))
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -260,10 +290,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     buckets = _buckets(classes)
     centers = buckets.groupBy("band", "key").agg(F.min("c").alias("a"), F.count("*").alias("members")).where("members > 1")
     stars = buckets.join(centers, ["band", "key"]).where("a <> c").select("a", F.col("c").alias("b")).distinct()
-    links = _links(_alike(stars, classes, percent), classes, docs, width, percent, "links")
+    stars = stored(stars, "candidates")
+    sets = _sets(stars.select(F.explode(F.array("a", "b")).alias("c")).distinct(), classes, docs, width)
+    links = _links(_alike(stars, classes, percent), sets, percent)
     found = components(links)
-    rest = _rest(buckets, found, classes, percent)
-    more = _links(rest, classes, docs, width, percent, "more-links")
+    more = _rest(buckets, stars, found, sets, percent)
     found = components(links.unionByName(more))
     named = classes.join(found, "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
