@@ -133,7 +133,8 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         "head IS NOT NULL AND tail IS NOT NULL"
     )
     named = stored(named, "runs")
-    first = named.groupBy("n", "head", "tail").agg(F.min(_place("start")).alias("first"))
+    # Stored, so that the join below deals its rows anew and can split a run that is everywhere.
+    first = stored(named.groupBy("n", "head", "tail").agg(F.min(_place("start")).alias("first")), "first-runs")
     later = named.join(first, ["n", "head", "tail"]).where(~_place("start").eqNullSafe(F.col("first")))
     longest = later.groupBy(*DOC, F.col("start").alias("pos")).agg(F.max("n").alias("n"))
     reach = F.max(F.col("pos") + F.col("n")).over(
