@@ -47,7 +47,7 @@ NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""",
 
 # Weights of the classifier, in log-odds of content.
 BIAS, IN_MAIN, IN_BOILERPLATE, PER_WORD, MOST_WORDS, LINKED = -1.0, 3.0, -8.0, 0.1, 30, -4.0
-NEXT, SAME_PARENT = 1.0, 0.7  # smoothness
+NEXT, SAME_PARENT = 2.0, 1.4  # smoothness
 
 
 class Block:

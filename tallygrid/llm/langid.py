@@ -163,7 +163,7 @@ def shares(field: Field, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     words = _words_of(texts)
     lengths = np.array([len(w) for w in words], np.int64)
     out = np.zeros((len(texts), len(field.languages)))
-    if lengths.sum():
+    if lengths.sum() and field.languages:
         different, numbers = _numbered(words)
         emission = emissions(field, different)
         ends = np.concatenate([[0], np.cumsum(lengths)[:-1]])
