@@ -10,7 +10,7 @@ from tests.llm.rows import LONG, ODD, documents, words
 
 def weighted_jaccard(a, b):
     a, b = collections.Counter(a.split()), collections.Counter(b.split())
-    return sum((a & b).values()) / max(1, sum((a | b).values()))
+    return sum((a & b).values()) / sum((a | b).values()) if a or b else 1.0
 
 
 def ordered(docs):
