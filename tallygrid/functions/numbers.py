@@ -12,7 +12,7 @@ from tallygrid.functions.lists import keep
 
 # Money is exact inside the library and turned into DOUBLE only at the output, so
 # that sums do not depend on the order in which partitions are merged.
-AMOUNT_TYPE = "decimal(28,6)"
+AMOUNT_TYPE = "decimal(38,6)"
 
 # The characters Python's str.strip removes.
 WHITESPACE = (
@@ -21,6 +21,8 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
 
 def _plain(text: Column | str) -> Column:
     return F.btrim(F.translate(as_column(text), ",.;", "."), F.lit(WHITESPACE))
@@ -29,16 +31,16 @@ def _plain(text: Column | str) -> Column:
 def clean_amount(text: Column | str) -> Column:
     """Number text in Spanish layout (``1.234,56``) as an exact decimal.
 
-    Blank, null and unreadable text gives 0; so do amounts of 10^22 and more.
-    Digits after the sixth decimal are rounded.
+    Blank, null and unreadable text gives 0, as do ``inf`` and ``nan``. Digits after the
+    sixth decimal are rounded. A number of 10^32 or more raises: no amount is lost.
     """
     plain = _plain(text)
     # Python reads 1_000 as 1000. Hardly any text holds an underscore, so this is
     # tried only where the plain text is no number.
     grouped = F.regexp_replace(plain, r"(?<=\d)_(?=\d)", "")
-    return F.coalesce(
-        plain.try_cast(AMOUNT_TYPE), grouped.try_cast(AMOUNT_TYPE), F.lit(0).cast(AMOUNT_TYPE)
-    )
+    too_large = F.raise_error(F.concat(F.lit("amount out of range: "), as_column(text)))
+    rest = F.when(grouped.rlike(NUMBER), too_large.cast(AMOUNT_TYPE)).otherwise(F.lit(0).cast(AMOUNT_TYPE))
+    return F.coalesce(plain.try_cast(AMOUNT_TYPE), grouped.try_cast(AMOUNT_TYPE), rest)
 
 
 def is_unreadable(text: Column | str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 from itertools import batched
@@ -35,6 +36,14 @@ CONCEPTS = (
     Concept("resultado", "Resultado", r"D\) RESULTADO DEL"),
 )
 
+# Two more items of a closing mail, and all twelve together.
+EXTENDED = (
+    *CONCEPTS[:1],
+    Concept("aprovisionamientos", "Aprovisionamientos", "4. Aprovisionamientos"),
+    *CONCEPTS[1:5],
+    Concept("deterioros", "Deterioros", "11. Deterioro"),
+    *CONCEPTS[5:],
+)
 
 
 def concepts_named(*keys: str) -> list[Concept]:
@@ -42,12 +51,8 @@ def concepts_named(*keys: str) -> list[Concept]:
     return [c for c in CONCEPTS if c.key in keys]
 
 
-# Up to this many concepts are added up side by side in one scan.
-CONCEPTS_PER_SCAN = 25
 # Patterns tried on the distinct labels in one projection.
 PATTERNS_PER_PASS = 100
-# A pattern table is configuration; a larger one points to the wrong input.
-MAX_PATTERNS = 10_000
 
 
 def year_amount(year: int) -> Column:
@@ -62,13 +67,16 @@ def concept_totals(
     by: Sequence[str] = ("client",),
     concepts: Sequence[Concept] = CONCEPTS,
     anchored: bool = False,
+    also: Sequence[Column] = (),
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per client with ``<key>_cur`` and ``<key>_prev`` for every concept.
 
     ``current`` and ``previous`` are the two amounts of a line. A line may count
     for several concepts; a concept without lines is 0. All sums are made in one
     scan, first inside each task and then by client: what is shuffled is one row per
-    task and client, also when one client holds much of the data.
+    task and client, also when one client holds much of the data. ``also`` are further
+    aggregates over the columns ``keep``, made in the same pass.
     """
     hit = [f"_hit{n}" for n in range(len(concepts))]
     tagged = lines.select(
@@ -77,7 +85,7 @@ def concept_totals(
     # Most lines of a ledger hit nothing; their amounts need not be read from text.
     any_hit = reduce(Column.__or__, [F.col(h) for h in hit])
     flagged = tagged.select(
-        *by, *hit, F.when(any_hit, current).alias("_cur"), F.when(any_hit, previous).alias("_prev")
+        *by, *keep, *hit, F.when(any_hit, current).alias("_cur"), F.when(any_hit, previous).alias("_prev")
     )
 
     def total(amount: str, h: str, name: str) -> Column:
@@ -89,6 +97,7 @@ def concept_totals(
     return flagged.groupBy(*by).agg(
         *[total("_cur", h, f"{c.key}_cur") for c, h in zip(concepts, hit)],
         *[total("_prev", h, f"{c.key}_prev") for c, h in zip(concepts, hit)],
+        *also,
     )
 
 
@@ -98,15 +107,19 @@ def year_totals(
     by: Sequence[str] = ("client",),
     concepts: Sequence[Concept] = CONCEPTS,
     anchored: bool = False,
+    prune: bool = False,
 ) -> DataFrame:
-    """:func:`concept_totals` of long lines. Other years are filtered out first, so
-    that a table partitioned by year reads two of its folders."""
+    """:func:`concept_totals` of long lines. A client without lines in these years has zeros.
+
+    With ``prune`` other years are filtered out first, so that a table partitioned by year
+    reads two of its folders; a client that has lines in other years only is left out then.
+    """
     current, previous = (year_amount(y) for y in years)
-    return concept_totals(_of_years(lines, years), current, previous, by, concepts, anchored)
+    return concept_totals(_of_years(lines, years, prune), current, previous, by, concepts, anchored)
 
 
-def _of_years(lines: DataFrame, years: tuple[int, int]) -> DataFrame:
-    return lines.filter(F.col("year").isin(*years))
+def _of_years(lines: DataFrame, years: tuple[int, int], prune: bool) -> DataFrame:
+    return lines.filter(F.col("year").isin(*years)) if prune else lines
 
 
 def pattern_total(
@@ -142,24 +155,28 @@ def concept_summary(
     by: Sequence[str] = ("client",),
     concepts: Sequence[Concept] = CONCEPTS,
     anchored: bool = False,
+    prune: bool = False,
 ) -> DataFrame:
-    """Summary of long lines for any number of concepts.
-
-    A short list is tried on every line in one scan. A longer list is tried on the
-    distinct labels only, in a job of its own, and joined back to the lines.
-    """
-    if len(concepts) > CONCEPTS_PER_SCAN:
-        return _summary_by_label(_of_years(lines, years), years, by, concepts, anchored)
-    return to_summary(year_totals(lines, years, by, concepts, anchored), years, by, concepts)
+    """Summary of long lines; every pattern is tried on every line, in one scan."""
+    return to_summary(year_totals(lines, years, by, concepts, anchored, prune), years, by, concepts)
 
 
-def _summary_by_label(
+def summary_by_label(
     lines: DataFrame,
     years: tuple[int, int],
-    by: Sequence[str],
-    concepts: Sequence[Concept],
-    anchored: bool,
+    by: Sequence[str] = ("client",),
+    concepts: Sequence[Concept] = CONCEPTS,
+    anchored: bool = False,
+    prune: bool = False,
 ) -> DataFrame:
+    """The result of :func:`concept_summary` for long lists of concepts.
+
+    Patterns are tried on the distinct labels only, in a job that runs now. The matches are
+    written to a folder ``label-matches-*`` below ``spark.checkpoint.dir``, where they must stay
+    until the result is read. The lines are then read once, added up by client and concept, and
+    concepts without lines are filled in after the last shuffle.
+    """
+    lines = _of_years(lines, years, prune)
     labels = lines.select("label").distinct()
 
     def hits(batch: Sequence[tuple[int, Concept]]) -> Column:
@@ -181,36 +198,49 @@ def _summary_by_label(
     amounts = lines.select(
         *by, "label", year_amount(years[0]).alias(cur), year_amount(years[1]).alias(prev)
     )
-    found = amounts.join(matched, "label").select(*by, "n", cur, prev)
-    nothing = F.lit(0).cast(AMOUNT_TYPE)
-    everyone = (
-        lines.select(*by)
-        .distinct()
-        .select(
-            *by,
-            F.explode(F.sequence(F.lit(0), F.lit(len(concepts) - 1))).alias("n"),
-            nothing.alias(cur),
-            nothing.alias(prev),
-        )
-    )
+    # A line without a match keeps a row with a null n, which shows that its client exists.
+    sums = amounts.join(matched, "label", "left").groupBy(*by, "n").agg(F.sum(cur).alias(cur), F.sum(prev).alias(prev))
+    entry = F.struct("n", F.struct(cur, prev).alias("v"))
+    known = sums.groupBy(*by).agg(F.collect_list(F.when(F.col("n").isNotNull(), entry)).alias("entries"))
+    filled = known.withColumn("found", F.map_from_entries("entries"))
     names = F.array(*[F.lit(c.name) for c in concepts])
-    return (
-        found.unionByName(everyone)
-        .groupBy(*by, "n")
-        .agg(*[F.coalesce(F.sum(y), nothing).cast("double").alias(y) for y in (cur, prev)])
-        .select(*by, F.get(names, F.col("n")).alias("concept"), cur, prev)
-    )
+    rows = filled.select(*by, "found", F.posexplode(names).alias("n", "concept"))
+
+    def amount(name: str) -> Column:
+        nothing = F.lit(0).cast(AMOUNT_TYPE)
+        return F.coalesce(F.element_at("found", F.col("n"))[name], nothing).cast("double").alias(name)
 
+    return rows.select(*by, "concept", amount(cur), amount(prev))
 
-def concepts_from_table(patterns: DataFrame) -> list[Concept]:
-    """Concepts from a configuration table ``(concept, pattern)``.
 
-    The patterns become literals of the plan: a regex taken from a column would be
-    compiled again for every line. The size is checked before anything is read.
+def concepts_from_json(text: str) -> list[Concept]:
+    """Concepts from a configuration text: an object of concept names and their patterns.
+
+    Configuration is part of the program: the patterns become literals of the plan, since a
+    regex taken from a column would be compiled again for every line.
     """
-    rows = patterns.select("concept", "pattern").limit(MAX_PATTERNS + 1).collect()
-    if not 0 < len(rows) <= MAX_PATTERNS:
-        raise ValueError(f"a pattern table holds 1 to {MAX_PATTERNS} rows")
-    if len({r.concept for r in rows}) != len(rows) or any(None in r for r in rows):
-        raise ValueError("every concept needs one name of its own and one pattern")
-    return [Concept(f"k{n}", r.concept, r.pattern) for n, r in enumerate(sorted(rows))]
+
+    def once(pairs: list[tuple[str, str]]) -> dict[str, str]:
+        if len(dict(pairs)) != len(pairs):
+            raise ValueError("every concept needs a name of its own")
+        return dict(pairs)
+
+    found = json.loads(text, object_pairs_hook=once)
+    if not isinstance(found, dict) or not found or not all(isinstance(p, str) for p in found.values()):
+        raise ValueError("concepts are an object of names and patterns")
+    return [Concept(f"k{n}", name, pattern) for n, (name, pattern) in enumerate(sorted(found.items()))]
+
+
+def account_totals(
+    lines: DataFrame, years: tuple[int, int], digits: int = 3, by: Sequence[str] = ("client",)
+) -> DataFrame:
+    """Totals by the root of the account code that a label starts with: ``account`` and one DOUBLE
+    column per year. The accounts are those found in the data; labels without a code of
+    ``digits`` digits are left out."""
+    account = F.regexp_extract("label", rf"^\s*(\d{{{digits}}})", 1).alias("account")
+    cur, prev = (f"y{y}" for y in years)
+    found = lines.select(*by, account, *[year_amount(y).alias(n) for y, n in zip(years, (cur, prev))])
+    sums = found.filter(F.col("account") != "").groupBy(*by, "account").agg(
+        *[F.coalesce(F.sum(n), F.lit(0).cast(AMOUNT_TYPE)).cast("double").alias(n) for n in (cur, prev)]
+    )
+    return sums

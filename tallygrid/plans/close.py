@@ -9,21 +9,35 @@ from tallygrid.functions.numbers import clean_amount
 from tallygrid.operators.close_rules import DEFAULTS, Thresholds
 from tallygrid.operators.concepts import concept_totals
 from tallygrid.operators.letters import letter_bodies
-from tallygrid.sources.ledgers import read_ledgers, year_columns
+from tallygrid.sources.ledgers import one_file_each, read_ledgers, year_columns
 from tallygrid.sources.letters import write_letters
 
 
 def folder_totals(
-    spark: SparkSession, path: str, years: tuple[int, int], client: Column | None = None
+    spark: SparkSession,
+    path: str,
+    years: tuple[int, int],
+    client: Column | None = None,
+    same_names: bool = False,
 ) -> DataFrame:
-    """Concept totals of every ledger in a folder, straight from the wide lines."""
-    wide = read_ledgers(spark, path, client)
+    """Concept totals of every ledger in a folder, straight from the wide lines.
+
+    Clients are named by their files. If one name stands for files in several folders, the
+    result raises an error, unless ``same_names`` says that these are one client's books.
+    """
+    checked = client is None and not same_names
+    wide = read_ledgers(spark, path, client, with_path=True)
     columns = year_columns(wide)
     missing = [y for y in years if y not in columns]
     if missing:
         raise ValueError(f"no column for {missing} in {wide.columns}")
     current, previous = (clean_amount(F.col(f"`{columns[y]}`")) for y in years)
-    return concept_totals(wide, current, previous)
+    if not checked:
+        return concept_totals(wide, current, previous)
+    ends = [F.min("path").alias("_first"), F.max("path").alias("_last")]
+    totals = concept_totals(wide, current, previous, also=ends, keep=["path"])
+    name = one_file_each(F.col("client"), F.col("_first"), F.col("_last"))
+    return totals.withColumn("client", name).drop("_first", "_last")
 
 
 def close_folder(
@@ -32,6 +46,8 @@ def close_folder(
     out: str,
     years: tuple[int, int],
     thresholds: Thresholds = DEFAULTS,
+    same_names: bool = False,
 ) -> None:
     """Write one letter per client of a folder of ledgers."""
-    write_letters(letter_bodies(folder_totals(spark, path, years), years, thresholds), out)
+    totals = folder_totals(spark, path, years, same_names=same_names)
+    write_letters(letter_bodies(totals, years, thresholds), out)

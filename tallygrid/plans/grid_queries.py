@@ -52,19 +52,12 @@ def constant_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def random_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _per_row(make_random_matrix(spark, *_shape(spark, sf_dir), seed=7), "i")
+    return make_random_matrix(spark, *_shape(spark, sf_dir), seed=7)
 
 
 def random_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = grid_cells_per_row(_part_shapes(spark, sf_dir), ["p_partkey"])
-    return _per_row(cells.withColumn("v", uniform(7, "p_partkey", "i", "j")), "p_partkey")
-
-
-def _per_row(cells: DataFrame, key: str) -> DataFrame:
-    """What can be said of random values: their number and bounds."""
-    return cells.groupBy(key).agg(
-        F.count("v").alias("n"), F.every((F.col("v") >= 0) & (F.col("v") < 1)).alias("in_bounds")
-    )
+    return cells.select("p_partkey", "i", "j", uniform(7, "p_partkey", "i", "j").alias("v"))
 
 
 def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +98,11 @@ QUERIES = {
     "grid_smooth_sparse": grid_smooth_sparse,
 }
 
+
+def _uniform_sql(text: str) -> str:
+    return f"CAST(('0x' || substr(md5({text}), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496"
+
+
 _CELLS = """
     cells AS (SELECT label, vec_id AS i, generate_subscripts(embedding, 1) - 1 AS j,
                      unnest(embedding)::DOUBLE AS v FROM embeddings)"""
@@ -132,8 +130,13 @@ ORACLES = {
     "constant_grids": f"""
         SELECT p_partkey, i, unnest(range(n)) AS j, p_retailprice AS v
         FROM (SELECT p_partkey, p_retailprice, unnest(range(m)) AS i, n FROM {_SHAPES})""",
-    "random_grid": f"SELECT unnest(range(m)) AS i, n::BIGINT AS n, true AS in_bounds FROM {_SHAPE}",
-    "random_grids": f"SELECT p_partkey, (m * n)::BIGINT AS n, true AS in_bounds FROM {_SHAPES} WHERE m * n > 0",
+    "random_grid": f"""
+        SELECT i, j, {_uniform_sql("'7,' || i || ',' || j")} AS v
+        FROM (SELECT unnest(range(m)) AS i, n FROM {_SHAPE}), LATERAL (SELECT unnest(range(n)) AS j)""",
+    "random_grids": f"""
+        SELECT p_partkey, i, j, {_uniform_sql("'7,' || p_partkey || ',' || i || ',' || j")} AS v
+        FROM (SELECT p_partkey, unnest(range(m)) AS i, n FROM {_SHAPES} WHERE m * n > 0),
+             LATERAL (SELECT unnest(range(n)) AS j)""",
     "neighbors": """
         WITH c AS (SELECT l_orderkey, l_linenumber - 1 AS i, (l_quantity - 1)::INT AS j FROM lineitem),
         n AS (SELECT l_orderkey, i, j, [{'a': i - 1, 'b': j}, {'a': i + 1, 'b': j}, {'a': i, 'b': j - 1},

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,16 +11,28 @@ from tallygrid.functions.numbers import spanish_number
 from tallygrid.operators import close_rules as rules
 from tallygrid.operators.concepts import (
     CONCEPTS,
+    EXTENDED,
+    account_totals,
     concept_summary,
-    concepts_from_table,
+    concepts_from_json,
     concepts_named,
     pattern_total,
+    summary_by_label,
     to_summary,
     year_totals,
 )
 from tallygrid.operators.letters import CLOSING, SECTIONS, letter_bodies, prompt_rows
-from tallygrid.plans.close import folder_totals
-from tallygrid.plans.tables import YEARS, folder_client, ledger, ledger_sql, table, write_ledger_files
+from tallygrid.plans.close import close_folder, folder_totals
+from tallygrid.plans.tables import (
+    YEARS,
+    folder_client,
+    ledger,
+    ledger_sql,
+    table,
+    write_client_files,
+    write_ledger_files,
+    write_mixed_files,
+)
 from tallygrid.session import scratch_dir
 from tallygrid.sources.ledgers import amount_quality, read_ledgers, read_mixed_ledgers, to_long
 from tallygrid.sources.letters import GREETING, wrap_letter, write_letters
@@ -48,8 +62,15 @@ def anchored_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pattern_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patterns = spark.createDataFrame(PATTERN_TABLE, "concept string, pattern string")
-    return concept_summary(ledger(spark, sf_dir), YEARS, concepts=concepts_from_table(patterns))
+    return summary_by_label(ledger(spark, sf_dir), YEARS, concepts=concepts_from_json(PATTERN_TABLE))
+
+
+def account_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return account_totals(ledger(spark, sf_dir), YEARS, digits=3)
+
+
+def extended_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concept_summary(ledger(spark, sf_dir), YEARS, concepts=EXTENDED)
 
 
 def yoy_change(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,10 +117,19 @@ def letter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "letters")
     branches = ledger(spark, sf_dir).withColumn("client", F.col("branch"))
     write_letters(letter_bodies(year_totals(branches, YEARS), YEARS, LIMITS), path)
+    return _letters_in(spark, path)
+
+
+def _letters_in(spark: SparkSession, path: str, kind: str = "string") -> DataFrame:
     files = spark.read.text(path, wholetext=True)
-    return files.select(
-        F.col("client").cast("string").alias("client"), F.rtrim("value", F.lit("\n")).alias("letter")
-    )
+    return files.select(F.col("client").cast(kind).alias("client"), F.rtrim("value", F.lit("\n")).alias("letter"))
+
+
+def folder_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From one file per client to one letter per client."""
+    out = scratch_dir(spark, "folder-letters")
+    close_folder(spark, f"{write_client_files(spark, sf_dir)}/*.csv", out, YEARS, LIMITS)
+    return _letters_in(spark, out, "bigint")
 
 
 def folder_close(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +143,7 @@ def folder_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_folder_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = write_ledger_files(spark, sf_dir)
+    path = write_mixed_files(spark, sf_dir)
     return _line_counts(read_mixed_ledgers(spark, f"{path}/*", folder_client()))
 
 
@@ -141,13 +171,22 @@ def _line_counts(long: DataFrame) -> DataFrame:
 
 
 def arrivals_close(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = write_ledger_files(spark, sf_dir)
     out, checkpoint = scratch_dir(spark, "arrivals"), scratch_dir(spark, "arrivals-progress")
-    lines = ledger_stream(spark, f"{path}/*", YEARS, folder_client(), files_per_batch=4)
+    lines = ledger_stream(spark, f"{write_ledger_files(spark, sf_dir)}/*", YEARS, folder_client())
     close_arrivals(lines, out, checkpoint).awaitTermination()
     return to_summary(arrived_totals(spark, out), YEARS)
 
 
+def arrivals_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters of branches whose files arrive in several micro-batches."""
+    out, checkpoint = scratch_dir(spark, "arrivals"), scratch_dir(spark, "arrivals-progress")
+    letters = scratch_dir(spark, "arrivals-letters")
+    path = write_ledger_files(spark, sf_dir)
+    lines = ledger_stream(spark, f"{path}/*", YEARS, folder_client(), files_per_batch=4)
+    close_arrivals(lines, out, checkpoint, letters, YEARS, LIMITS).awaitTermination()
+    return _letters_in(spark, letters)
+
+
 QUERIES = {
     "ledger_summary": ledger_summary,
     "pattern_sums": pattern_sums,
@@ -165,14 +204,17 @@ QUERIES = {
     "folder_close": folder_close,
     "folder_lines": folder_lines,
     "mixed_folder_lines": mixed_folder_lines,
+    "folder_letters": folder_letters,
     "arrivals_close": arrivals_close,
+    "arrivals_letters": arrivals_letters,
+    "account_sums": account_sums,
+    "extended_summary": extended_summary,
     "amount_texts": amount_texts,
 }
 
-# More patterns than one scan takes: the ten concepts and single accounts.
-PATTERN_TABLE = [(c.name, c.pattern) for c in CONCEPTS] + [
-    (f"Grupo {code}", f"^{code}") for code in range(620, 640)
-]
+# A long list, as a configuration file holds it: the ten concepts and single accounts.
+PATTERNS = {c.name: c.pattern for c in CONCEPTS} | {f"Grupo {code}": f"^{code}" for code in range(620, 640)}
+PATTERN_TABLE = json.dumps(PATTERNS)
 
 
 def _totals_sql(concepts, by: str = "client", anchored: bool = False) -> str:
@@ -340,7 +382,7 @@ ORACLES = {
     "ledger_summary": _summary_sql(CONCEPTS),
     "pattern_sums": _totals_sql([("c", "c", "640|642")]).replace("c_cur", "cur").replace("c_prev", "prev"),
     "anchored_summary": _summary_sql(CONCEPTS, anchored=True),
-    "pattern_table": _summary_sql([(f"k{n}", name, p) for n, (name, p) in enumerate(PATTERN_TABLE)]),
+    "pattern_table": _summary_sql([(f"k{n}", name, p) for n, (name, p) in enumerate(PATTERNS.items())]),
     "yoy_change": _changes_sql(),
     "tax_tier": _from_totals(
         "ventas_cur AS ventas, CASE WHEN ventas_cur < 1000000 THEN 0.23::DOUBLE ELSE 0.25::DOUBLE END AS rate"
@@ -364,7 +406,15 @@ ORACLES = {
     "folder_close": SUMMARY_BY_BRANCH_SQL,
     "folder_lines": LINES_SQL,
     "mixed_folder_lines": LINES_SQL,
+    "folder_letters": _letter_sql(),
     "arrivals_close": SUMMARY_BY_BRANCH_SQL,
+    "arrivals_letters": _letter_sql(by="branch"),
+    "account_sums": f"""
+        SELECT client, regexp_extract(label, '^\\s*(\\d{{3}})', 1) AS account,
+               CAST(sum(CASE WHEN year = {CUR} THEN amount ELSE 0 END) AS DOUBLE) AS y{CUR},
+               CAST(sum(CASE WHEN year = {PREV} THEN amount ELSE 0 END) AS DOUBLE) AS y{PREV}
+        FROM ({ledger_sql()}) WHERE regexp_matches(label, '^\\s*\\d{{3}}') GROUP BY ALL""",
+    "extended_summary": _summary_sql(EXTENDED),
     "amount_texts": """
         SELECT l_suppkey AS client,
                count(*) FILTER (WHERE l_discount = 0) AS unreadable,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,22 +66,73 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@lru_cache
-def write_ledger_files(spark: SparkSession, sf_dir: str) -> str:
-    """Write the derived ledger as CSV files, a folder per branch; returns the path.
+_WRITTEN: dict[tuple, str] = {}
 
-    The files are the input of several queries and written once per session.
-    """
-    path = scratch_dir(spark, "ledgers")
-    text = ledger_text(spark, sf_dir)
-    wide = text.select(
-        F.col("branch").alias("client"),
+
+def _once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """Path of files that are the input of several queries and written once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN or not _exists(spark, _WRITTEN[key]):
+        path = scratch_dir(spark, name)
+        write(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and a maker of its paths."""
+    maker = spark._jvm.org.apache.hadoop.fs.Path
+    return maker(path).getFileSystem(spark._jsc.hadoopConfiguration()), maker
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, maker = _hadoop(spark, path)
+    return files.exists(maker(path))
+
+
+def _wide(spark: SparkSession, sf_dir: str, client: str, years: tuple[int, ...] = YEARS) -> DataFrame:
+    return ledger_text(spark, sf_dir).select(
+        F.col(client).alias("client"),
         F.col("label").alias(LABEL_HEADER),
-        *[F.when(F.col("year") == y, F.col("amount_text")).alias(f"AÑO {y}") for y in YEARS],
+        *[F.when(F.col("year") == y, F.col("amount_text")).alias(f"AÑO {y}") for y in years],
     )
+
+
+def _write_csv(wide: DataFrame, path: str, mode: str = "errorifexists") -> None:
     options = {**CSV_OPTIONS, "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-    wide.write.partitionBy("client").options(**options).csv(path)
-    return path
+    wide.write.mode(mode).partitionBy("client").options(**options).csv(path)
+
+
+def write_ledger_files(spark: SparkSession, sf_dir: str) -> str:
+    """Write the derived ledger as CSV files, a folder per branch; returns the path."""
+    return _once(spark, sf_dir, "ledgers", lambda path: _write_csv(_wide(spark, sf_dir, "branch"), path))
+
+
+def write_mixed_files(spark: SparkSession, sf_dir: str) -> str:
+    """The same with two headers: some branches have the earlier year first."""
+
+    def write(path: str) -> None:
+        for years, which in ((YEARS, "client < 'N'"), (YEARS[::-1], "client >= 'N'")):
+            _write_csv(_wide(spark, sf_dir, "branch", years).where(which), path, "append")
+
+    return _once(spark, sf_dir, "mixed-ledgers", write)
+
+
+def write_client_files(spark: SparkSession, sf_dir: str) -> str:
+    """Write one file per client, ``<client>.csv``, as the closing job gets them; returns the path.
+
+    Spark names the files of a folder itself, so each is renamed once it is written.
+    """
+
+    def write(path: str) -> None:
+        _write_csv(_wide(spark, sf_dir, "client").repartition("client"), path)
+        files, maker = _hadoop(spark, path)
+        for found in files.globStatus(maker(f"{path}/client=*/*.csv")):
+            old = found.getPath()
+            files.rename(old, maker(f"{path}/{old.getParent().getName().removeprefix('client=')}.csv"))
+            files.delete(old.getParent(), True)
+
+    return _once(spark, sf_dir, "client-ledgers", write)
 
 
 def folder_client() -> Column:

@@ -44,10 +44,12 @@ def uniform(seed: int, *keys: Column | str) -> Column:
     """Uniform number in [0, 1) that depends on the seed and the keys only.
 
     Unlike ``rand`` it does not depend on the partition or on the order of rows, so
-    a task that runs again after a lost executor gives the same values.
+    a task that runs again after a lost executor gives the same values. It is made of the
+    first 52 bits of an MD5 sum, which other engines can compute, too.
     """
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11)
-    return bits.cast("double") * F.lit(2.0**-53)
+    text = F.concat_ws(",", F.lit(seed).cast("string"), *[as_column(k).cast("string") for k in keys])
+    bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+    return bits.cast("double") * F.lit(2.0**-52)
 
 
 def grid_cells(spark: SparkSession, rows: int, cols: int) -> DataFrame:

@@ -26,8 +26,24 @@ def file_client() -> Column:
     return F.regexp_replace(name, r"(?i)\.csv$", "")
 
 
-def read_ledgers(spark: SparkSession, path: str | list[str], client: Column | None = None) -> DataFrame:
-    """Wide ledger lines: ``client``, ``label`` and one text column per year.
+def file_path() -> Column:
+    """Full path of the ledger file a line comes from."""
+    return F.col("_metadata.file_path")
+
+
+def one_file_each(client: Column, first: Column, last: Column) -> Column:
+    """The client, or an error if its name stands for several files.
+
+    ``first`` and ``last`` are the least and the greatest path of its lines.
+    """
+    text = F.concat(F.lit("two ledgers are named "), client.cast("string"), F.lit(": "), first, F.lit(" and "), last)
+    return F.when(first != last, F.raise_error(text).cast("string")).otherwise(client)
+
+
+def read_ledgers(
+    spark: SparkSession, path: str | list[str], client: Column | None = None, with_path: bool = False
+) -> DataFrame:
+    """Wide ledger lines: ``client``, ``label`` and one text column per year; ``path`` if asked for.
 
     Every column is read as text: with inferred types a column of whole numbers
     would turn 5305 into 5305.0 and, once the points are dropped, into 53050.
@@ -39,6 +55,7 @@ def read_ledgers(spark: SparkSession, path: str | list[str], client: Column | No
     named = raw.select(
         (client if client is not None else file_client()).alias("client"),
         *[f"`{name}`" for name in schema.names if name.strip()],
+        *([file_path().alias("path")] if with_path else []),
     )
     return trim_header(named).withColumnRenamed(LABEL_HEADER, "label")
 
@@ -124,47 +141,58 @@ def read_mixed_ledgers(
 ) -> DataFrame:
     """Long ledger lines from files whose headers name different years.
 
-    Spark takes one schema per read, so the header of each file is read as text, stored,
-    and joined to that file's lines. The headers are one row per file: few enough files
-    are broadcast by their stored size, and with more, adaptive execution splits the
-    lines of a file that holds much of the data.
+    Spark takes one schema per read, so the header of each file is read as text and joined
+    to that file's lines. Of each file only two hashes of its path and the years of its columns
+    are kept, and written to a folder ``ledger-years-*`` below ``spark.checkpoint.dir``, where
+    they must stay until the result is read. These rows are small, so the files of a folder are
+    broadcast by their stored size up to some hundred thousand; beyond, adaptive execution splits
+    the lines of a file that holds much of the data. Very many files are best landed once
+    (:func:`land_ledgers`).
     """
-    # A header repeated further down a file is one of its lines; the first one counts.
+    # A header repeated further down a file is one of its lines; the first one counts. It lies
+    # in the first block of its file, so lines of other blocks are not searched.
     place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    headers = stored(
+    headers = (
         spark.read.text(path)
-        .select(F.col("_metadata.file_path").alias("path"), header_line().alias("line"), place.alias("place"))
+        .filter("_metadata.file_block_start = 0")
+        .select(file_path().alias("path"), header_line().alias("line"), place.alias("place"))
         .filter(is_header(F.col("line")))
         .groupBy("path")
-        .agg(F.min_by("line", "place").alias("line")),
-        "ledger-headers",
+        .agg(F.min_by("line", "place").alias("line"))
     )
+    headers = stored(headers.select(*_path_hashes(F.col("path")), "line"), "ledger-headers")
     width = headers.agg(F.max(F.size(F.split("line", ";")))).first()[0]
     if width is None:
         raise ValueError(f"no file under {path} has a header starting with {LABEL_HEADER!r}")
-    names = F.transform(split_header(F.col("line"), width), lambda name: F.trim(name))
-    headers = headers.select("path", names.alias("names"))
+    found = F.transform(
+        split_header(F.col("line"), width), lambda name: F.regexp_extract(F.trim(name), f"^{YEAR_HEADER}$", 1)
+    )
+    years = F.transform(found, lambda y: F.when(y != "", y.cast("int")))
+    headers = stored(headers.select("h1", "h2", years.alias("years")), "ledger-years")
     fields = [f"c{k}" for k in range(width)]
     lines = (
         spark.read.schema(", ".join(f"{f} string" for f in fields))
         .options(**CSV_OPTIONS)
         .csv(path)
         .select(
-            F.col("_metadata.file_path").alias("path"),
+            *_path_hashes(file_path()),
             (client if client is not None else file_client()).alias("client"),
             F.col("c0").alias("label"),
             F.array(*fields).alias("texts"),
         )
     )
-    year = F.regexp_extract("cell.names", f"^{YEAR_HEADER}$", 1)
     return (
-        lines.join(headers, "path")
-        .select("client", "label", F.explode(F.arrays_zip("names", "texts")).alias("cell"))
-        .filter(year != "")
+        lines.join(headers, ["h1", "h2"])
+        .select("client", "label", F.explode(F.arrays_zip("years", "texts")).alias("cell"))
+        .filter("cell.years IS NOT NULL")
         .select(
             "client",
             "label",
-            year.cast("int").alias("year"),
+            F.col("cell.years").alias("year"),
             clean_amount("cell.texts").alias("amount"),
         )
     )
+
+
+def _path_hashes(path: Column) -> list[Column]:
+    return [F.xxhash64(path).alias("h1"), F.xxhash64(path, F.lit(1)).alias("h2")]

@@ -23,8 +23,11 @@ def wrap_letter(body: Column | str) -> Column:
 def write_letters(bodies: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write ``(client, body)`` as UTF-8 text below ``path/client=<client>/``.
 
-    The executors write; Spark ends each file with a line feed. With millions of
-    clients prefer a Parquet table of :func:`wrap_letter` to millions of files.
+    The mode ``replace`` overwrites the letters of these clients and leaves the others. The
+    executors write; Spark ends each file with a line feed. With millions of clients prefer a
+    Parquet table of :func:`wrap_letter` to millions of files.
     """
     letters = bodies.select("client", wrap_letter("body").alias("letter"))
-    letters.write.mode(mode).partitionBy("client").text(path)
+    some = {"partitionOverwriteMode": "dynamic" if mode == "replace" else "static"}
+    mode = "overwrite" if mode == "replace" else mode
+    letters.write.mode(mode).options(**some).partitionBy("client").text(path)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,7 +13,7 @@ from tallygrid.functions.numbers import clean_amount
 from tallygrid.operators.close_rules import DEFAULTS, Thresholds
 from tallygrid.operators.concepts import concept_totals
 from tallygrid.operators.letters import letter_bodies
-from tallygrid.sources.ledgers import CSV_OPTIONS, LABEL_HEADER, file_client
+from tallygrid.sources.ledgers import CSV_OPTIONS, LABEL_HEADER, file_client, file_path, one_file_each
 from tallygrid.sources.letters import write_letters
 
 
@@ -20,8 +23,11 @@ def ledger_stream(
     years: tuple[int, int],
     client: Column | None = None,
     files_per_batch: int = 10_000,
+    same_names: bool = False,
 ) -> DataFrame:
-    """Stream of wide lines ``(client, label, current, previous)`` from new files.
+    """Stream of wide lines ``(client, file, own_file, label, current, previous)`` from new files.
+
+    ``own_file`` tells that the client is named by its file and so may have only one.
 
     A stream needs its schema in advance, so the years are given; a file with other
     headers stops the query.
@@ -35,6 +41,8 @@ def ledger_stream(
     label, current, previous = (F.col(f"`{n}`") for n in names)
     return raw.select(
         (client if client is not None else file_client()).alias("client"),
+        file_path().alias("file"),
+        F.lit(client is None and not same_names).alias("own_file"),
         label.alias("label"),
         clean_amount(current).alias("current"),
         clean_amount(previous).alias("previous"),
@@ -49,23 +57,30 @@ def close_arrivals(
     years: tuple[int, int] | None = None,
     thresholds: Thresholds = DEFAULTS,
 ) -> StreamingQuery:
-    """Write the totals of each micro-batch to ``out/batch=<id>``, its letters to
-    ``letters/batch=<id>`` if that is given, and stop when the folder is read. Run
-    again with the same checkpoint to take up new files.
+    """Write the totals of each micro-batch to ``out/run=<hash of the checkpoint's
+    path>/batch=<id>`` and stop when the folder is read. With ``letters``, the letters of the clients in the batch are written below that
+    folder, from all their files so far. Run again with the same checkpoint to take up new files.
 
-    A file is read whole within one batch, so a client with one file gets a complete
-    letter. A batch that is repeated after a failure replaces its own folders, so
-    nothing is counted or written twice.
+    Totals are kept by client and file. A file lies whole in one batch, so a batch that is
+    repeated, also after a lost checkpoint and with other batch limits, only replaces what it
+    wrote before (see :func:`arrived_totals`).
     """
     if letters and not years:
         raise ValueError("letters name their years")
 
+    run = "r" + hashlib.md5(checkpoint.encode()).hexdigest()[:16]
+
     def close(batch: DataFrame, batch_id: int) -> None:
-        path = f"{out}/batch={batch_id}"
-        concept_totals(batch, F.col("current"), F.col("previous")).write.mode("overwrite").parquet(path)
+        by = ("client", "file", "own_file")
+        totals = concept_totals(batch, F.col("current"), F.col("previous"), by=by)
+        written = F.lit(time.time_ns()).alias("written")
+        path = f"{out}/run={run}/batch={batch_id}"
+        totals.select("*", written).write.mode("overwrite").parquet(path)
         if letters:
-            bodies = letter_bodies(batch.sparkSession.read.parquet(path), years, thresholds)
-            write_letters(bodies, f"{letters}/batch={batch_id}", mode="overwrite")
+            spark = batch.sparkSession
+            here = spark.read.parquet(path).select("client").distinct()
+            bodies = letter_bodies(arrived_totals(spark, out, here), years, thresholds)
+            write_letters(bodies, letters, mode="replace")
 
     return (
         lines.writeStream.foreachBatch(close)
@@ -75,8 +90,22 @@ def close_arrivals(
     )
 
 
-def arrived_totals(spark: SparkSession, out: str) -> DataFrame:
-    """Totals of all batches; a client whose files came in several is added up."""
-    stored = spark.read.parquet(out)
-    amounts = [c for c in stored.columns if c not in ("client", "batch")]
-    return stored.groupBy("client").agg(*[F.sum(c).alias(c) for c in amounts])
+def arrived_totals(spark: SparkSession, out: str, clients: DataFrame | None = None) -> DataFrame:
+    """Totals of all batches by client, or of those in ``clients``.
+
+    Of a file that came in several batches the one written last counts. A client that is named
+    by its file raises an error if files in several folders have that name.
+    """
+    kept = spark.read.parquet(out)
+    if clients is not None:
+        kept = kept.join(clients, "client", "left_semi")
+    amounts = [c for c in kept.columns if c not in ("client", "file", "own_file", "run", "batch", "written")]
+    last = kept.groupBy("client", "file").agg(
+        F.max_by(F.struct("own_file", *amounts), F.struct("written", "run", "batch")).alias("v")
+    )
+    totals = last.groupBy("client").agg(
+        *[F.sum(f"v.{c}").alias(c) for c in amounts],
+        F.max("v.own_file").alias("_own"), F.min("file").alias("_first"), F.max("file").alias("_last"),
+    )
+    name = one_file_each(F.col("client"), F.col("_first"), F.when(F.col("_own"), F.col("_last")))
+    return totals.withColumn("client", name).select("client", *amounts)

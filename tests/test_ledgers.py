@@ -1,3 +1,4 @@
+import json
 from decimal import Decimal
 
 import pytest
@@ -7,7 +8,9 @@ from tallygrid.operators.concepts import (
     CONCEPTS,
     Concept,
     concept_summary,
-    concepts_from_table,
+    account_totals,
+    concepts_from_json,
+    summary_by_label,
     pattern_total,
     to_summary,
     year_totals,
@@ -172,7 +175,7 @@ def test_landed_ledger_reads_only_the_years_it_needs(spark, tmp_path):
     path = str(tmp_path / "landed")
     land_ledgers(lines(spark, [("a", "6230", y, y) for y in (2022, 2023, 2024, 2025)]), path)
     landed = spark.read.parquet(path)
-    summary = concept_summary(landed, YEARS)
+    summary = concept_summary(landed, YEARS, prune=True)
     scan = summary._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [year" in scan.replace("isnotnull(", "")
     assert as_dict(summary)[("a", "Profesionales (6230)")] == (2025.0, 2024.0)
@@ -196,38 +199,66 @@ def test_concepts_may_overlap(spark):
     assert got[("a", "Salarios")] == got[("a", "Profesionales (6230)")] == (5.0, 0.0)
 
 
+def test_client_of_other_years_has_zeros(spark):
+    df = lines(spark, [("a", "6230", 2025, 1), ("b", "6230", 2019, 5)])
+    for summary in (concept_summary, summary_by_label):
+        got = as_dict(summary(df, YEARS))
+        assert got[("b", "Profesionales (6230)")] == (0.0, 0.0) and len(got) == 20
+        assert {c for c, _ in as_dict(summary(df, YEARS, prune=True))} == {"a"}
+
+
 @pytest.mark.parametrize("size", [5, 26, 230])
 def test_pattern_table_of_any_length(spark, size):
-    patterns = spark.createDataFrame([(f"c{n}", f"^{n} ") for n in range(size)], "concept string, pattern string")
+    patterns = concepts_from_json(json.dumps({f"c{n}": f"^{n} " for n in range(size)}))
     df = lines(spark, [(c, f"{n} x", 2025, n) for n in range(size) for c in "ab"] + [("c", None, 2024, 1)])
-    got = as_dict(concept_summary(df, YEARS, concepts=concepts_from_table(patterns)))
     expected = {(c, f"c{n}"): (float(n) if c in "ab" else 0.0, 0.0) for n in range(size) for c in "abc"}
-    assert got == expected
+    assert as_dict(summary_by_label(df, YEARS, concepts=patterns)) == expected
+    if size < 100:
+        assert as_dict(concept_summary(df, YEARS, concepts=patterns)) == expected
 
 
-def test_long_and_short_lists_agree(spark, folder, monkeypatch):
+def test_both_summaries_agree(spark, folder, monkeypatch):
     long = to_long(read_ledgers(spark, folder))
     short = as_dict(concept_summary(long, YEARS))
-    monkeypatch.setattr("tallygrid.operators.concepts.CONCEPTS_PER_SCAN", 3)
     monkeypatch.setattr("tallygrid.operators.concepts.PATTERNS_PER_PASS", 4)
-    assert as_dict(concept_summary(long, YEARS)) == short
+    assert as_dict(summary_by_label(long, YEARS)) == short
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        assert as_dict(concept_summary(long, YEARS)) == short
+        assert as_dict(summary_by_label(long, YEARS)) == short
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
-def test_pattern_table_is_checked(spark):
-    twice = spark.createDataFrame([("a", "1"), ("a", "2")], "concept string, pattern string")
-    with pytest.raises(ValueError):
-        concepts_from_table(twice)
-    with pytest.raises(ValueError):
-        concepts_from_table(twice.limit(0))
-    huge = spark.range(20_000).select(F.col("id").cast("string").alias("concept"), F.lit("x").alias("pattern"))
+def test_summary_by_label_reads_the_lines_once_more(spark, tmp_path):
+    """One scan for the distinct labels, stored before, and one for the amounts."""
+    land_ledgers(lines(spark, [("a", "6230", 2025, 1)]), str(tmp_path / "landed"))
+    plan = summary_by_label(spark.read.parquet(str(tmp_path / "landed")), YEARS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("landed") == 1
+
+
+@pytest.mark.parametrize("text", ["{}", "[]", '{"a": 1}', '{"a": "1", "a": "2"}', '{"a": null}'])
+def test_pattern_table_is_checked(text):
     with pytest.raises(ValueError):
-        concepts_from_table(huge)
+        concepts_from_json(text)
+
+
+def test_account_totals(spark):
+    rows = [("a", " 6230 X", 2025, 1), ("a", "6239 Y", 2024, 2), ("a", "62 Z", 2025, 9), ("b", None, 2025, 9), ("b", "7000", 2019, 3)]
+    got = {(r.client, r.account, r.y2025, r.y2024) for r in account_totals(lines(spark, rows), YEARS).collect()}
+    assert got == {("a", "623", 1.0, 2.0), ("b", "700", 0.0, 0.0)}
+    assert {r.account for r in account_totals(lines(spark, rows), YEARS, digits=4).collect()} == {"6230", "6239", "7000"}
+
+
+def test_one_name_for_two_files_is_an_error(spark, tmp_path):
+    for part in "xy":
+        write(tmp_path / "in" / part, "datos.csv", FILLED)
+    path = str(tmp_path / "in" / "*")
+    with pytest.raises(Exception, match="two ledgers are named datos"):
+        folder_totals(spark, path, YEARS).collect()
+    one = folder_totals(spark, str(tmp_path / "in" / "x"), YEARS).first()
+    both = folder_totals(spark, path, YEARS, same_names=True).first()
+    assert both.gastos_cur == 2 * one.gastos_cur != 0
 
 
 def test_hot_client_is_added_up_before_the_shuffle(spark):
@@ -236,7 +267,7 @@ def test_hot_client_is_added_up_before_the_shuffle(spark):
         F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 7)).alias("client"),
         F.lit("6230 X").alias("label"),
         F.lit(2025).alias("year"),
-        F.lit("0.01").cast("decimal(28,6)").alias("amount"),
+        F.lit("0.01").cast("decimal(38,6)").alias("amount"),
     )
     totals = year_totals(rows, YEARS)
     plan = totals._jdf.queryExecution().executedPlan().toString()

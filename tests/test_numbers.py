@@ -27,6 +27,17 @@ def test_clean_amount(one, text, expected):
     assert one(N.clean_amount(F.lit(text).cast("string"))) == Decimal(expected)
 
 
+@pytest.mark.parametrize("text, expected", [("10000000000000000000000", 10**22), ("-1e31", -(10**31))])
+def test_large_amounts_are_kept(one, text, expected):
+    assert one(N.clean_amount(F.lit(text))) == expected
+
+
+@pytest.mark.parametrize("text", ["1" + "0" * 32, "-1e40", "9" * 33 + ",5", "1_" + "0" * 33])
+def test_amount_out_of_range_is_an_error(one, text):
+    with pytest.raises(Exception, match="amount out of range"):
+        one(N.clean_amount(F.lit(text)))
+
+
 def test_clean_amount_handles_many_values_at_once(spark):
     df = spark.createDataFrame([("1.000,5",), ("x",), (None,), ("2_0",)], "t string").repartition(3)
     assert df.agg(F.sum(N.clean_amount("t"))).first()[0] == Decimal("1020.5")

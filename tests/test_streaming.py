@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tallygrid.operators.concepts import to_summary
 from tallygrid.plans.close import close_folder, folder_totals
@@ -51,3 +52,43 @@ def test_repeated_batch_replaces_its_own_output(spark, tmp_path):
         lines = ledger_stream(spark, path, YEARS)
         close_arrivals(lines, out, str(tmp_path / attempt)).awaitTermination()
     assert as_set(to_summary(arrived_totals(spark, out), YEARS)) == {("a", c, *v) for c, v in FILLED_SUMMARY.items()}
+
+
+HEADER = "Cuenta de Pérdidas y Ganancias;AÑO 2025;AÑO 2024\n"
+
+
+def sales(folder, name, amount):
+    return write(folder, name, f"{HEADER}1. Importe neto de la cifra de negocios;{amount};1\n")
+
+
+@pytest.mark.parametrize("runs", [(1,), (10,), (1, 10), (10, 1)])
+def test_client_with_files_in_several_batches_and_runs(spark, tmp_path, runs):
+    """One letter, with the rate of all files, also when batches are cut anew after a lost checkpoint."""
+    out, letters = str(tmp_path / "out"), str(tmp_path / "letters")
+    path = sales(tmp_path / "in", "a.csv", "400.000")
+    sales(tmp_path / "in", "b.csv", "700.000")
+    for n, limit in enumerate(runs):
+        lines = ledger_stream(spark, path, YEARS, F.lit("one"), files_per_batch=limit)
+        close_arrivals(lines, out, str(tmp_path / f"progress{n}"), letters, YEARS).awaitTermination()
+    assert arrived_totals(spark, out).first().ventas_cur == 1_100_000
+    found = spark.read.text(letters, wholetext=True).collect()
+    assert len(found) == 1 and "25%" in found[0].value and "23%" not in found[0].value
+    # A file that arrives on another day changes the letter of its client only.
+    sales(tmp_path / "in", "c.csv", "1.000")
+    lines = ledger_stream(spark, path, YEARS, F.lit("one"))
+    close_arrivals(lines, out, str(tmp_path / "progress0"), letters, YEARS).awaitTermination()
+    assert arrived_totals(spark, out).first().ventas_cur == 1_101_000
+
+
+def test_same_name_in_two_folders_is_an_error(spark, tmp_path):
+    for part in "xy":
+        sales(tmp_path / "in" / part, "datos.csv", "600.000")
+    for allowed in (False, True):
+        out = str(tmp_path / f"out{allowed}")
+        lines = ledger_stream(spark, str(tmp_path / "in" / "*"), YEARS, same_names=allowed)
+        close_arrivals(lines, out, str(tmp_path / f"progress{allowed}")).awaitTermination()
+        if allowed:
+            assert arrived_totals(spark, out).first().ventas_cur == 1_200_000
+        else:
+            with pytest.raises(Exception, match="two ledgers are named datos"):
+                arrived_totals(spark, out).collect()
