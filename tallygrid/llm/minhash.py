@@ -323,3 +323,29 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return near_duplicates(docs, width=3, percent=85).drop("h1", "h2")
+
+
+ORACLE = r"""
+    WITH RECURSIVE worded AS (
+        SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+        FROM documents),
+    shingled AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+               ELSE list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k : k + 2], ' ')) END) AS s
+        FROM worded),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id),
+    common AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+        FROM shingled a JOIN shingled b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+    links AS (
+        SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+        WHERE 100 * c >= 85 * (x.n + y.n - c)),
+    ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (
+        SELECT doc_id AS start, doc_id AS other FROM documents
+        UNION
+        SELECT r.start, l.b FROM reach r JOIN ways l ON l.a = r.other)
+    SELECT d.doc_id, CAST(coalesce(max(s.n), 0) AS BIGINT) AS n_shingles, min(r.other) AS component_id,
+           d.doc_id = min(r.other) AS kept
+    FROM documents d JOIN reach r ON r.start = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""

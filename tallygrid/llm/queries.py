@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallygrid.llm import decontam, linededup
+from tallygrid.llm import decontam, linededup, minhash
 from tallygrid.llm.bpe import op5_bpe
 from tallygrid.llm.cws import op10_weighted_sampling
 from tallygrid.llm.decontam import op8_decontamination
@@ -28,6 +28,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_minhash": minhash.ORACLE,
     "op6_line_dedup": linededup.ORACLE,
     "op8_decontamination": decontam.ORACLE,
 }
