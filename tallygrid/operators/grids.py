@@ -12,6 +12,8 @@ from tallygrid.functions.columns import as_column
 # Side of the square tiles in which cells meet their neighbours. A tile is the
 # largest group that one task must sort; its border adds 4/TILE to the shuffle.
 TILE = 128
+# Columns of a stretch of an array row.
+CHUNK = 1 << 13
 
 
 def in_grid(i: Column, j: Column, rows: Column, cols: Column) -> Column:
@@ -115,12 +117,14 @@ def mean_of(value: Column | str, others: Sequence[Column | str]) -> Column:
     return total / count
 
 
-def average_rows(matrix: DataFrame, row: str = "i", values: str = "vs", tile: int = TILE) -> DataFrame:
+def average_rows(
+    matrix: DataFrame, row: str = "i", values: str = "vs", tile: int = TILE, chunk: int = CHUNK
+) -> DataFrame:
     """Smoothing of a dense grid stored as one array per row, numbered without gaps.
 
-    Left and right neighbours lie in the same array; the rows above and below come
-    from a window inside bands of ``tile`` rows, so whole rows are shuffled once and
-    cells are never taken apart.
+    Whole rows are shuffled once, into bands of ``tile`` rows. Inside a band arrays are cut into
+    stretches of ``chunk`` columns that know the value on either side, so a window holds ``tile``
+    stretches at most, however long the rows are; the results of a row are joined up again.
     """
     r, first = F.col(row), F.col("first")
 
@@ -143,19 +147,41 @@ def average_rows(matrix: DataFrame, row: str = "i", values: str = "vs", tile: in
         .drop("wanted")
         .repartition("band")
     )
-    window = Window.partitionBy("band").orderBy(row)
+    v = F.col(values)
+    stretches = F.transform(
+        F.sequence(F.lit(0), F.expr(f"CAST((greatest(size(`{values}`), 1) - 1) div {chunk} AS INT)")),
+        lambda c: F.struct(
+            F.slice(v, c * chunk + 1, F.lit(chunk)).alias("part"),
+            F.get(v, c * chunk - 1).alias("before"),
+            F.get(v, (c + 1) * chunk).alias("after"),
+        ),
+    )
+    cut = bands.select(row, "band", "own", F.posexplode(stretches).alias("chunk", "s")).select(
+        row, "band", "own", "chunk", "s.*"
+    )
+    window = Window.partitionBy("band", "chunk").orderBy(row)
 
     def beside(step: int) -> Column:
-        return F.when(F.lag(row, step).over(window) == r - step, F.lag(values, step).over(window))
+        return F.when(F.lag(row, step).over(window) == r - step, F.lag("part", step).over(window))
 
-    met = bands.withColumns({"up": beside(1), "down": beside(-1)}).filter("own")
+    met = cut.withColumns({"up": beside(1), "down": beside(-1)}).filter("own")
+    part = F.col("part")
     smooth = F.transform(
-        values,
+        part,
         lambda v, k: mean_of(
-            v, [F.get("up", k), F.get("down", k), F.get(values, k - 1), F.get(values, k + 1)]
+            v,
+            [
+                F.get("up", k),
+                F.get("down", k),
+                F.when(k == 0, F.col("before")).otherwise(F.get(part, k - 1)),
+                F.when(k == F.size(part) - 1, F.col("after")).otherwise(F.get(part, k + 1)),
+            ],
         ),
     )
-    return met.select(row, smooth.alias(values))
+    done = met.select(row, "band", "chunk", smooth.alias("part"))
+    parts = F.sort_array(F.collect_list(F.struct("chunk", "part")))
+    joined = done.groupBy("band", row).agg(F.flatten(F.transform(parts, lambda x: x.part)).alias(values))
+    return joined.select(row, values)
 
 
 def average_matrix_scatter(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -82,9 +82,15 @@ def grid_cells_per_row(
     tasks, so that one huge grid does not end up in a single task.
     """
     size = f"CAST(`{rows}` AS BIGINT) * CAST(`{cols}` AS BIGINT)"
+    # Blocks are listed in two steps, so that no list grows with a single grid beyond BLOCK
+    # entries until it has BLOCK ** 3 cells.
+    last = f"({size} - 1) div {BLOCK}"
     blocks = (
         shapes.filter((F.col(rows) > 0) & (F.col(cols) > 0))
-        .withColumn("_block", F.expr(f"explode(sequence(0L, ({size} - 1) div {BLOCK}))"))
+        .withColumn("_group", F.expr(f"explode(sequence(0L, {last} div {BLOCK}))"))
+        .withColumn(
+            "_block", F.expr(f"explode(sequence(_group * {BLOCK}, least(_group * {BLOCK} + {BLOCK} - 1, {last})))")
+        )
         .repartition(*keys, "_block")
     )
     start = F.col("_block") * BLOCK

@@ -59,9 +59,10 @@ def test_forms_agree(spark):
     expected = brute_force(as_dict(grid))
     assert as_dict(G.average_matrix_scatter(grid)) == pytest.approx(expected)
     rows = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(matrix)], "i int, vs array<double>")
-    for tile in (1, 2, 16, 128):
-        smooth = G.cells_from_rows(G.average_rows(rows, tile=tile), "i", "vs")
-        assert as_dict(smooth) == expected
+    for tile in (1, 16, 128):
+        for chunk in (1, 4, 9, G.CHUNK):
+            smooth = G.cells_from_rows(G.average_rows(rows, tile=tile, chunk=chunk), "i", "vs")
+            assert as_dict(smooth) == expected
 
 
 @pytest.mark.parametrize("smooth", SMOOTHERS)
