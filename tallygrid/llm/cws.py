@@ -110,14 +110,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """Every different document: ``row`` (its number), its key, ``n_chars``, ``next`` (the number
-    of the next one), and key (``p_*``) and length (``p_chars``) of the one before.
+    """Every different document: ``row`` (its number), its key, ``copies``, ``n_chars``, ``next``
+    (the number of the next one), and key (``p_*``) and length (``p_chars``) of the one before.
 
     Documents come by descending id, null last, equal ids by their hashes; the last is followed
     by the first. Only ids, hashes and lengths are sorted: by range over the cluster, then within
     each range, and the ends of the ranges, one row for each, are joined up.
     """
-    rows = _keyed(docs).groupBy(*KEY).agg(F.max(F.length("text")).alias("n_chars"))
+    rows = _keyed(docs).groupBy(*KEY).agg(F.count("*").alias("copies"), F.max(F.length("text")).alias("n_chars"))
     order = [F.col("none"), F.col("id").desc(), F.col("h1"), F.col("h2")]
     ranged = rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id())
     ranged = stored(ranged.withColumn("row", F.monotonically_increasing_id()), "order")
@@ -135,7 +135,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     )
     following, leading = F.coalesce("next", "after"), F.coalesce("previous", "before")
     return stored(linked.join(ends, "range").select(
-        "row", *KEY, "n_chars", following["row"].alias("next"),
+        "row", *KEY, "copies", "n_chars", following["row"].alias("next"),
         leading["n_chars"].alias("p_chars"), *[leading[c].alias(f"p_{c}") for c in KEY],
     ), "neighbours")
 
@@ -149,8 +149,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     the empty text. Rows with equal id and text are one document and come out as often as they are
     there; a null id is an id like any other. Further columns are not read; an empty table gives none.
     """
-    # Equal rows are joined into one before anything is shuffled.
-    one_each = _keyed(docs).groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    # Equal rows are joined into one before anything is shuffled. Both uses of the texts below
+    # need the same columns of them, so that one shuffle serves both.
+    one_each = _keyed(docs).groupBy(*KEY).agg(F.first("text").alias("text"))
     placed = one_each.join(neighbours(docs), KEY)
     given = placed.select(
         *[F.col(f"p_{c}").alias(c) for c in KEY], F.expr("substring(text, 1, int(p_chars div 2))").alias("begin")
