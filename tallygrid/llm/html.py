@@ -21,7 +21,8 @@ from pyspark.sql.functions import pandas_udf
 from tallygrid.llm.common import table
 
 # Elements of the page language and names that sites give to their boilerplate.
-RAW = "script style noscript template iframe svg object canvas title textarea select audio video math".split()
+RAW = "script style title textarea".split()
+EMBEDDED = set("noscript template iframe svg object canvas select audio video math".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span "
     "strike strong sub sup time tt u var wbr br input picture source map area".split()
@@ -39,7 +40,7 @@ OWN_NAMES = {"article", "content", "entry", "main", "post", "story"}
 IMPLIED_END = {"p", "li", "dt", "dd", "tr", "td", "th", "option", "thead", "tbody"}
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[!?/][^>]*>",
     re.S | re.I,
 )
@@ -70,8 +71,10 @@ def _is_bad(tag: str, attrs: str, main: bool) -> bool:
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text, in page order."""
-    stack = [("", 0, False, False)]  # tag, number, within main, within boilerplate
+    # tag, number, within main, within boilerplate, and for embedded elements what goes on after them
+    stack = [("", 0, False, False, None)]
     out: list[Block] = []
+    ends: dict[str, int] = {}  # where the last end tag of an embedded element begins
     numbers, links, at = 0, 0, 0
     block = None
 
@@ -99,11 +102,22 @@ def blocks_of(page: str) -> list[Block]:
             elif tag == "a":
                 links = 0 if m["end"] else 1
             continue
-        block, links = None, 0
+        outer, block, links = (block, links), None, 0
         if m["end"]:
             if any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
+                while (closed := stack.pop())[0] != tag:
                     pass
+                block, links = closed[4] or (None, 0)
+            elif tag in EMBEDDED:
+                block, links = outer
+        elif tag in EMBEDDED:
+            if tag not in ends:
+                ends[tag] = max((e.start() for e in re.finditer(rf"</{tag}(?=[\s/>])", page, re.I)), default=-1)
+            if attrs.endswith("/") or ends[tag] < at:  # empty, or open to the end of the page
+                block, links = outer
+            else:
+                numbers += 1
+                stack.append((tag, numbers, stack[-1][2], True, outer))
         elif tag not in VOID:
             if tag in IMPLIED_END and stack[-1][0] == tag:
                 stack.pop()
@@ -112,7 +126,7 @@ def blocks_of(page: str) -> list[Block]:
             numbers += 1
             main = stack[-1][2] or tag in MAIN
             bad = stack[-1][3] or _is_bad(tag, attrs, main)
-            stack.append((tag, numbers, main, bad))
+            stack.append((tag, numbers, main, bad, None))
             if attrs.endswith("/") and len(stack) > 1:
                 stack.pop()
     add(page[at:])

@@ -25,6 +25,26 @@ def test_pages_without_content(page):
     assert main_text(page) in ("", "<p", "<a href='", "&")
 
 
+LONG = "word " * 40
+
+
+@pytest.mark.parametrize("tag", ["video-player", "svg-icon", "title-bar", "select-box", "template-x", "script-x"])
+def test_custom_elements_are_no_raw_elements(tag):
+    page = f"<article><p>{LONG}</p><{tag}></{tag}><p>rest {LONG}</p></article>"
+    assert main_text(page) == f"{LONG.strip()}\nrest {LONG.strip()}"
+
+
+@pytest.mark.parametrize("inner", ["<svg class=i/>", "<math/>", "<svg><title>t</title><path/><text>x</text></svg>", "<video src=v>",
+                                   "<select><option>x<option>y</select>", "<video src='>'><p>none</p></video >"])
+def test_embedded_elements_do_not_cut_the_text(inner):
+    assert main_text(f"<article><p>a {inner} b</p><p>{LONG}</p></article>") == f"a b\n{LONG.strip()}"
+
+
+def test_a_closed_element_after_an_open_one_does_not_hide_what_follows_its_parent():
+    page = f"<article><div><video src=v><p>x</p></div><p>{LONG}</p><video>none</video><p>b</p></article>"
+    assert main_text(page).endswith(f"{LONG.strip()}\nb")
+
+
 def test_cut_is_minimal():
     draw = random.Random(4)
     for _ in range(40):
