@@ -22,16 +22,18 @@ from tallygrid.llm.common import table
 
 # Elements of the page language and names that sites give to their boilerplate.
 RAW = "script style title textarea".split()
-EMBEDDED = set("noscript template iframe svg object canvas select audio video math".split())
+EMBEDDED = set("noscript template iframe svg object canvas select audio video annotation annotation-xml".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span "
-    "strike strong sub sup time tt u var wbr br input picture source map area".split()
+    "strike strong sub sup time tt u var wbr br input picture source map area math semantics mrow mi mo mn ms mtext mspace "
+    "mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced msub msup msubsup munder mover munderover "
+    "mmultiscripts mprescripts none mtable mtr mtd".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = set("nav header footer aside form head menu dialog button fieldset address".split())
 MAIN = {"article", "main"}
 NAMES = set(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline caption comment comments "
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments "
     "consent cookie cookies copyright disclaimer disqus footer form gdpr header login masthead menu modal nav "
     "navbar navigation newsletter notice pagination pager popup promo promoted recommended related replies reply "
     "respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toc toolbar widget".split()
@@ -46,22 +48,21 @@ TOKEN = re.compile(
 )
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 
-# Weights of the classifier, in log-odds of content.
-BIAS, IN_MAIN, IN_BOILERPLATE, PER_WORD, MOST_WORDS, LINKED = -1.0, 3.0, -8.0, 0.1, 30, -4.0
+# Weights of the classifier, in log-odds of content. A name costs less than a tag, so that neighbours can overrule it.
+BIAS, IN_MAIN, IN_BOILERPLATE, NAMED_SO, PER_WORD, MOST_WORDS, LINKED = -1.0, 3.0, -8.0, -6.0, 0.1, 30, -4.0
 NEXT, SAME_PARENT = 2.0, 1.4  # smoothness
 
 
 class Block:
-    __slots__ = ("parts", "path", "parent", "linked", "text", "main", "bad")
+    __slots__ = ("parts", "path", "parent", "linked", "text", "main", "bad", "named")
 
     def __init__(self, path, parent, main, bad):
         self.parts, self.path, self.parent, self.linked = [], path, parent, 0
-        self.main, self.bad, self.text = main, bad, ""
+        self.main, self.bad, self.named, self.text = main, bad, False, ""
 
 
-def _is_bad(tag: str, attrs: str, main: bool) -> bool:
-    if tag in BOILERPLATE and not (tag in ("header", "address") and main):
-        return True
+def _is_named(attrs: str) -> bool:
+    """Whether class, id or role has a name of boilerplate and none of content."""
     for found in NAMED.findall(attrs):
         names = set(re.split(r"[^a-z0-9]+", found.strip("\"'").lower()))
         if names & NAMES and not names & OWN_NAMES:
@@ -69,11 +70,47 @@ def _is_bad(tag: str, attrs: str, main: bool) -> bool:
     return False
 
 
+def _mark_named(blocks: list[Block], named: set[int], mains: dict[int, str]) -> None:
+    """Mark the blocks within the ``named`` elements that are not wrappers of the content.
+
+    A wrapper holds main, an article at least half as long as the longest, or, in a page without
+    these elements, most of the words. ``mains`` has the article and main elements by number.
+    """
+    if not named:
+        return
+    words: dict[int, int] = {}
+    total = 0
+    for b in blocks:
+        if not b.bad:
+            n = len(b.text.split())
+            total += n
+            for k in b.path:
+                words[k] = words.get(k, 0) + n
+    articles = {k: words[k] for k, tag in mains.items() if words.get(k)}
+    longest = max((n for k, n in articles.items() if mains[k] == "article"), default=0)
+    wrappers = set()
+    if articles:
+        held = {k for k, n in articles.items() if mains[k] == "main" or 2 * n >= longest}
+        for b in blocks:
+            inner = max((d for d, k in enumerate(b.path) if k in held), default=0)
+            wrappers.update(b.path[:inner])
+        own = {k for k in held if mains[k] == "article"}
+        # Named articles beside others are comments or teasers; if all long ones have a name, it says nothing.
+        wrappers.update(held - own, own if own <= named else ())
+    else:
+        wrappers = {k for k, n in words.items() if 2 * n > total}
+    named -= wrappers
+    for b in blocks:
+        b.named = not named.isdisjoint(b.path)
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text, in page order."""
     # tag, number, within main, within boilerplate, and for embedded elements what goes on after them
     stack = [("", 0, False, False, None)]
     out: list[Block] = []
+    named: set[int] = set()
+    mains: dict[int, str] = {}
     ends: dict[str, int] = {}  # where the last end tag of an embedded element begins
     numbers, links, at = 0, 0, 0
     block = None
@@ -125,21 +162,30 @@ def blocks_of(page: str) -> list[Block]:
                 stack = stack[:1]
             numbers += 1
             main = stack[-1][2] or tag in MAIN
-            bad = stack[-1][3] or _is_bad(tag, attrs, main)
+            bad = stack[-1][3] or (tag in BOILERPLATE and not (tag in ("header", "address") and main))
+            if tag in MAIN:
+                mains[numbers] = tag
+            # A form around the whole page is a wrapper like one with a name.
+            if tag == "form" and not stack[-1][3]:
+                bad = False
+            if tag not in ("html", "body") and (tag == "form" or _is_named(attrs)):
+                named.add(numbers)
             stack.append((tag, numbers, main, bad, None))
             if attrs.endswith("/") and len(stack) > 1:
                 stack.pop()
     add(page[at:])
     for b in out:
         b.text = " ".join(unescape("".join(b.parts)).split())
-    return [b for b in out if b.text]
+    out = [b for b in out if b.text]
+    _mark_named(out, named, mains)
+    return out
 
 
 def classify(block: Block) -> float:
     """Log-odds of content."""
     words = len(block.text.split())
     z = BIAS + PER_WORD * min(words, MOST_WORDS) + LINKED * min(1.0, block.linked / words)
-    return z + IN_MAIN * block.main + IN_BOILERPLATE * block.bad
+    return z + IN_MAIN * block.main + (IN_BOILERPLATE if block.bad else NAMED_SO * block.named)
 
 
 def _distance(a: list[int], b: list[int]) -> int:

@@ -45,6 +45,32 @@ def test_a_closed_element_after_an_open_one_does_not_hide_what_follows_its_paren
     assert main_text(page).endswith(f"{LONG.strip()}\nb")
 
 
+@pytest.mark.parametrize("wrapper", ['body class="home has-sidebar"', 'html class="no-ad"', "div id=wrapper class=with-sidebar",
+                                     "div class=social", "section class=notice", "form id=aspnetForm", "article class=no-sidebar", "main class=with-sidebar"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_wrappers_with_names_of_boilerplate(wrapper, inner):
+    side = "<div class=sidebar><p>Some words beside the text</p></div>"
+    page = f"<{wrapper}><{inner}><p>{LONG}</p><p>{LONG}</p></{inner}>{side}</{wrapper.split()[0]}>"
+    assert main_text(page) == f"{LONG.strip()}\n{LONG.strip()}"
+
+
+def test_lists_of_articles_and_teasers():
+    one = f"<div class=share><article><p>{LONG}</p></article></div>"
+    related = "<div class=related><article><p>A teaser of few words.</p></article></div>"
+    related += f"<article class=comment><p>{LONG}</p></article>"
+    assert main_text(one + one + related) == f"{LONG.strip()}\n{LONG.strip()}"
+
+
+def test_a_name_can_be_overruled_by_its_neighbours():
+    text = main_text(f"<article><p>{LONG}</p><p class=notice>Take care: {LONG}</p><p>{LONG}</p></article>")
+    assert "Take care" in text
+
+
+def test_captions_bylines_and_formulas_are_text():
+    page = f"<article><p class=byline>By A. Author</p><p>{LONG}</p><p class=caption>A map</p><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> is</p></article>"
+    assert main_text(page) == f"By A. Author\n{LONG.strip()}\nA map\nSo x=1 is"
+
+
 def test_cut_is_minimal():
     draw = random.Random(4)
     for _ in range(40):
