@@ -222,8 +222,8 @@ SCORED = (
 )
 
 
-def _score_round(rows: DataFrame, words: Words, shards: int, held: dict[int, bytes], first: bool) -> DataFrame:
-    """Sums over the tokens whose bigram lies in one of the ``held`` shards; the counts of tokens and
+def _score_round(rows: DataFrame, words: Words, shards: int, held: dict[int, bytes | None], first: bool) -> DataFrame:
+    """Sums over the tokens whose bigram lies in one of the ``held`` shards (``None`` is an empty one); the counts of tokens and
     the single-word sums come with the ``first`` round. ``rare`` lists the words whose count is
     still to be looked up, with the level of the bigram: ``n`` places for the base, ``m`` for the score."""
     context = rows.sparkSession.sparkContext
@@ -310,6 +310,8 @@ def score_documents(
     parts = []
     for k, group in enumerate(rounds):
         held = {r.shard: bytes(r.bits) for r in bits.where(F.col("shard").isin(group)).collect()} if group else {}
+        if k == 0:  # a shard without n-grams has no row
+            held |= dict.fromkeys(set(range(shards)).difference(r.shard for r in sizes))
         parts.append(stored(_score_round(rows, words, shards, held, k == 0), f"scored-{k}"))
     scored = parts[0]
     for part in parts[1:]:

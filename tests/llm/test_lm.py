@@ -59,6 +59,18 @@ def test_base_is_exact_and_score_is_near(spark, options):
         assert abs(exact.score(fits[0]) - r.score) < 0.16 * r.n_tokens + 1
 
 
+@pytest.mark.parametrize("options", [{}, {"frequent": 1}, {"frequent": 0}, {"max_broadcast": 1}])
+def test_scores_after_training_on_a_few_words(spark, options):
+    """Most shards of the filter are empty then."""
+    train = [(1, "a b a")]
+    exact = Exact([t for _, t in train])
+    texts = dict([(k, words(k, 30, 60)) for k in range(10)] + [(10, "a b"), (11, "b b x a")])
+    rows = lm.score_documents(documents(spark, list(texts.items())), documents(spark, train), **options).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.score == pytest.approx(exact.score(texts[r.doc_id]), abs=0.02)
+
+
 def test_rounds_do_not_matter(spark):
     docs, train = documents(spark, DOCS), documents(spark, DOCS[:150])
     some = {"frequent": 20, "tokens_per_shard": 1000}
