@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -222,12 +222,10 @@ SCORED = (
 )
 
 
-def _score_round(rows: DataFrame, words: Words, shards: int, held: dict[int, bytes | None], first: bool) -> DataFrame:
-    """Sums over the tokens whose bigram lies in one of the ``held`` shards (``None`` is an empty one); the counts of tokens and
+def _score_round(rows: DataFrame, shared: Broadcast, shards: int, data: Broadcast, first: bool) -> DataFrame:
+    """Sums over the tokens whose bigram lies in one of the shards of ``data`` (``None`` is an empty one); the counts of tokens and
     the single-word sums come with the ``first`` round. ``rare`` lists the words whose count is
     still to be looked up, with the level of the bigram: ``n`` places for the base, ``m`` for the score."""
-    context = rows.sparkSession.sparkContext
-    shared, data = context.broadcast(vars(words)), context.broadcast(held)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, number = Words(**shared.value), TaskContext.get().partitionId() << 36
@@ -307,12 +305,16 @@ def score_documents(
     rows = docs.select("doc_id", "text")
     if len(rounds) > 1:
         rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()), "rows")
-    parts = []
+    context, parts = docs.sparkSession.sparkContext, []
+    shared = context.broadcast(vars(words))
     for k, group in enumerate(rounds):
         held = {r.shard: bytes(r.bits) for r in bits.where(F.col("shard").isin(group)).collect()} if group else {}
         if k == 0:  # a shard without n-grams has no row
             held |= dict.fromkeys(set(range(shards)).difference(r.shard for r in sizes))
-        parts.append(stored(_score_round(rows, words, shards, held, k == 0), f"scored-{k}"))
+        data = context.broadcast(held)
+        parts.append(stored(_score_round(rows, shared, shards, data, k == 0), f"scored-{k}"))
+        data.destroy()
+    shared.destroy()
     scored = parts[0]
     for part in parts[1:]:
         scored = scored.unionByName(part)

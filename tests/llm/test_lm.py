@@ -1,5 +1,6 @@
 import collections
 import math
+import os
 
 import numpy as np
 import pytest
@@ -81,6 +82,21 @@ def test_rounds_do_not_matter(spark):
         assert r.score == pytest.approx(once[r.doc_id].score, rel=1e-9)
 
 
+def test_one_round_of_shards_is_held_at_a_time(spark, monkeypatch):
+    kind, sent, alive = type(spark.sparkContext), [], []
+
+    def broadcast(self, value, send=kind.broadcast):
+        out = send(self, value)
+        if all(isinstance(k, int) for k in value):
+            sent.append(out)
+            alive.append(sum(os.path.exists(b._path) for b in sent))
+        return out
+
+    monkeypatch.setattr(kind, "broadcast", broadcast)
+    lm.score_documents(documents(spark, DOCS), documents(spark, DOCS), max_broadcast=2000, tokens_per_shard=1000)
+    assert len(alive) > 2 and set(alive) == {1}
+
+
 def test_filter_holds_levels():
     rng = np.random.default_rng(0)
     ngrams = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
