@@ -29,7 +29,7 @@ from tallygrid.session import stored
 
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
-MARGIN = 0.15  # so far below the limit the share of equal minima rules a pair out: more than four deviations
+MARGIN = 0.25  # so far below the limit the share of equal minima rules a pair out: seven deviations
 BLOCK, BLOCK_SHINGLES = 128, 1 << 17  # about so many members and shingles are in a block
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)

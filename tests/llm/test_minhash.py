@@ -1,5 +1,7 @@
 import itertools
+import math
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -97,3 +99,24 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame(edges, "a long, b long")
     got = {r.c: r.component for r in minhash.components(links).collect()}
     assert got == {**{k: 0 for k in range(201)}, 300: 300, 301: 300, 302: 300}
+
+
+@pytest.mark.parametrize("limit", [0.80, 0.85])
+def test_the_estimate_hardly_ever_rules_out_a_link_at_the_limit(limit):
+    n = minhash.HASHES
+    lost = sum(
+        math.comb(n, k) * limit**k * (1 - limit) ** (n - k) for k in range(n + 1) if k / n < limit - minhash.MARGIN
+    )
+    assert lost < 1e-9
+
+
+def test_full_sets_decide_on_a_pair_with_few_equal_minima():
+    def block(c, members, minima):
+        return SimpleNamespace(
+            c=[c], component=[c], n=np.array([len(members)]), minima=np.array([minima]), sets=[np.array(members)]
+        )
+
+    minima = np.arange(minhash.HASHES)
+    other = np.where(minima < 80, minima, -1)
+    one, two = block(1, range(90), minima), block(2, range(100), other)
+    assert minhash._between(one, two, 85) == [(1, 2)]
