@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tallygrid.llm.common import WHITE, table
 from tallygrid.session import stored
 
-SAMPLES = 32
+SAMPLES = 64  # a likeness p has a standard error of sqrt(p (1 - p) / SAMPLES)
 BITS = 12  # of each of the five uniform numbers of a draw
 LANE = 16  # bits of a sample in the fingerprint; four lanes make a number
 PACKED = [f"f{k}" for k in range(SAMPLES * LANE // 64)]

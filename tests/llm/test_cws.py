@@ -83,3 +83,8 @@ def test_fingerprints_alone(spark):
 def test_no_python(spark, function):
     plan = function(documents(spark, DOCS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_likeness_tells_near_from_far():
+    """Standard errors of a likeness of 0.5 and of 0.8."""
+    assert np.sqrt(0.5 * 0.5 / cws.SAMPLES) < 0.07 and np.sqrt(0.8 * 0.2 / cws.SAMPLES) < 0.055
