@@ -32,76 +32,106 @@ INLINE = set(
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = set("nav header footer aside form head menu dialog button fieldset address".split())
 MAIN = {"article", "main"}
-NAMES = set(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments "
-    "consent cookie cookies copyright disclaimer disqus footer form gdpr header login masthead menu modal nav "
-    "navbar navigation newsletter notice pagination pager popup promo promoted recommended related replies reply "
-    "respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toc toolbar widget".split()
+# Names of what is not the page's own text, wherever it stands and however long it is.
+FOREIGN = set(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies "
+    "copyright disqus gdpr login newsletter pager pagination popup promo promoted recommended related replies reply "
+    "respond signup sponsor sponsored subscribe".split()
 )
+# Names that also stand on wrappers of the text.
+NAMES = FOREIGN | set(
+    "banner disclaimer footer form header masthead menu modal nav navbar navigation notice search share sharing sidebar "
+    "skip social tags toc toolbar widget".split()
+)
+# Beside one of these a name tells the state or layout of what is inside.
+STATES = set("no not has have with without free hide hidden hides show shows off on layout enabled disabled wrapper".split())
 OWN_NAMES = {"article", "content", "entry", "main", "post", "story"}
 IMPLIED_END = {"p", "li", "dt", "dd", "tr", "td", "th", "option", "thead", "tbody"}
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[!?/][^>]*>",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
+    r"|<(?P<end_>/?)(?P<tag_>[a-zA-Z][^\s/>]*)(?P<attrs_>[^>]*)>|<[!?/][^>]*>",  # a quote that is never closed
     re.S | re.I,
 )
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+LINK = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 
-# Weights of the classifier, in log-odds of content. A name costs less than a tag, so that neighbours can overrule it.
-BIAS, IN_MAIN, IN_BOILERPLATE, NAMED_SO, PER_WORD, MOST_WORDS, LINKED = -1.0, 3.0, -8.0, -6.0, 0.1, 30, -4.0
+# Weights of the classifier, in log-odds of content.
+BIAS, IN_MAIN, IN_BOILERPLATE, PER_WORD, MOST_WORDS, LINKED, TEASER = -1.0, 3.0, -8.0, 0.1, 30, -4.0, -8.0
+SHORT = 3.0  # of the best block of a page without any content, more than its ties to what surrounds it
 NEXT, SAME_PARENT = 2.0, 1.4  # smoothness
+FEW = 15  # words; a shorter run of text does not show where the content is
 
 
 class Block:
-    __slots__ = ("parts", "path", "parent", "linked", "text", "main", "bad", "named")
-
-    def __init__(self, path, parent, main, bad):
-        self.parts, self.path, self.parent, self.linked = [], path, parent, 0
-        self.main, self.bad, self.named, self.text = main, bad, False, ""
-
-
-def _is_named(attrs: str) -> bool:
-    """Whether class, id or role has a name of boilerplate and none of content."""
-    for found in NAMED.findall(attrs):
-        names = set(re.split(r"[^a-z0-9]+", found.strip("\"'").lower()))
-        if names & NAMES and not names & OWN_NAMES:
-            return True
-    return False
+    __slots__ = ("parts", "path", "parent", "linked", "text", "main", "bad", "named", "teaser", "words")
+
+    def __init__(self, path, parent, main, bad, teaser):
+        self.parts, self.path, self.parent, self.linked, self.teaser = [], path, parent, 0, teaser
+        self.main, self.bad, self.named, self.text, self.words = main, bad, False, "", 0
+
+
+def _name(attrs: str) -> str:
+    """``foreign`` or ``weak`` if a class, id or role has a name of boilerplate, else empty."""
+    found = ""
+    for attribute, value in ATTRIBUTE.findall(attrs):
+        if attribute.lower() in ("class", "id", "role"):
+            tokens = [set(re.split(r"[^a-z0-9]+", t)) for t in value.strip("\"'").lower().split()]
+            if any(names & OWN_NAMES for names in tokens):
+                continue
+            for names in tokens:
+                if not names & STATES and names & NAMES:
+                    if names & FOREIGN:
+                        return "foreign"
+                    found = "weak"
+    return found
+
+
+def _longest_run(blocks: list[Block], named: set[int]) -> int:
+    """Most words of neighbouring blocks outside of all ``named`` elements."""
+    best = run = 0
+    for b in blocks:
+        run = run + b.words if named.isdisjoint(b.path) else 0
+        best = max(best, run)
+    return best
 
 
-def _mark_named(blocks: list[Block], named: set[int], mains: dict[int, str]) -> None:
+def _mark_named(blocks: list[Block], named: dict[int, str], mains: dict[int, str]) -> None:
     """Mark the blocks within the ``named`` elements that are not wrappers of the content.
 
-    A wrapper holds main, an article at least half as long as the longest, or, in a page without
-    these elements, most of the words. ``mains`` has the article and main elements by number.
+    Main, and articles at least half as long as the longest, hold the content of a page that has them; what
+    they lie in is a wrapper. Inside of them, or in a page without them, an element with a weak name is a
+    wrapper only where hardly any text lies outside of the named elements and it holds far more.
     """
     if not named:
         return
+    plain = [b for b in blocks if not b.bad]
     words: dict[int, int] = {}
-    total = 0
-    for b in blocks:
-        if not b.bad:
-            n = len(b.text.split())
-            total += n
-            for k in b.path:
-                words[k] = words.get(k, 0) + n
-    articles = {k: words[k] for k, tag in mains.items() if words.get(k)}
+    for b in plain:
+        for k in b.path:
+            words[k] = words.get(k, 0) + b.words
+    articles = {k: words[k] for k in mains if words.get(k)}
     longest = max((n for k, n in articles.items() if mains[k] == "article"), default=0)
-    wrappers = set()
-    if articles:
-        held = {k for k, n in articles.items() if mains[k] == "main" or 2 * n >= longest}
+    held = {k for k, n in articles.items() if mains[k] == "main" or 2 * n >= longest}
+    left = set(named)
+    if held:
         for b in blocks:
             inner = max((d for d, k in enumerate(b.path) if k in held), default=0)
-            wrappers.update(b.path[:inner])
+            left.difference_update(b.path[:inner])
         own = {k for k in held if mains[k] == "article"}
         # Named articles beside others are comments or teasers; if all long ones have a name, it says nothing.
-        wrappers.update(held - own, own if own <= named else ())
-    else:
-        wrappers = {k for k, n in words.items() if 2 * n > total}
-    named -= wrappers
+        left -= held - own
+        if own <= left:
+            left -= own
+        plain = [b for b in plain if not held.isdisjoint(b.path)]
+    while (run := _longest_run(plain, left)) < FEW:
+        weak = [k for k in left if named[k] == "weak" and words.get(k, 0) > 8 * run]
+        if not weak:
+            break
+        left.discard(max(weak, key=lambda k: (words[k], -k)))
     for b in blocks:
-        b.named = not named.isdisjoint(b.path)
+        b.named = not left.isdisjoint(b.path)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -109,18 +139,23 @@ def blocks_of(page: str) -> list[Block]:
     # tag, number, within main, within boilerplate, and for embedded elements what goes on after them
     stack = [("", 0, False, False, None)]
     out: list[Block] = []
-    named: set[int] = set()
+    named: dict[int, str] = {}
     mains: dict[int, str] = {}
     ends: dict[str, int] = {}  # where the last end tag of an embedded element begins
-    numbers, links, at = 0, 0, 0
+    numbers, at = 0, 0
+    links, around = False, 0  # inside a link, and how many elements were open when it began
     block = None
+    # Links that are closed before the next one begins hold on beyond the blocks within them.
+    marks = [(m.start(), bool(m[1])) for m in LINK.finditer(page)]
+    closed = {a for (a, end), (_, then) in zip(marks, marks[1:], strict=False) if not end and then}
+    whole = False
 
     def add(raw: str) -> None:
         nonlocal block
         if not raw or (block is None and raw.isspace()):
             return
         if block is None:
-            block = Block([s[1] for s in stack], stack[-1][1], stack[-1][2], stack[-1][3])
+            block = Block([s[1] for s in stack], stack[-1][1], stack[-1][2], stack[-1][3], links and len(stack) > around)
             out.append(block)
         block.parts.append(raw)
         if links:
@@ -129,22 +164,23 @@ def blocks_of(page: str) -> list[Block]:
     for m in TOKEN.finditer(page):
         add(page[at : m.start()])
         at = m.end()
-        tag = m["tag"]
+        tag, end, attrs = (m["tag"], m["end"], m["attrs"]) if m["tag"] else (m["tag_"], m["end_"], m["attrs_"])
         if tag is None:
             continue
-        tag, attrs = tag.lower(), m["attrs"]
+        tag = tag.lower()
         if tag in INLINE:
             if tag == "br":
                 add(" ")
             elif tag == "a":
-                links = 0 if m["end"] else 1
+                links, around, whole = not end, len(stack), m.start() in closed
             continue
-        outer, block, links = (block, links), None, 0
-        if m["end"]:
+        outer, block = (block, links), None
+        links = links and whole
+        if end:
             if any(s[0] == tag for s in stack):
-                while (closed := stack.pop())[0] != tag:
+                while (last := stack.pop())[0] != tag:
                     pass
-                block, links = closed[4] or (None, 0)
+                block, links = last[4] or (None, links and len(stack) >= around)
             elif tag in EMBEDDED:
                 block, links = outer
         elif tag in EMBEDDED:
@@ -168,14 +204,15 @@ def blocks_of(page: str) -> list[Block]:
             # A form around the whole page is a wrapper like one with a name.
             if tag == "form" and not stack[-1][3]:
                 bad = False
-            if tag not in ("html", "body") and (tag == "form" or _is_named(attrs)):
-                named.add(numbers)
+            if tag not in ("html", "body") and (name := _name(attrs) or ("weak" if tag == "form" else "")):
+                named[numbers] = name
             stack.append((tag, numbers, main, bad, None))
             if attrs.endswith("/") and len(stack) > 1:
                 stack.pop()
     add(page[at:])
     for b in out:
         b.text = " ".join(unescape("".join(b.parts)).split())
+        b.words = len(b.text.split())
     out = [b for b in out if b.text]
     _mark_named(out, named, mains)
     return out
@@ -183,9 +220,19 @@ def blocks_of(page: str) -> list[Block]:
 
 def classify(block: Block) -> float:
     """Log-odds of content."""
-    words = len(block.text.split())
-    z = BIAS + PER_WORD * min(words, MOST_WORDS) + LINKED * min(1.0, block.linked / words)
-    return z + IN_MAIN * block.main + (IN_BOILERPLATE if block.bad else NAMED_SO * block.named)
+    z = BIAS + PER_WORD * min(block.words, MOST_WORDS) + LINKED * min(1.0, block.linked / block.words)
+    z += IN_MAIN * block.main + TEASER * block.teaser
+    return z + IN_BOILERPLATE * (block.bad or block.named)
+
+
+def costs(blocks: list[Block]) -> list[float]:
+    """Log-odds of all blocks. Where none is likelier content than not, as in a page of a few words, all are raised
+    until the best of those that are neither boilerplate nor links is."""
+    gains = [classify(b) for b in blocks]
+    own = [g for g, b in zip(gains, blocks, strict=True)
+           if not (b.bad or b.named or b.teaser) and 2 * b.linked < b.words]
+    shift = SHORT - max(own) if own and max(gains) <= 0 else 0.0
+    return [g + shift for g in gains]
 
 
 def _distance(a: list[int], b: list[int]) -> int:
@@ -275,8 +322,7 @@ def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    gains = [classify(b) for b in blocks]
-    labels = minimum_cut(gains, smoothness(blocks))
+    labels = minimum_cut(costs(blocks), smoothness(blocks))
     return "\n".join(b.text for b, content in zip(blocks, labels, strict=True) if content)
 
 

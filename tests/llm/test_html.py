@@ -61,9 +61,53 @@ def test_lists_of_articles_and_teasers():
     assert main_text(one + one + related) == f"{LONG.strip()}\n{LONG.strip()}"
 
 
-def test_a_name_can_be_overruled_by_its_neighbours():
-    text = main_text(f"<article><p>{LONG}</p><p class=notice>Take care: {LONG}</p><p>{LONG}</p></article>")
-    assert "Take care" in text
+OTHER = "other " * 40
+
+
+@pytest.mark.parametrize("element", ["div class=ad", "p class=advert", "p class=notice", "div class='cookie-consent box'", "section id=comments",
+                                     "div role=search", "div class=share-buttons", "div class='related posts-list'"])
+@pytest.mark.parametrize("times", [1, 6])
+def test_adverts_notices_and_comments_go_at_any_length(element, times):
+    inner = f"<{element}>{OTHER * times}</{element.split()[0]}>"
+    assert main_text(f"<article><p>{LONG}</p>{inner}<p>{LONG}</p></article>") == f"{LONG.strip()}\n{LONG.strip()}"
+    assert main_text(f"<div><div><p>{LONG}</p>{inner}<p>{LONG}</p></div></div>") == f"{LONG.strip()}\n{LONG.strip()}"
+
+
+def test_comments_and_notices_longer_than_the_text():
+    comments = f"<div class=comments><p>{OTHER * 3}</p><p>{OTHER * 3}</p></div>"
+    assert main_text(f"<div class=post>{LONG}</div>{comments}") == LONG.strip()
+    assert main_text(f"<div class=post>Ten short words are all that there is in here.</div>{comments}") == "Ten short words are all that there is in here."
+    assert main_text(f"<div class=cookie-notice>{OTHER * 5}</div><div>{LONG}</div>") == LONG.strip()
+    assert main_text(f"<div class=notice>{OTHER * 5}</div><div>{LONG}</div>") == LONG.strip()
+
+
+@pytest.mark.parametrize("attribute", ['data-id="search"', "data-role='share'", 'title="class=ad"', 'data-x="id=menu"', 'aria-label="class = comments"',
+                                       "class=no-comments", 'class="has-ads with-sidebar"'])
+def test_only_names_are_names(attribute):
+    assert main_text(f"<article><p>{LONG}</p><p {attribute}>{OTHER}</p></article>") == f"{LONG.strip()}\n{OTHER.strip()}"
+
+
+@pytest.mark.parametrize("page", ["<div><p>A short note of six words.</p></div>", "A short note of six words.", "<p>A short note of six words.",
+                                  "<nav><a href=/>home</a></nav><div><p>A short note of six words.</p></div><footer>end</footer>"])
+def test_short_pages_keep_their_text(page):
+    assert main_text(page) == "A short note of six words."
+
+
+def test_pages_of_links_and_menus_have_no_text():
+    assert main_text("<nav><p>one two</p></nav><ul><li><a href=x>one</a><li><a href=y>two</a></ul><footer>f</footer>") == ""
+
+
+def test_teasers_inside_links():
+    teaser = f"<a href=/x><div><h3>More to read</h3><p>{OTHER}</p></div></a>"
+    assert main_text(f"<article><p>{LONG}</p><p>{LONG}</p>{teaser}</article>") == f"{LONG.strip()}\n{LONG.strip()}"
+    assert main_text(f"<div><p>{LONG}</p></div>{teaser}<div><p>{LONG}</p></div>") == f"{LONG.strip()}\n{LONG.strip()}"
+    # A link that is not closed does not swallow what follows.
+    assert main_text(f"<article><p>{LONG}<a href=x>y</p><p>{LONG}</p><p><a name=z>{LONG}</p></article>").count("\n") == 2
+
+
+def test_no_markup_is_left():
+    assert main_text(f"<article><p title=\"a>{LONG}</p><p class='b'>{OTHER}</p></article>") == f"{LONG.strip()}\n{OTHER.strip()}"
+    assert main_text(f"<article><p title='a>{LONG}</p></article>") == LONG.strip()
 
 
 def test_captions_bylines_and_formulas_are_text():
