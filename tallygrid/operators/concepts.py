@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions.labels import label_matches
 from tallygrid.functions.numbers import AMOUNT_TYPE
+from tallygrid.operators.literals import matching_patterns
 from tallygrid.session import stored
 
 
@@ -171,7 +172,9 @@ def summary_by_label(
 ) -> DataFrame:
     """The result of :func:`concept_summary` for long lists of concepts.
 
-    Patterns are tried on the distinct labels only, in a job that runs now. The matches are
+    Patterns are tried on the distinct labels only, in jobs that run now: up to ``PATTERNS_PER_PASS``
+    all on every label, of more on each label those whose required text it holds
+    (:func:`matching_patterns`). The matches are
     written to a folder ``label-matches-*`` below ``spark.checkpoint.dir``, where they must stay
     until the result is read. The lines are then read once, added up by client and concept, and
     concepts without lines are filled in after the last shuffle.
@@ -183,14 +186,13 @@ def summary_by_label(
         tried = [F.when(label_matches("label", c.pattern, anchored), F.lit(n)) for n, c in batch]
         return F.array_compact(F.array(*tried))
 
-    # The distinct labels are shuffled once; every batch of patterns reuses them.
-    matched = reduce(
-        DataFrame.unionByName,
-        [
-            labels.select("label", F.explode(hits(batch)).alias("n"))
-            for batch in batched(enumerate(concepts), PATTERNS_PER_PASS)
-        ],
-    )
+    everywhere, parts = list(enumerate(concepts)), []
+    if len(concepts) > PATTERNS_PER_PASS:
+        labels = stored(labels.where("label IS NOT NULL"), "labels")
+        found, rest = matching_patterns(labels, [c.pattern for c in concepts], anchored)
+        everywhere, parts = [(n, concepts[n]) for n in rest], [found]
+    parts += [labels.select("label", F.explode(hits(batch)).alias("n")) for batch in batched(everywhere, PATTERNS_PER_PASS)]
+    matched = reduce(DataFrame.unionByName, parts)
     # Stored, so that the lines are shuffled only if the matches are known to be too
     # large to broadcast; adaptive execution then splits a label many lines share.
     matched = stored(matched, "label-matches")

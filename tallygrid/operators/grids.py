@@ -122,11 +122,12 @@ def average_rows(
 ) -> DataFrame:
     """Smoothing of a dense grid stored as one array per row, numbered without gaps.
 
-    Whole rows are shuffled once, into bands of ``tile`` rows. Inside a band arrays are cut into
-    stretches of ``chunk`` columns that know the value on either side, so a window holds ``tile``
-    stretches at most, however long the rows are; the results of a row are joined up again.
+    Each row is cut into stretches of ``chunk`` values that know the value on either side, so a window holds
+    ``tile`` stretches at most. Where a row, by the first one read, is a single stretch, the rows are shuffled once,
+    into bands of ``tile`` rows. Longer rows are shuffled by band and stretch, so that a grid of few rows is
+    spread along them, however long they are, and a second shuffle joins the results of a row.
     """
-    r, first = F.col(row), F.col("first")
+    r, first, v = F.col(row), F.col("first"), F.col(values)
 
     def copy(band: Column, own: bool, wanted: Column) -> Column:
         return F.struct(band.alias("band"), F.lit(own).alias("own"), wanted.alias("wanted"))
@@ -136,18 +137,6 @@ def average_rows(
         copy(first - tile, False, r == first),
         copy(first + tile, False, r == first + tile - 1),
     )
-    bands = (
-        matrix.select(
-            r.cast("bigint").alias(row),
-            F.col(values).cast("array<double>").alias(values),
-            _origin(row, tile).alias("first"),
-        )
-        .select(row, values, F.inline(copies))
-        .filter("wanted")
-        .drop("wanted")
-        .repartition("band")
-    )
-    v = F.col(values)
     stretches = F.transform(
         F.sequence(F.lit(0), F.expr(f"CAST((greatest(size(`{values}`), 1) - 1) div {chunk} AS INT)")),
         lambda c: F.struct(
@@ -156,9 +145,22 @@ def average_rows(
             F.get(v, (c + 1) * chunk).alias("after"),
         ),
     )
-    cut = bands.select(row, "band", "own", F.posexplode(stretches).alias("chunk", "s")).select(
-        row, "band", "own", "chunk", "s.*"
+    cut = (
+        matrix.select(
+            r.cast("bigint").alias(row),
+            F.col(values).cast("array<double>").alias(values),
+            _origin(row, tile).alias("first"),
+        )
+        .select(row, "first", F.posexplode(stretches).alias("chunk", "s"))
+        .select(row, "chunk", "s.*", F.inline(copies))
+        .filter("wanted")
+        .drop("wanted")
     )
+    some = matrix.select(F.size(values)).first()
+    if some and (some[0] or 0) > chunk:
+        cut, keys = cut.repartition("band", "chunk"), [row]
+    else:
+        cut, keys = cut.repartition("band"), ["band", row]
     window = Window.partitionBy("band", "chunk").orderBy(row)
 
     def beside(step: int) -> Column:
@@ -180,7 +182,7 @@ def average_rows(
     )
     done = met.select(row, "band", "chunk", smooth.alias("part"))
     parts = F.sort_array(F.collect_list(F.struct("chunk", "part")))
-    joined = done.groupBy("band", row).agg(F.flatten(F.transform(parts, lambda x: x.part)).alias(values))
+    joined = done.groupBy(*keys).agg(F.flatten(F.transform(parts, lambda x: x.part)).alias(values))
     return joined.select(row, values)
 
 

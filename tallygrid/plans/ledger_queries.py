@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,18 +25,34 @@ from tallygrid.operators.concepts import (
 from tallygrid.operators.letters import CLOSING, SECTIONS, letter_bodies, prompt_rows
 from tallygrid.plans.close import close_folder, folder_totals
 from tallygrid.plans.tables import (
+    DAMAGED_EVERY,
     YEARS,
     folder_client,
     ledger,
     ledger_sql,
     table,
     write_client_files,
+    write_damaged_files,
     write_ledger_files,
     write_mixed_files,
 )
 from tallygrid.session import scratch_dir
-from tallygrid.sources.ledgers import amount_quality, read_ledgers, read_mixed_ledgers, to_long
-from tallygrid.sources.letters import GREETING, wrap_letter, write_letters
+from tallygrid.sources.ledgers import (
+    amount_quality,
+    land_bucketed,
+    read_landed,
+    read_ledgers,
+    read_mixed_ledgers,
+    to_long,
+    write_quarantine,
+)
+from tallygrid.sources.letters import (
+    GREETING,
+    read_packed_letters,
+    wrap_letter,
+    write_letters,
+    write_packed_letters,
+)
 from tallygrid.streaming.arrivals import arrived_totals, close_arrivals, ledger_stream
 
 CUR, PREV = YEARS
@@ -65,6 +82,38 @@ def pattern_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary_by_label(ledger(spark, sf_dir), YEARS, concepts=concepts_from_json(PATTERN_TABLE))
 
 
+def pattern_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of patterns too long to try each on every label."""
+    return summary_by_label(ledger(spark, sf_dir), YEARS, concepts=concepts_from_json(LONG_TABLE))
+
+
+def landed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger landed by client and added up without a shuffle."""
+    path, name = scratch_dir(spark, "landed"), f"landed_{uuid.uuid4().hex}"
+    land_bucketed(ledger(spark, sf_dir), name, path, 16)
+    return concept_summary(read_landed(spark, name, path), YEARS)
+
+
+def damaged_ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledgers of which some lines have a field too many: their number and the sums of the others."""
+    path = write_damaged_files(spark, sf_dir)
+    counts = write_quarantine(spark, path, scratch_dir(spark, "quarantine"), folder_client())
+    lost = counts.groupBy("client").agg(F.sum("n").alias("damaged"))
+    sums = to_long(read_ledgers(spark, path, folder_client(), damaged="leave_out")).groupBy("client").agg(
+        (F.count("*") / 2).cast("long").alias("kept"), F.sum("amount").cast("double").alias("amount")
+    )
+    return sums.join(lost, "client", "full").select(
+        "client", F.coalesce("damaged", F.lit(0)).alias("damaged"), F.coalesce("kept", F.lit(0)).alias("kept"), "amount"
+    )
+
+
+def packed_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters of all clients in a few files, read back from them."""
+    path = scratch_dir(spark, "packed-letters")
+    write_packed_letters(letter_bodies(totals(spark, sf_dir), YEARS, LIMITS), path, packs=8)
+    return read_packed_letters(spark, path).select(F.col("client").cast("bigint").alias("client"), "letter")
+
+
 def account_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return account_totals(ledger(spark, sf_dir), YEARS, digits=3)
 
@@ -210,11 +259,23 @@ QUERIES = {
     "account_sums": account_sums,
     "extended_summary": extended_summary,
     "amount_texts": amount_texts,
+    "pattern_index": pattern_index,
+    "landed_summary": landed_summary,
+    "damaged_ledgers": damaged_ledgers,
+    "packed_letters": packed_letters,
 }
 
 # A long list, as a configuration file holds it: the ten concepts and single accounts.
 PATTERNS = {c.name: c.pattern for c in CONCEPTS} | {f"Grupo {code}": f"^{code}" for code in range(620, 640)}
 PATTERN_TABLE = json.dumps(PATTERNS)
+# One too long to try each pattern on every label: account ranges, endings and words of labels.
+LONG_PATTERNS = (
+    PATTERNS
+    | {f"Cuenta {code}": rf"^\s*{code}" for code in range(6000, 6500)}
+    | {f"Final {code}": rf"{code}\s+\S" for code in range(210, 300)}
+    | {"Servicios": "servicios (profesionales|de)|otros serv", "Sueldos": r"\bsueldos?$", "Cifra": r"^\d+\. .* la cifra"}
+)
+LONG_TABLE = json.dumps(LONG_PATTERNS)
 
 
 def _totals_sql(concepts, by: str = "client", anchored: bool = False) -> str:
@@ -356,6 +417,10 @@ def _prompt_sql() -> str:
     )
 
 
+def _quoted(texts) -> str:
+    return ", ".join("'" + text.replace("'", "''") + "'" for text in texts)
+
+
 def _from_totals(columns: str) -> str:
     return f"WITH t AS ({_totals_sql(CONCEPTS)}) SELECT client, {columns} FROM t"
 
@@ -409,6 +474,24 @@ ORACLES = {
     "folder_letters": _letter_sql(),
     "arrivals_close": SUMMARY_BY_BRANCH_SQL,
     "arrivals_letters": _letter_sql(by="branch"),
+    "pattern_index": f"""
+        WITH l AS ({ledger_sql()}),
+             p AS (SELECT unnest([{_quoted(LONG_PATTERNS)}]) AS concept, unnest([{_quoted(LONG_PATTERNS.values())}]) AS pattern),
+             hit AS (SELECT DISTINCT label, concept FROM (SELECT DISTINCT label FROM l), p
+                     WHERE regexp_matches(label, pattern, 'i')),
+             sums AS (SELECT client, concept, sum(amount) FILTER (WHERE year = {CUR}) AS cur,
+                             sum(amount) FILTER (WHERE year = {PREV}) AS prev
+                      FROM l JOIN hit USING (label) GROUP BY ALL)
+        SELECT c.client, p.concept, CAST(coalesce(cur, 0) AS DOUBLE) AS y{CUR}, CAST(coalesce(prev, 0) AS DOUBLE) AS y{PREV}
+        FROM (SELECT DISTINCT client FROM l) c CROSS JOIN p
+             LEFT JOIN sums s ON s.client = c.client AND s.concept = p.concept""",
+    "landed_summary": _summary_sql(CONCEPTS),
+    "damaged_ledgers": f"""
+        SELECT branch AS client, count(*) FILTER (WHERE damaged) AS damaged, count(*) FILTER (WHERE NOT damaged) AS kept,
+               CAST(sum(amount) FILTER (WHERE NOT damaged) AS DOUBLE) AS amount
+        FROM (SELECT *, (l_orderkey + l_partkey) % {DAMAGED_EVERY} = 0 AS damaged FROM ({ledger_sql('l_orderkey, l_partkey')}))
+        GROUP BY 1""",
+    "packed_letters": _letter_sql(),
     "account_sums": f"""
         SELECT client, regexp_extract(label, '^\\s*(\\d{{3}})', 1) AS account,
                CAST(sum(CASE WHEN year = {CUR} THEN amount ELSE 0 END) AS DOUBLE) AS y{CUR},

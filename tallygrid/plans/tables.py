@@ -38,11 +38,11 @@ def _label_number() -> Column:
     return (F.col("l_orderkey") + F.col("l_linenumber")) % len(LABELS)
 
 
-def ledger_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ledger_text(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Every line item as a ledger line: ``client``, ``label``, ``year``, Spanish text.
 
     Suppliers with an even key pay no salaries, so that every rule has both outcomes.
-    Only sales and some results are positive.
+    Only sales and some results are positive. ``more`` names further columns of the line items.
     """
     k = _label_number()
     label = F.when(
@@ -56,6 +56,7 @@ def ledger_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         label.alias("label"),
         F.when(F.year("l_shipdate") % 2 == 1, YEARS[0]).otherwise(YEARS[1]).alias("year"),
         spanish_number(signed).alias("amount_text"),
+        *more,
     )
 
 
@@ -135,13 +136,35 @@ def write_client_files(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "client-ledgers", write)
 
 
+DAMAGED_EVERY = 17
+
+
+def write_damaged_files(spark: SparkSession, sf_dir: str) -> str:
+    """The derived ledger as text files, a folder per branch, with a field too many in some lines; returns the path."""
+
+    def write(path: str) -> None:
+        lines = ledger_text(spark, sf_dir, "l_orderkey", "l_partkey")
+        damaged = (F.col("l_orderkey") + F.col("l_partkey")) % DAMAGED_EVERY == 0
+        amounts = [F.when(F.col("year") == y, F.col("amount_text")).otherwise("") for y in YEARS]
+        surplus = F.when(damaged, ";77,00").otherwise("")
+        rows = lines.select("branch", F.lit(1).alias("place"), F.concat(F.concat_ws(";", "label", *amounts), surplus).alias("value"))
+        header = ";".join([LABEL_HEADER, *[f"AÑO {y}" for y in YEARS]])
+        heads = rows.select("branch").distinct().select("branch", F.lit(0).alias("place"), F.lit(header).alias("value"))
+        # A file begins with its header: the lines of a branch are one file.
+        placed = rows.unionByName(heads).repartition("branch").sortWithinPartitions("branch", "place")
+        placed.select(F.col("branch").alias("client"), "value").write.partitionBy("client").text(path)
+
+    return _once(spark, sf_dir, "damaged-ledgers", write)
+
+
 def folder_client() -> Column:
     """Client named by the folder a file lies in."""
     return F.regexp_extract("_metadata.file_path", "/client=([^/]+)/", 1)
 
 
-def ledger_sql() -> str:
+def ledger_sql(more: str = "") -> str:
     """The derived ledger as a SQL query, with amounts as numbers."""
+    more = f", {more}" if more else ""
     labels = ", ".join(f"'{x}'" for x in LABELS)
     k = f"(l_orderkey + l_linenumber) % {len(LABELS)}"
     return f"""
@@ -151,5 +174,5 @@ def ledger_sql() -> str:
                CASE WHEN year(l_shipdate) % 2 = 1 THEN {YEARS[0]} ELSE {YEARS[1]} END AS year,
                CAST(l_extendedprice AS DECIMAL(18,2))
                  * CASE WHEN {k} = 0 OR ({k} = {len(LABELS) - 1} AND l_partkey % 3 <> 0)
-                        THEN 1 ELSE -1 END AS amount
+                        THEN 1 ELSE -1 END AS amount{more}
         FROM lineitem"""

@@ -152,3 +152,33 @@ def test_grids_by_row(spark, monkeypatch):
         assert got == {
             (k, i, j) for k, m, n in (("a", 2, 3), ("d", 1, 1), ("e", 40, 30)) for i in range(m) for j in range(n)
         }
+
+
+def test_few_long_rows_are_spread_over_many_tasks(spark):
+    """200 rows of 10^6 values: stretches, not rows, are dealt to the tasks."""
+    rows, width = 200, 1_000_000
+    made = spark.range(rows).select(
+        F.col("id").alias("i"),
+        F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: ((j * 7 + F.col("id") * 3) % 11).cast("double")).alias("vs"),
+    )
+    smooth = G.average_rows(made)
+    assert "hashpartitioning(band" in plan_text(smooth) and "chunk" in plan_text(smooth)
+    picks = [0, 1, G.CHUNK - 1, G.CHUNK, G.CHUNK + 1, 499_999, width - 2, width - 1]
+    got = {
+        (r.i, j): v
+        for r in smooth.select("i", F.size("vs").alias("n"), F.array(*[F.get("vs", F.lit(j)) for j in picks]).alias("vs")).collect()
+        for j, v in zip(picks, r.vs, strict=True) if r.n == width
+    }
+    assert len(got) == rows * len(picks)
+
+    def value(i, j):
+        return float((j * 7 + i * 3) % 11)
+
+    for (i, j), v in got.items():
+        around = [(i, j), (i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1)]
+        inside = [value(a, b) for a, b in around if 0 <= a < rows and 0 <= b < width]
+        assert v == pytest.approx(sum(inside) / len(inside))
+
+
+def plan_text(df):
+    return df._jdf.queryExecution().executedPlan().toString()

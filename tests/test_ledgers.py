@@ -1,4 +1,5 @@
 import json
+import re
 from decimal import Decimal
 
 import pytest
@@ -18,7 +19,10 @@ from tallygrid.operators.concepts import (
 from tallygrid.plans.close import close_folder, folder_totals
 from tallygrid.sources.ledgers import (
     amount_quality,
+    land_bucketed,
     land_ledgers,
+    open_bucketed,
+    read_landed,
     read_ledgers,
     read_mixed_ledgers,
     to_long,
@@ -233,8 +237,66 @@ def test_both_summaries_agree(spark, folder, monkeypatch):
 def test_summary_by_label_reads_the_lines_once_more(spark, tmp_path):
     """One scan for the distinct labels, stored before, and one for the amounts."""
     land_ledgers(lines(spark, [("a", "6230", 2025, 1)]), str(tmp_path / "landed"))
-    plan = summary_by_label(spark.read.parquet(str(tmp_path / "landed")), YEARS)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("landed") == 1
+    plan = plan_of(summary_by_label(spark.read.parquet(str(tmp_path / "landed")), YEARS))
+    # Long locations are cut short in the text of a plan, so scans are told apart by what they read.
+    assert plan.count("FileScan parquet") == 2 and plan.count("amount#") > 0
+    assert len(re.findall(r"ReadSchema: struct<client:string,label:string,amount", plan)) == 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_folder_totals_are_added_up_in_hash_tables(spark, folder):
+    plan = plan_of(folder_totals(spark, folder, YEARS))
+    assert plan.count("HashAggregate") == 2 and "SortAggregate" not in plan
+
+
+def test_mixed_headers_are_read_without_a_join(spark, tmp_path):
+    write(tmp_path / "in", "a+ [1] {x}.csv", "Cuenta de Pérdidas y Ganancias;AÑO 2025;AÑO 2024\n6230;1;2\n")
+    write(tmp_path / "in", "b %41.csv", "Cuenta de Pérdidas y Ganancias;AÑO 2025;AÑO 2024\n6230;3;4\n")
+    path = write(tmp_path / "in", "c.csv", "Cuenta de Pérdidas y Ganancias;AÑO 2020;AÑO 2019\n6230;5;6\n")
+    (tmp_path / "in" / "empty.csv").write_text("")
+    every = read_mixed_ledgers(spark, path)
+    plan = plan_of(every)
+    assert "Join" not in plan and plan.count("FileScan csv") == 2
+    got = sorted((r.client, r.year, float(r.amount)) for r in every.collect())
+    assert got == [("a+ [1] {x}", 2024, 2.0), ("a+ [1] {x}", 2025, 1.0), ("b %41", 2024, 4.0), ("b %41", 2025, 3.0),
+                   ("c", 2019, 6.0), ("c", 2020, 5.0)]
+    some = read_mixed_ledgers(spark, path, years=[2025])
+    assert plan_of(some).count("FileScan csv") == 1  # files of other years are not read
+    assert sorted((r.client, float(r.amount)) for r in some.collect()) == [("a+ [1] {x}", 1.0), ("b %41", 3.0)]
+    with pytest.raises(ValueError):
+        read_mixed_ledgers(spark, path, years=[1999])
+    write(tmp_path / "in", "d.csv", "no;header\n1;2\n")
+    with pytest.raises(ValueError, match="have no header"):
+        read_mixed_ledgers(spark, path)
+
+
+def bucketed(spark, tmp_path, rows, buckets=8):
+    name, path = f"landed_{tmp_path.name.replace('-', '_')}", str(tmp_path / "landed")
+    land_bucketed(lines(spark, rows), name, path, buckets)
+    return name, path
+
+
+def test_totals_of_a_bucketed_ledger_need_no_shuffle(spark, tmp_path):
+    rows = [(f"c{k % 97}", "6230 X", 2024 + k % 2, k) for k in range(970)]
+    name, path = bucketed(spark, tmp_path, rows)
+    found = concept_summary(read_landed(spark, name, path), YEARS)
+    assert "Exchange" not in plan_of(found) and "Bucketed: true" in plan_of(found)
+    assert as_dict(found) == as_dict(concept_summary(lines(spark, rows), YEARS))
+    # The same files under another name, as in a session that did not write them.
+    open_bucketed(spark, f"{name}_again", path, 8)
+    again = concept_summary(read_landed(spark, f"{name}_again", path), YEARS, prune=True)
+    assert "Exchange" not in plan_of(again) and as_dict(again) == as_dict(found)
+
+
+def test_a_client_that_fills_a_bucket_is_read_by_many_tasks(spark, tmp_path):
+    rows = [("hot" if k % 20 else f"c{k}", "6230 X", 2025, k) for k in range(20_000)]
+    name, path = bucketed(spark, tmp_path, rows)
+    found = concept_summary(read_landed(spark, name, path, most=2.0), YEARS)
+    assert "partial_sum" in plan_of(found) and plan_of(found).count("Exchange hashpartitioning") == 1
+    assert as_dict(found) == as_dict(concept_summary(lines(spark, rows), YEARS))
 
 
 @pytest.mark.parametrize("text", ["{}", "[]", '{"a": 1}', '{"a": "1", "a": "2"}', '{"a": null}'])

@@ -1,0 +1,83 @@
+"""The index of texts that patterns require."""
+
+import json
+import random
+import re
+
+import pytest
+
+from tallygrid.operators.concepts import concept_summary, concepts_from_json, summary_by_label
+from tallygrid.operators.literals import matching_patterns, required_texts
+from tests.test_ledgers import YEARS, as_dict, lines
+
+
+@pytest.mark.parametrize(
+    "pattern, texts",
+    [
+        ("6230", [["6230"]]),
+        ("1. Importe neto", [["1", " importe neto"]]),
+        ("640|642", [["640"], ["642"]]),
+        (r"D\) RESULTADO DEL", [["d) resultado del"]]),
+        ("8. Amortización de", [["8", " amortizaci", "n de"]]),
+        (r"^\s*621", [["621"]]),
+        ("ab+c", [["ab", "c"]]),
+        ("abc*d", [["ab", "d"]]),
+        ("abc?", [["ab"]]),
+        ("abc{0,2}d", [["ab", "d"]]),
+        (r"ab\.?c", [["ab", "c"]]),
+        ("a(b|c)d", [["a", "d"]]),
+        ("a([)]|x)d", [["a", "d"]]),
+        ("a[bc]d", [["a", "d"]]),
+        (r"sueldos?$", [["sueldo"]]),
+        ("a|", [["a"], []]),
+        ("SSKİ", [["sski"]]),
+        ("(?x) a b", None),
+        (r"\Qa.b\E", None),
+        (r"\x41bc", None),
+        (r"a(\x41)b", None),
+        ("a[b[c]]d", None),
+        ("a[]b]c", None),
+        ("a[b", None),
+        ("a(b", None),
+        ("a)b", None),
+        ("a\\", None),
+    ],
+)
+def test_required_texts(pattern, texts):
+    assert required_texts(pattern) == texts
+
+
+LABELS = [
+    "1. Importe neto de la cifra", "11. importe NETO", "6230 Servicios", "16230", "640 SUELDOS", "2640 X", "Sueldo", "sueldos ",
+    "8. AMORTIZACIÓN DE INMOVILIZADO", "D) RESULTADO DEL EJERCICIO", "aſſk", "ASSK", "assK", "", "ab", "abcd", "abbcd", "xabd",
+    "tab\tand\nline", "ß strasse", "İstanbul ıs", "istanbul", "a.b", "a+b", "ñandú", "Ñandú", None,
+]
+PATTERNS = [
+    "1. Importe neto", "6230", "640|642", "8. Amortización de inmovilizado", r"D\) RESULTADO DEL", "sueldos?$", "assk", r"ab+c", "abc?d",
+    r"\bneto\b", r"^\d+", "(?i)istanbul", "istanbul", "ñandú", r"a\.b", r"a\+b", ".", "", "strasse|neto", r"line$", "[0-9]{4}", "x?abd",
+    "(6230|640) ", "tab\tand", "ımporte",
+]
+
+
+@pytest.mark.parametrize("anchored", [False, True])
+def test_index_finds_what_every_pattern_finds(spark, monkeypatch, anchored):
+    df = lines(spark, [("a", label, 2025, k + 1) for k, label in enumerate(LABELS)])
+    concepts = concepts_from_json(json.dumps({f"p{n:02}": p for n, p in enumerate(PATTERNS)}))
+    each = as_dict(concept_summary(df, YEARS, concepts=concepts, anchored=anchored))
+    monkeypatch.setattr("tallygrid.operators.concepts.PATTERNS_PER_PASS", 3)
+    assert as_dict(summary_by_label(df, YEARS, concepts=concepts, anchored=anchored)) == each
+
+
+def test_random_patterns_against_a_plain_search(spark):
+    draw = random.Random(7)
+    labels = ["".join(draw.choice("abcAB 1.") for _ in range(draw.randrange(3, 14))) for _ in range(300)]
+    pieces = ["a", "b", "c", "1", " ", r"\.", ".", "ab", "ca", "b+", "c*", "[ab]", "(a|b)", "a?", "b{2}", "|"]
+    patterns = []
+    while len(patterns) < 150:
+        p = "".join(draw.choice(pieces) for _ in range(draw.randrange(3, 8)))
+        patterns.append(p)
+    df = spark.createDataFrame([(x,) for x in sorted(set(labels))], "label string")
+    found, rest = matching_patterns(df, patterns)
+    got = {(r.label, r.n) for r in found.collect()}
+    wanted = {(x, n) for x in labels for n, p in enumerate(patterns) if n not in rest and re.search(p, x, re.I)}
+    assert got == wanted and len(rest) < len(patterns) and len(wanted) > 20

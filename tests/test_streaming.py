@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tallygrid.operators.concepts import to_summary
 from tallygrid.plans.close import close_folder, folder_totals
 from tallygrid.streaming.arrivals import arrived_totals, close_arrivals, ledger_stream
+from tallygrid.streaming.totals_store import TotalsStore, client_totals
 from tests.ledger_files import EMPTY, FILLED, FILLED_SUMMARY, write
 
 YEARS = (2025, 2024)
@@ -92,3 +93,67 @@ def test_same_name_in_two_folders_is_an_error(spark, tmp_path):
         else:
             with pytest.raises(Exception, match="two ledgers are named datos"):
                 arrived_totals(spark, out).collect()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def arrive(spark, tmp_path, count, **more):
+    """Files of ``count`` clients, one in each batch; returns the folder of the store."""
+    path = ""
+    for k in range(count):
+        path = sales(tmp_path / "in", f"c{k:02}.csv", str(k + 1))
+    out = str(tmp_path / "out")
+    lines = ledger_stream(spark, path, YEARS, files_per_batch=1)
+    close_arrivals(lines, out, str(tmp_path / "progress"), **more).awaitTermination()
+    return out
+
+
+def test_a_batch_reads_the_buckets_of_its_clients(spark, tmp_path):
+    out = arrive(spark, tmp_path, 5, buckets=64)
+    store = TotalsStore(spark, out)
+    assert store.buckets == 64
+    one = spark.createDataFrame([("c03",), ("new",)], "client string")
+    found = store.current(one)
+    numbers = sorted({r.b for r in one.select(store.bucket().alias("b")).collect()})
+    plan = plan_of(found)
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "bucket") and all(str(n) in plan for n in numbers)
+    read = {r.b for r in store.rows(numbers).select(F.col("bucket").alias("b"), F.input_file_name()).distinct().collect()}
+    assert read <= set(numbers) and len(read) < store.rows().select("bucket").distinct().count()
+    assert [(r.client, r.ventas_cur) for r in client_totals(found).collect()] == [("c03", 4)]
+    # A later run with another number of buckets finds what is there.
+    assert TotalsStore(spark, out, buckets=8).buckets == 64
+
+
+@pytest.mark.parametrize("fan", [2, 3])
+def test_parts_are_merged_by_levels(spark, tmp_path, fan):
+    out = arrive(spark, tmp_path, 9, buckets=4, fan=fan)
+    store = TotalsStore(spark, out)
+    counts = {level: len(store.parts(level)) for level in store.levels()}
+    assert max(counts.values()) < fan and max(counts) >= 2
+    assert {r.client: int(r.ventas_cur) for r in arrived_totals(spark, out).collect()} == {f"c{k:02}": k + 1 for k in range(9)}
+
+
+def test_parts_beside_what_they_were_merged_into_change_nothing(spark, tmp_path, monkeypatch):
+    """As after a failure between the two steps of a merge."""
+    monkeypatch.setattr("tallygrid.streaming.totals_store.delete", lambda spark, path: None)
+    out = arrive(spark, tmp_path, 4, buckets=4, fan=4)
+    store = TotalsStore(spark, out)
+    assert len(store.parts(0)) == 4 and len(store.parts(1)) == 1
+    assert {r.client: int(r.ventas_cur) for r in arrived_totals(spark, out).collect()} == {f"c{k:02}": k + 1 for k in range(4)}
+
+
+def test_a_file_that_comes_again_after_a_merge_replaces_its_totals(spark, tmp_path):
+    out = arrive(spark, tmp_path, 4, buckets=4, fan=2)
+    sales(tmp_path / "in", "c01.csv", "50")
+    lines = ledger_stream(spark, str(tmp_path / "in"), YEARS)
+    close_arrivals(lines, out, str(tmp_path / "again"), fan=2).awaitTermination()
+    assert {r.client: int(r.ventas_cur) for r in arrived_totals(spark, out).collect()} == {"c00": 1, "c01": 50, "c02": 3, "c03": 4}
+
+
+def test_two_stores_in_one_folder_are_an_error(spark, tmp_path):
+    for n in (4, 8):
+        (tmp_path / "out" / f"of={n}").mkdir(parents=True)
+    with pytest.raises(ValueError):
+        TotalsStore(spark, str(tmp_path / "out"))
