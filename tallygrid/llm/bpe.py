@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tallygrid.llm.common import table
+from tallygrid.llm.common import groups_by_size, table, text_batches
 
 NONE = np.int64(1) << 60  # the rank of a pair that cannot be merged
 END = "</w>"
@@ -135,7 +135,7 @@ class Tokenizer:
     for up to ``most`` different stretches without white space.
     """
 
-    def __init__(self, spec: dict, most: int = 300_000):
+    def __init__(self, spec: dict, most: int = 100_000):
         model = spec["model"]
         vocab = dict(model["vocab"])
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -202,26 +202,29 @@ def read_spec(path: str) -> str:
         return file.read()
 
 
-def encoded(spark: SparkSession, spec: str, text: str = "text", with_ids: bool = False) -> Column:
+def encoded(
+    spark: SparkSession, spec: str, text: str = "text", with_ids: bool = False, with_decoded: bool = False
+) -> Column:
     """A struct of the whole text's ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if asked
     for, ``ids`` (little-endian unsigned 32-bit integers) and the ``decoded`` text.
 
     A null counts as the empty text, which has no tokens.
     """
+    text_batches(spark)
     shared = spark.sparkContext.broadcast(spec)
-    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    more = [x for x, wanted in (("ids binary", with_ids), ("decoded string", with_decoded)) if wanted]
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *[x.split()[0] for x in more]]
 
-    @pandas_udf(kind + (", ids binary, decoded string" if with_ids else ""))
+    @pandas_udf(", ".join(["n_tokens long, ids_sha256 string, decoded_sha256 string", *more]))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tokenizer = Tokenizer(json.loads(shared.value))
         for batch in batches:
-            rows = []
-            for at in range(0, len(batch), 500):
-                for ids, text in tokenizer.encode(batch.iloc[at : at + 500].tolist()):
+            for lo, hi in groups_by_size(batch.str.len().to_numpy(), 1_000_000):
+                rows = []
+                for ids, text in tokenizer.encode(batch.iloc[lo:hi].tolist()):
                     hashes = hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode("utf-8")).hexdigest()
-                    rows.append((len(ids) // 4, *hashes, *([ids, text] if with_ids else [])))
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
-            yield pd.DataFrame(rows, columns=names[: 5 if with_ids else 3])
+                    rows.append((len(ids) // 4, *hashes, *([ids] if with_ids else []), *([text] if with_decoded else [])))
+                yield pd.DataFrame(rows, columns=names)
 
     return encode(F.coalesce(F.col(text), F.lit("")))
 
@@ -246,7 +249,7 @@ def with_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id``, ``text``, ``n_tokens``, ``ids`` and both digests of every row."""
     spec = read_spec(path or tokenizer_file())
     x = encoded(docs.sparkSession, spec, with_ids=True).alias("_x")
-    return docs.select("doc_id", "text", x).select("doc_id", "text", "_x.*").drop("decoded")
+    return docs.select("doc_id", "text", x).select("doc_id", "text", "_x.*")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers get whole texts in batches of ``rows`` for the rest of the session, so that a batch and what is made
+    of it stay small; a number that is not Spark's own is left as it is."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":
+        spark.conf.set(setting, str(rows))
+
+
 def whole_text(text: str = "text") -> Column:
     """The text, a null as the empty text."""
     return F.coalesce(F.col(text), F.lit(""))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm.common import groups_by_size, table
+from tallygrid.llm.common import groups_by_size, table, text_batches
 from tallygrid.session import stored
 
 HASHES, ROWS = 128, 4
@@ -44,7 +44,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Hashes of the word shingles of texts; remembers the hashes of up to ``most`` words."""
 
-    def __init__(self, width: int, most: int = 500_000):
+    def __init__(self, width: int, most: int = 150_000):
         self.width, self.most, self.seen = width, most, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -89,6 +89,8 @@ def signatures(shingles: list[np.ndarray]) -> np.ndarray:
 def _text_classes(docs: DataFrame, width: int) -> DataFrame:
     """A row for each different text: ``c`` (its number), hashes, least id, set size and minima."""
 
+    text_batches(docs.sparkSession)
+
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(width)
         for batch in batches:
@@ -152,8 +154,9 @@ def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int) ->
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(width)
         for batch in batches:
-            found = [np.unique(shingler(t).view(np.int64)) for t in batch["text"]]
-            yield pd.DataFrame({"c": batch["c"], "set": found})
+            for lo, hi in groups_by_size(batch["text"].str.len().to_numpy(), 1_000_000):
+                part = batch.iloc[lo:hi]
+                yield pd.DataFrame({"c": part["c"], "set": [np.unique(shingler(t).view(np.int64)) for t in part["text"]]})
 
     full = stored(texts.mapInPandas(sets, "c long, set array<long>"), "sets")
     return full.join(classes.select("c", "n", "minima"), "c")

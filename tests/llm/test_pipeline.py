@@ -85,5 +85,5 @@ def test_run_equals_the_stages(spark, stages):
 
 def test_every_operator_is_registered():
     names = [k for k in registry.queries() if k.startswith("op")]
-    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 14))
     assert "pipeline" in registry.queries()
