@@ -43,24 +43,36 @@ def held_out(doc_id: Column, folds: int, fold_no: int) -> Column:
     return F.coalesce(fold(doc_id, folds) == fold_no, F.lit(False))
 
 
+def stretch(text: Column, max_chars: int) -> Column:
+    """The text, of one longer than ``max_chars`` a stretch of that length from a place that its hash names."""
+    begin = F.pmod(F.xxhash64(text, F.lit(29)), F.length(text) - F.lit(max_chars) + 1).cast("int") + 1
+    return F.when(F.length(text) <= max_chars, text).otherwise(F.substr(text, begin, F.lit(max_chars)))
+
+
+def one_text_each(docs: DataFrame, keys: DataFrame, by: list[str], columns: list[str], max_chars: int | None) -> DataFrame:
+    """A row of ``docs`` with a text for each of the ``keys`` (few rows, with the columns ``by``): of several with one key the
+    one whose text has the least hash."""
+    text = F.col("text") if max_chars is None else stretch(F.col("text"), max_chars)
+    others = [c for c in columns if c != "text"]
+    given = docs.where("text IS NOT NULL").select(*by, F.xxhash64("text").alias("_hash"), F.struct(text.alias("text"), *others).alias("_row"))
+    found = given.join(keys.select(*by), by).groupBy(*by).agg(F.min_by("_row", F.struct("_hash", "_row.text")).alias("_row"))
+    return found.select(*by, *[F.col(f"_row.{c}").alias(c) for c in columns if c not in by])
+
+
 def bounded_sample(
-    docs: DataFrame, keys: DataFrame, columns: list[str], rows: int, max_chars: int
+    docs: DataFrame, keys: DataFrame, columns: list[str], rows: int, max_chars: int | None = None
 ) -> DataFrame:
-    """At most ``rows`` documents of those in ``keys`` (``doc_id`` and more), with their texts.
+    """At most ``rows`` documents of those in ``keys`` (``doc_id`` and more), one row for each id, with
+    their ``columns``, the text among them.
 
-    The documents come in the order of a hash of their id, so the choice does not depend on
-    the partitioning. Texts are taken whole; those longer than ``max_chars`` are passed over,
-    so the size of the sample is bounded, too.
+    The ids that have a text are drawn in the order of a hash, so the choice does not depend on the partitioning
+    nor on the length of the texts. Of a text longer than ``max_chars`` comes a stretch of that length, so the size
+    of the sample is bounded, too; without ``max_chars`` texts come whole.
     """
     order = F.xxhash64("doc_id", F.lit(17))
     there = docs.select("doc_id").where("text IS NOT NULL").distinct()
-    chosen = keys.join(there, "doc_id", "left_semi").orderBy(order, *keys.columns).limit(rows)
-    texts = docs.where(F.length("text") <= max_chars).select("doc_id", *columns)
-    return (
-        texts.join(F.broadcast(chosen), "doc_id")
-        .orderBy(order, *keys.columns, "text")
-        .limit(rows)
-    )
+    chosen = keys.select("doc_id").distinct().join(there, "doc_id", "left_semi").orderBy(order, "doc_id").limit(rows)
+    return one_text_each(docs, F.broadcast(chosen), ["doc_id"], columns, max_chars)
 
 
 def groups_by_size(lengths: np.ndarray, size: int) -> Iterator[tuple[int, int]]:

@@ -6,26 +6,30 @@ lexicon entry. Learnt transitions tie neighbouring words, and forward-backward g
 probability of every language at every word of code-switched text. A document has the language
 with the largest share of these probabilities.
 
+Neighbouring words that are likeliest of one language make a run; runs, the language of the document and its
+share come from the same pass.
+
 The field is trained in numpy on a bounded sample. Training sequences are spliced from stretches
 of documents in different languages, so that transitions are learnt, too.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tallygrid.llm.common import fold, groups_by_size, held_out, table
+from tallygrid.llm.common import fold, groups_by_size, held_out, one_text_each, table, text_batches
+from tallygrid.session import stored
 
 ROWS = 1 << 16
-WORDS = re.compile(r"[^\W\d_]+")
+WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")  # letters by their category, with the marks on them
 UNKNOWN = "und"
 NGRAMS, AFFIXES = (2, 3), (4, 5)
 
@@ -97,11 +101,11 @@ def _laid(emission: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.nd
     return out
 
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, starts, moves, each: bool = False):
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, starts, moves, each: bool = False, places: bool = False):
     """Sums over all places of the probabilities of each language, and of each transition.
 
     ``scores`` (place x sequence x language) are log weights, sequences fall in length. With
-    ``each`` the probabilities at every place come too.
+    ``places`` the probabilities at every place come too, with ``each`` also the transitions.
     """
     e = np.exp(scores - scores.max(2, keepdims=True))
     step, first = np.exp(moves).astype(np.float32), np.exp(starts).astype(np.float32)
@@ -116,14 +120,14 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, starts, moves, eac
         alpha[t, :n] = a
     total = np.zeros(e.shape[1:], np.float64)
     pairs = np.zeros_like(step, np.float64)
-    every = np.zeros_like(e) if each else None
+    every = np.zeros_like(e) if each or places else None
     beta = np.ones(e.shape[1:], np.float32)
     for t in range(len(e) - 1, -1, -1):
         n = alive[t]
         g = alpha[t, :n] * beta[:n]
         g /= g.sum(1, keepdims=True)
         total[:n] += g
-        if each:
+        if every is not None:
             every[t, :n] = g
         if t:
             onward = e[t, :n] * beta[:n]
@@ -136,7 +140,7 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, starts, moves, eac
 
 
 def _words_of(texts: list[str]) -> list[list[str]]:
-    return [WORDS.findall(t.lower()) for t in texts]
+    return [[w.lower() for w in WORDS.findall(t)] for t in texts]
 
 
 def _numbered(words: list[list[str]]) -> tuple[list[str], np.ndarray]:
@@ -160,10 +164,16 @@ def emissions(field: Field, words: list[str], most: int = 100_000) -> np.ndarray
 
 def shares(field: Field, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Share of each language in each text, and the number of its words."""
-    words = _words_of(texts)
+    return labelled(field, _words_of(texts))[:2]
+
+
+def labelled(field: Field, words: list[list[str]], places: bool = False):
+    """Share of each language in each list of words, the number of words and, with ``places``, of each word the
+    likeliest language and its probability, one list after the other."""
     lengths = np.array([len(w) for w in words], np.int64)
-    out = np.zeros((len(texts), len(field.languages)))
-    if lengths.sum() and field.languages:
+    out, count = np.zeros((len(words), len(field.languages))), int(lengths.sum())
+    best, sure = np.zeros(count if places else 0, np.int64), np.zeros(count if places else 0, np.float32)
+    if count and field.languages:
         different, numbers = _numbered(words)
         emission = emissions(field, different)
         ends = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -171,12 +181,32 @@ def shares(field: Field, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             n = lengths[rows]
             place = np.concatenate([ends[r] + np.arange(lengths[r]) for r in rows])
             laid = _laid(emission[numbers[place]], np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            out[rows] = forward_backward(laid, n, field.starts, field.moves)[0] / n[:, None]
-    return out, lengths
-
-
-def train(texts: list[str], langs: list[str], sequences: int = 1500, epochs: int = 4, seed: int = 3) -> Field:
-    """Fit by stochastic gradients of the conditional likelihood of spliced sequences."""
+            total, _, every = forward_backward(laid, n, field.starts, field.moves, places=places)
+            out[rows] = total / n[:, None]
+            if places:
+                at = np.concatenate([np.arange(x) for x in n]), np.repeat(np.arange(len(n)), n)
+                best[place], sure[place] = every[at].argmax(1), every[at].max(1)
+    return out, lengths, best, sure
+
+
+def runs_of(field: Field, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[dict]]]:
+    """``shares`` and, for each text, its runs of words of one language: ``start`` and ``end`` (code points,
+    the end not included), ``language`` and ``probability`` (mean over its words)."""
+    found = [[(m.start(), m.end(), m[0].lower()) for m in WORDS.finditer(t)] for t in texts]
+    share, lengths, best, sure = labelled(field, [[w for _, _, w in line] for line in found], places=True)
+    out, ends = [], np.concatenate([[0], np.cumsum(lengths)])
+    for line, a, b in zip(found, ends[:-1], ends[1:], strict=True):
+        label, p = best[a:b], sure[a:b]
+        begin = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]])) if b > a and field.languages else []
+        out.append([
+            {"start": line[i][0], "end": line[j - 1][1], "language": field.languages[label[i]], "probability": float(p[i:j].mean())}
+            for i, j in zip(begin, [*begin[1:], b - a], strict=True)
+        ] if len(begin) else [])
+    return share, lengths, out
+
+
+def train(texts: list[str], langs: list[str], per_language: int = 375, epochs: int = 4, seed: int = 3) -> Field:
+    """Fit by stochastic gradients of the conditional likelihood of spliced sequences, ``per_language`` for each language."""
     names = sorted(set(langs))
     field = Field(names, np.zeros((ROWS, len(names)), np.float32), np.zeros(len(names), np.float32),
                   np.zeros((len(names), len(names)), np.float32))
@@ -187,7 +217,7 @@ def train(texts: list[str], langs: list[str], sequences: int = 1500, epochs: int
         return field
     rng = np.random.default_rng(seed)
     made = []
-    for _ in range(sequences):
+    for _ in range(per_language * len(names)):
         line, labels = [], []
         for _ in range(int(rng.integers(1, 4))):
             k = usable[rng.integers(len(usable))]
@@ -237,46 +267,64 @@ def _step(field: Field, batch, sums, rate: float = 0.1) -> None:
 
 
 def fit(docs: DataFrame, per_language: int = 300, max_chars: int = 20_000) -> Field:
-    """Field learnt from about ``per_language`` documents of each language.
+    """Field learnt from at most ``per_language`` documents of each language.
 
-    Rows with a null id, text or language teach nothing. Documents are chosen by a hash of their
-    id, at a rate that follows from the number of documents of the language, and taken whole;
-    those over ``max_chars`` are passed over.
+    Rows with a null id, text or language teach nothing. The ids of a language are drawn in the order of a hash,
+    one row for each, whatever the length of the texts; of a text over ``max_chars`` a stretch of that length is
+    taken. So the driver gets ``per_language * max_chars`` characters for each language at most, and a model of a
+    column for each; a table of very many languages is not meant.
     """
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not sizes:
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id")
+    ids = rows.select("lang", "doc_id").distinct().withColumn("_rank", F.row_number().over(order))
+    chosen = stored(ids.where(f"_rank <= {per_language}").select("lang", "doc_id"), "language-sample")
+    sample = one_text_each(rows, chosen, ["lang", "doc_id"], ["text"], max_chars).collect()
+    if not sample:
         return Field([], np.zeros((ROWS, 0), np.float32), np.zeros(0, np.float32), np.zeros((0, 0), np.float32))
-    steps = 1 << 30
-    rate = F.element_at(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(steps, steps * per_language // n)))]), F.col("lang"))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(steps)) < rate).where(F.length("text") <= max_chars)
-    sample = chosen.select("doc_id", "text", "lang").limit(2 * per_language * len(sizes)).collect()
     sample.sort(key=lambda r: (r.doc_id, r.lang, r.text))
     return train([r.text for r in sample], [r.lang for r in sample])
 
 
-def language(spark: SparkSession, field: Field, text: str = "text") -> Column:
+def language(spark: SparkSession, field: Field, text: str = "text", with_runs: bool = False) -> Column:
     """Struct of ``lang_pred`` and ``score`` of the whole text: ``und`` and 0 without letters,
-    else the language with the largest share and that share; equal shares go by the alphabet."""
+    else the language with the largest share and that share; equal shares go by the alphabet.
+
+    With ``with_runs`` also ``runs``, see :func:`runs_of`.
+    """
+    text_batches(spark)
     shared = spark.sparkContext.broadcast(vars(field))
+    kinds = "lang_pred string, score double"
+    runs_kind = ", runs array<struct<start int, end int, language string, probability double>>"
 
-    @pandas_udf("lang_pred string, score double")
+    @pandas_udf(kinds + runs_kind * with_runs)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         here = Field(**shared.value)
         names = np.array([*here.languages, UNKNOWN], dtype=object)
         for batch in batches:
-            texts, parts = batch.tolist(), []
-            for lo, hi in groups_by_size(np.array([len(t) for t in texts]), 6_000_000):
-                share, words = shares(here, texts[lo:hi])
+            texts = batch.tolist()
+            for lo, hi in groups_by_size(np.array([len(t) for t in texts]), 4_000_000):
+                if with_runs:
+                    share, words, runs = runs_of(here, texts[lo:hi])
+                else:
+                    (share, words), runs = shares(here, texts[lo:hi]), None
                 known = (words > 0) & bool(here.languages)
                 best = share.argmax(1) if here.languages else np.zeros(hi - lo, np.int64)
                 score = np.where(known, np.clip(share.max(1), 0, 1), 0.0) if here.languages else np.zeros(hi - lo)
-                parts.append(pd.DataFrame({"lang_pred": names[np.where(known, best, len(names) - 1)], "score": score}))
-            yield pd.concat(parts) if parts else pd.DataFrame({"lang_pred": [], "score": []})
+                found = pd.DataFrame({"lang_pred": names[np.where(known, best, len(names) - 1)], "score": score})
+                yield found.assign(runs=runs) if with_runs else found
 
     return predict(F.coalesce(F.col(text), F.lit("")))
 
 
+def label_runs(docs: DataFrame, field: Field) -> DataFrame:
+    """A row for each run of words of one language: ``doc_id``, ``start``, ``end``, ``language`` and ``probability``.
+
+    A text without letters has none. Repeated rows come out each, null ids stay null.
+    """
+    found = docs.select("doc_id", language(docs.sparkSession, field, with_runs=True).alias("_x"))
+    return found.select("doc_id", F.inline("_x.runs"))
+
+
 def identify(docs: DataFrame, field: Field) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` of every row; only id and text are read.
 

@@ -161,9 +161,16 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     empty text stays as it is. Rows with equal id and text are one document and get the same
     text. Documents come in the order of their ids, a null id first, equal ids by a hash of the
     text; within a document a run may also repeat itself, and then only its beginning stays. An
-    empty table gives an empty table. Names of further columns are free, except those that begin
-    with an underscore.
+    empty table gives an empty table. Names of further columns are free, except those of the two numbers.
     """
+    # Names of further columns may be those used below.
+    prefix = "kept_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    hidden = {c: prefix + c for c in docs.columns if c.startswith("_")}
+    if hidden:
+        shown = {new: old for old, new in hidden.items()}
+        return remove_repeated_lines(docs.withColumnsRenamed(hidden), min_words).withColumnsRenamed(shown)
     gone = deleted_lines(docs, min_words).groupBy(*DOC).agg(
         F.sort_array(F.collect_list("no")).alias("_gone"), F.sum("words").alias("_words")
     )
@@ -178,10 +185,15 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
 
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without later copies of line runs; documents of which nothing is left go."""
+    """``docs`` without later copies of line runs; documents of which nothing is left go.
+
+    A column ``n_chars`` is the length of the text and is counted anew, in the type it has.
+    """
     cleaned = remove_repeated_lines(docs, min_words)
     left = (F.col("_lines_gone") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    count = [F.length("text").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    kinds = dict(docs.dtypes)
+    changed = F.when(F.col("_lines_gone") == 0, F.col("n_chars")).otherwise(F.length("text").cast(kinds["n_chars"])) if "n_chars" in kinds else None
+    count = [changed.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return cleaned.where(left).select(*count)
 
 

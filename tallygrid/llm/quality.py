@@ -154,19 +154,19 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, names: list[str] = S
     return Ensemble(bias, kept)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_chars: int = 50_000) -> Ensemble:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Ensemble:
     """Ensemble learnt from at most ``per_class`` labelled texts of each class.
 
     ``labels`` has ``doc_id`` and ``quality``. Rows with a null id, text or label teach nothing.
-    Rows count by the share of their class among all labels, so scores are probabilities. Only
-    the statistics of the sample reach the driver.
+    Rows count by the share of their class among all labels, so scores are probabilities. Of several
+    rows with one id one is taken. Statistics are those of the whole texts; only they reach the driver.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     sizes = {r.quality: r["count"] for r in usable.groupBy("quality").count().collect()}
     rows, y, weight, order = [], [], [], []
     for value in sorted(sizes):
         keys = usable.where(F.col("quality") == value).select("doc_id").distinct()
-        sample = bounded_sample(docs, keys, ["text"], per_class, max_chars)
+        sample = bounded_sample(docs, keys, ["text"], per_class)
         found = with_statistics(sample, ["doc_id"]).collect()
         rows += [[r[s] for s in STATISTICS] for r in found]
         order += [(zlib.crc32(str(r.doc_id).encode()), r.doc_id) for r in found]

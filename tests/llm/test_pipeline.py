@@ -2,12 +2,14 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Library
 
 import __spark_entry__ as registry
 import corpus_pipeline
 from tallygrid.llm import bpe, toxicity
 from tests.llm import test_decontam, test_linededup, test_minhash
+from tests.llm.rows import ODD, documents
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,3 +89,33 @@ def test_every_operator_is_registered():
     names = [k for k in registry.queries() if k.startswith("op")]
     assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 14))
     assert "pipeline" in registry.queries()
+
+
+def written(spark, path, docs, labels=(), items=()):
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_odd_rows(spark, tmp_path):
+    hidden = ["_gone", "_split", "_words", "_score", "_x", "_lines_gone_", "kept_"]
+    item = " ".join(f"q{k}" for k in range(30))
+    rows = [*ODD, (20, f"before {item} after"), (21, "x" * 100_000), (22, None), (23, "line one two\n" * 3)]
+    docs = documents(spark, rows).withColumns({c: F.lit("clash") for c in hidden})
+    sf_dir = written(spark, tmp_path, docs, items=[(1, item), (2, None), (None, "a b"), (3, "")])
+    given, read = docs.columns, spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, read, sf_dir).columns == given
+    found = corpus_pipeline.run(spark, sf_dir).collect()
+    left = sorted(((r.doc_id, r.text) for r in found), key=str)
+    # The near copy 10 and the exact copies 9 of 8 go, the contaminated 20 goes; 5 and 6 are too short to be alike.
+    gone = {9, 10, 20}
+    assert left == sorted(((i, t) for i, t in rows if i not in gone), key=str)
+    assert {r.n_tokens for r in found if not r.text} == {0}
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = documents(spark, [], extra=False)
+    sf_dir = written(spark, tmp_path, docs)
+    assert corpus_pipeline.run(spark, sf_dir).count() == 0
