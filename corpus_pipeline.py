@@ -50,7 +50,15 @@ ORACLE_SQL = None  # the classifier and the tokenizer are not expressible in SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents after all stages; each stage is written to the shared folder and read again."""
+    """The documents after all stages; each stage is written to the shared folder and read again.
+
+    Every stage takes rows in any state. A null or empty text has no words: it is neither toxic, unless the classifier
+    finds texts without words so, nor a duplicate, contaminated or changed, and has no tokens. Null ids are ids like any other.
+    Rows of equal id and text are one document: they stay or go together. Of equal texts under several ids the
+    least id stays. Texts of any length count whole. Further columns stay up to the last stage, whatever their
+    names; ``n_chars`` is counted anew where a text is shortened. An empty table gives an empty one, and without
+    ``labels`` of both classes no document is toxic.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
