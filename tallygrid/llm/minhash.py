@@ -176,7 +176,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Rounds of large-star and small-star: each node passes its larger (then its smaller)
     neighbours on to the least node it knows. Least neighbours are found by partial aggregates and
-    a join that splits a node with very many links. Every round is written to the shared folder.
+    a join, in which the links of one node lie in one task. Every round is written to the shared folder.
     """
     def star(edges: DataFrame, large: bool) -> DataFrame:
         ways = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
