@@ -8,11 +8,17 @@ generalised Jaccard similarity of their weights, sum of minima over sum of maxim
 
 The draws are cut from the bits of one hash. The order of ln a and the identity of the pair share
 one 64-bit number, so that all samples of a document are plain minima, added up by partial aggregates.
+
+The least a of a document of W words is about 1 / W, and over ``REACH`` / W once in e^REACH samples.
+A lower bound of a, made without logarithms, rules out most words for most samples. Where no word
+lies below REACH / W, all words of the document are drawn in full.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,28 +29,54 @@ from tallygrid.session import stored
 SAMPLES = 64  # a likeness p has a standard error of sqrt(p (1 - p) / SAMPLES)
 BITS = 12  # of each of the five uniform numbers of a draw
 LANE = 16  # bits of a sample in the fingerprint; four lanes make a number
-PACKED = [f"f{k}" for k in range(SAMPLES * LANE // 64)]
+REACH = 20.0  # words that cannot come below this share of the whole weight are not drawn at first
+LANES = 64 // LANE
+PACKED = [f"f{k}" for k in range(SAMPLES // LANES)]
+SHA = [f"sha{k}" for k in range(4)]  # a SHA-256 digest as four numbers
 KEY = ["id", "none", "h1", "h2"]  # identity of a document without nulls: its id and hashes of its text
 
 
-def _sample(k: int) -> Column:
-    """One number for the k-th sample: ln a in the high bits, the sampled pair in the low ones."""
-    draw, steps = F.xxhash64("word", F.lit(k)), float(1 << BITS)
+def _draw(j: int) -> Column:
+    """The bits from which a word draws the j-th sample of lane group ``g``."""
+    return F.xxhash64("word", F.col("g") * LANES + j)
+
 
-    def uniform(j: int) -> Column:  # times the number of steps
-        return F.shiftrightunsigned(draw, 64 - BITS * (j + 1)).bitwiseAND((1 << BITS) - 1) + F.lit(0.5)
+def _uniform(j: int, i: int) -> Column:
+    """The i-th uniform number of a draw, times the number of steps."""
+    return F.shiftrightunsigned(_draw(j), 64 - BITS * (i + 1)).bitwiseAND((1 << BITS) - 1) + F.lit(0.5)
 
+
+def _sample(j: int) -> Column:
+    """One number for a sample: ln a in the high bits, the sampled pair in the low ones."""
+    steps = float(1 << BITS)
     both = 2 * math.log(steps)
-    r, c = both - F.log(uniform(0) * uniform(1)), both - F.log(uniform(2) * uniform(3))
-    b = uniform(4) / steps
-    t = F.floor(F.col("lw") / r + b)
+    r, c = both - F.log(_uniform(j, 0) * _uniform(j, 1)), both - F.log(_uniform(j, 2) * _uniform(j, 3))
+    b = _uniform(j, 4) / steps
+    t = F.when(F.col("once") == 1, F.lit(0).cast("long")).otherwise(F.floor(F.col("lw") / r + b))  # 0 for ln w = 0
     log_a = F.log(c) - r * (t - b + 1)
-    pair = F.hash(draw, t).bitwiseAND((1 << LANE) - 1).cast("long")
-    return F.shiftleft((log_a * float(1 << 32)).cast("long"), LANE).bitwiseOR(pair)
+    pair = F.hash(_draw(j), t).bitwiseAND((1 << LANE) - 1).cast("long")
+    return _ordered(log_a).bitwiseOR(pair)
+
+
+def _ordered(log_a: Column) -> Column:
+    return F.shiftleft((log_a * float(1 << 32)).cast("long"), LANE)
+
+
+def _may_win(j: int) -> Column:
+    """Whether a may be REACH / W or less; ``share`` is REACH w / W.
+
+    With p = exp(-r) and q = exp(-c), products of two uniform numbers, a = c / w * p^x, where x is 1 - b for a word
+    that occurs once and 1 at most for others. c is at least 2 (1 - q) / (1 + q), p^x at least p / (p + x (1 - p)).
+    """
+    steps = float(1 << BITS)
+    p, q = _uniform(j, 0) * _uniform(j, 1) / steps**2, _uniform(j, 2) * _uniform(j, 3) / steps**2
+    x = 1.0 - F.col("once") * (_uniform(j, 4) / steps)
+    return (1.0 - q) * p * 2.0 <= F.col("share") * (q + 1.0) * (p + x * (1.0 - p)) * (1 + 1e-9)
 
 
-def _weighted_words(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """``word`` (its hash) and log weight ``lw`` of the different words of each text.
+def _weighted_words(texts: DataFrame, keys: list[str], reach: float) -> DataFrame:
+    """``word`` (its hash) and log weight ``lw`` of the different words of each text, ``once`` (1 for a word that
+    occurs once, or 0), ``share`` (``reach`` times its part of the W words of the text) and ``below`` (the number of reach / W).
 
     Words are counted inside the row: equal hashes are neighbours once sorted.
     """
@@ -56,24 +88,42 @@ def _weighted_words(texts: DataFrame, keys: list[str]) -> DataFrame:
     )
     run = F.transform("starts", lambda at, k: F.struct(
         F.get("words", at).alias("word"), (F.coalesce(F.get("starts", k + 1), F.size("words")) - at).alias("n")))
-    exploded = hashed.withColumn("starts", starts).select(*keys, F.explode_outer(run).alias("x"))
-    return exploded.select(*keys, "x.word", F.log(F.col("x.n").cast("double")).alias("lw"))
+    total = F.when(F.size("words") > 0, F.size("words").cast("double"))
+    exploded = hashed.withColumn("starts", starts).select(*keys, total.alias("total"), F.explode_outer(run).alias("x"))
+    n = F.col("x.n").cast("double")
+    return exploded.select(
+        *keys, "x.word", F.log(n).alias("lw"), (n == 1).cast("double").alias("once"),
+        (n * reach / F.col("total")).alias("share"), _ordered(F.log(reach / F.col("total"))).alias("below"),
+    )
 
 
-def _samples(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """The samples of each text, four in a number; nulls for a text without words."""
-    words = _weighted_words(texts, keys)
-    least = [F.min(_sample(k)).alias(f"s{k}") for k in range(SAMPLES)]
-    each = 64 // LANE
+def _packed(texts: DataFrame, keys: list[str], reach: float | None, carried: Sequence[str] = ()) -> DataFrame:
+    """The samples of each text, and whether all are ``sure``: below what a word that was ruled out may have.
+    ``carried`` are numbers that texts of equal keys share; as results, not keys, they are not hashed for each word.
 
-    def lane(k: int, j: int) -> Column:
-        return F.shiftleft(F.col(f"s{k * each + j}").bitwiseAND((1 << LANE) - 1), LANE * j)
-
-    packed = [
-        lane(k, 0).bitwiseOR(lane(k, 1)).bitwiseOR(lane(k, 2)).bitwiseOR(lane(k, 3)).alias(name)
-        for k, name in enumerate(PACKED)
-    ]
-    return words.groupBy(*keys).agg(*least).select(*keys, *packed)
+    Each word is met once for every number of the fingerprint. A single row for all samples would need code
+    longer than what the JVM compiles.
+    """
+    words = _weighted_words(texts, [*keys, *carried], reach or REACH).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(len(PACKED) - 1))))
+    least = [F.min(F.when(_may_win(j), _sample(j)) if reach else _sample(j)).alias(f"s{j}") for j in range(LANES)]
+    same = [F.max(c).alias(c) for c in carried]
+    found = words.groupBy(*keys, "g").agg(*least, F.max("below").alias("below"), *same)
+    lanes = [F.shiftleft(F.col(f"s{j}").bitwiseAND((1 << LANE) - 1), LANE * j) for j in range(LANES)]
+    low = reduce(Column.__and__, [F.coalesce(F.col(f"s{j}") < F.col("below"), F.lit(False)) for j in range(LANES)])
+    sure = F.col("below").isNull() | low if reach else F.lit(True)
+    numbers = found.select(*keys, *carried, "g", reduce(Column.bitwiseOR, lanes).alias("f"), sure.alias("sure"))
+    columns = [F.max(F.when(F.col("g") == k, F.col("f"))).alias(name) for k, name in enumerate(PACKED)]
+    return numbers.groupBy(*keys).agg(*same, *columns, F.min("sure").alias("sure"))
+
+
+def _samples(texts: DataFrame, keys: list[str], reach: float = REACH, carried: Sequence[str] = ()) -> DataFrame:
+    """The samples of each text, four in a number; nulls for a text without words."""
+    found = stored(_packed(texts, keys, reach, carried), "samples")
+    unsure = found.where("NOT sure").select(*keys)
+    if unsure.isEmpty():
+        return found.drop("sure")
+    again = _packed(texts.join(unsure, keys, "left_semi"), keys, None, carried)
+    return stored(found.where("sure").unionByName(again).drop("sure"), "samples")
 
 
 def _printed(names: list[str]) -> Column:
@@ -86,7 +136,7 @@ def likeness(a: list[str], b: list[str]) -> Column:
     equal = F.lit(0)
     for x, y in zip(a, b, strict=True):
         different = F.col(x).bitwiseXOR(F.col(y))
-        for j in range(64 // LANE):
+        for j in range(LANES):
             lane = F.shiftrightunsigned(different, LANE * j).bitwiseAND((1 << LANE) - 1)
             equal = equal + (lane == 0).cast("int")
     none_a, none_b = F.col(a[0]).isNull(), F.col(b[0]).isNull()
@@ -159,14 +209,17 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     kept = F.expr("substring(text, 1, int(n_chars - n_chars div 2))")
     both = placed.select(*KEY, "row", "copies", "n_chars", "next", "text").join(given, KEY)
     edited = both.withColumn("edited", F.concat(kept, "begin"))
-    versions = edited.select(*KEY, "row", "copies", "n_chars", "next", F.explode(F.array(
-        F.struct(F.lit(0).alias("version"), F.lit("").alias("sha"), F.col("text").alias("text")),
-        F.struct(F.lit(1).alias("version"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), F.col("edited").alias("text")),
+    digest = F.sha2(F.col("edited").cast("binary"), 256)
+    shas = [F.conv(F.substring(digest, 16 * k + 1, 16), 16, -10).cast("long").alias(name) for k, name in enumerate(SHA)]
+    zeros = [F.lit(0).cast("long").alias(name) for name in SHA]
+    numbers = ["row", "copies", "n_chars", "next"]
+    versions = edited.select(*KEY, *numbers, F.explode(F.array(
+        F.struct(F.lit(0).alias("version"), *zeros, F.col("text").alias("text")),
+        F.struct(F.lit(1).alias("version"), *shas, F.col("edited").alias("text")),
     )).alias("x")).select("*", "x.*").drop("x")
-    keys = [*KEY, "row", "copies", "n_chars", "next", "version", "sha"]
-    found = stored(_samples(versions, keys), "fingerprints")
-    own = found.where("version = 0").drop("version", "sha", "h1", "h2")
-    changed = found.where("version = 1").select("row", "sha", *[F.col(f).alias(f"e_{f}") for f in PACKED])
+    found = _samples(versions, [*KEY, "version"], carried=[*numbers, *SHA])
+    own = found.where("version = 0").drop("version", *SHA, "h1", "h2")
+    changed = found.where("version = 1").select("row", _printed(SHA).alias("sha"), *[F.col(f).alias(f"e_{f}") for f in PACKED])
     following = own.select(F.col("row").alias("next"), *[F.col(f).alias(f"n_{f}") for f in PACKED])
     joined = own.join(changed, "row").join(following, "next")
     names = {p: [f"{p}{f}" for f in PACKED] for p in ("", "e_", "n_")}

@@ -88,3 +88,16 @@ def test_no_python(spark, function):
 def test_likeness_tells_near_from_far():
     """Standard errors of a likeness of 0.5 and of 0.8."""
     assert np.sqrt(0.5 * 0.5 / cws.SAMPLES) < 0.07 and np.sqrt(0.8 * 0.2 / cws.SAMPLES) < 0.055
+
+
+def test_words_ruled_out_do_not_matter(spark):
+    """Few words are drawn, and the samples are those of all words, also where none came low enough."""
+    texts = cws._keyed(documents(spark, [*DOCS, *ODD, (77, "a " * 5000 + "b c")]).distinct())
+    by_key = lambda df: sorted(map(tuple, df.drop("sure").collect()), key=str)
+    full = by_key(cws._packed(texts, cws.KEY, None))
+    for reach in (0.5, 3.0, cws.REACH):
+        assert by_key(cws._samples(texts, cws.KEY, reach)) == full
+    assert cws._packed(texts, cws.KEY, 0.5).where("NOT sure").count() > 10
+    long = cws._keyed(documents(spark, [(1, LONG)]))
+    drawn = cws._weighted_words(long, cws.KEY, cws.REACH).withColumn("g", cws.F.lit(0))
+    assert drawn.select(cws.F.avg(cws._may_win(0).cast("double"))).first()[0] < 0.1
