@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallygrid.llm.common import groups_by_size, table, text_batches
@@ -171,32 +171,35 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(pairs.join(a, "a").join(b, "b").where(100 * common >= percent * union).select("a", "b"), "links")
 
 
+def _star_round(edges: DataFrame) -> DataFrame:
+    """The edges after a large-star and a small-star; ``b`` is the lesser end of each.
+
+    Each node passes its larger, then its smaller neighbours on to the least node it knows. An edge gives one row in
+    either half, and a window finds the least neighbour, so that a round is three shuffles without any join.
+    """
+    there, back = F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))
+    least = F.min("v").over(Window.partitionBy("u"))
+    ways = edges.select(F.explode(F.array(there, back)).alias("way")).select("way.*")
+    large = ways.withColumn("m", F.least(least, "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # Of the edges of a node the one to the least stays, the others go on to it.
+    small = large.withColumn("m", least).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
+    return small.distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``c`` and ``component``, the least number reachable, for every end of a link.
 
-    Rounds of large-star and small-star: each node passes its larger (then its smaller)
-    neighbours on to the least node it knows. Least neighbours are found by partial aggregates and
-    a join, in which the links of one node lie in one task. Every round is written to the shared folder.
+    Rounds of large-star and small-star, until one changes nothing. The links of one node lie in one task. Every round
+    is written to the shared folder.
     """
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        ways = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        ways = ways.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        if not large:
-            ways = ways.where("v < u")
-        least = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = ways.join(least, "u")
-        passed = joined.where("v > u" if large else "v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        if not large:
-            passed = passed.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return passed.where("a <> b").distinct()
-
-    edges, before = stored(links.where("a <> b").distinct(), "stars"), None
-    while True:
-        edges = stored(star(star(edges, True), False), "stars")
-        state = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("b", "a") % 1_000_003)).first()
-        if state == before:
-            break
-        before = state
+    def state(edges: DataFrame) -> Row:
+        return edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("b", "a") % 1_000_003)).first()
+
+    edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "stars")
+    before, now = None, state(edges)
+    while now != before:
+        edges, before = stored(_star_round(edges), "stars"), now
+        now = state(edges)
     return edges.select(F.col("a").alias("c"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("c"), F.col("b").alias("component")).distinct()
     )
@@ -207,15 +210,17 @@ def _rest(buckets: DataFrame, stars: DataFrame, found: DataFrame, sets: DataFram
 
     A cluster is what buckets connect, linked or not; all members of a bucket are in one cluster.
     Blocks lie within a cluster. A component that fills blocks of its own has only these, so that
-    blocks which need no comparison with each other are many where a group is large.
+    blocks which need no comparison with each other are many where a group is large. What several
+    of the steps below need is stored, because the plans would repeat all that lies before it.
     """
     placed = components(stars).withColumnRenamed("component", "cluster").join(found, "c", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "c"))
+    placed = stored(placed.withColumn("component", F.coalesce("component", "c")), "clusters")
     several = placed.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     placed = placed.join(several.where("low <> high").select("cluster"), "cluster").join(sets.select("c", "n"), "c")
+    placed = stored(placed, "mixed-clusters")
     sizes = placed.groupBy("cluster", "component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     kind = F.when((F.col("members") >= BLOCK) | (F.col("shingles") >= BLOCK_SHINGLES), F.col("component")).otherwise(-1)
-    kinds = sizes.withColumn("kind", kind)
+    kinds = stored(sizes.withColumn("kind", kind), "kinds")
     parts = F.ceil(F.greatest(F.sum("members") / BLOCK, F.sum("shingles") / BLOCK_SHINGLES)).alias("parts")
     kinds = kinds.join(kinds.groupBy("cluster", "kind").agg(parts), ["cluster", "kind"])
     block = F.xxhash64("cluster", "kind", F.pmod(F.xxhash64("c", F.lit(3)), F.col("parts")))
@@ -298,7 +303,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = _links(_alike(stars, classes, percent), sets, percent)
     found = components(links)
     more = _rest(buckets, stars, found, sets, percent)
-    found = components(links.unionByName(more))
+    if not more.isEmpty():
+        found = components(found.select(F.col("c").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = classes.join(found, "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = named.join(least, "component").select("h1", "h2", "n", "component_id")

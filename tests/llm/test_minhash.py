@@ -120,3 +120,38 @@ def test_full_sets_decide_on_a_pair_with_few_equal_minima():
     other = np.where(minima < 80, minima, -1)
     one, two = block(1, range(90), minima), block(2, range(100), other)
     assert minhash._between(one, two, 85) == [(1, 2)]
+
+
+def plans_of(monkeypatch):
+    """Gets the name and the plan of everything that is stored."""
+    plans, store = [], minhash.stored
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return store(df, name)
+
+    monkeypatch.setattr(minhash, "stored", noted)
+    return plans
+
+
+def test_a_round_of_components_is_three_shuffles_without_a_join(spark, monkeypatch):
+    """The driver keeps what it plans; rounds of nine shuffles and four joins filled its memory."""
+    plans = plans_of(monkeypatch)
+    minhash.components(spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long"))
+    rounds = [p for name, p in plans if name == "stars"]
+    assert len(rounds) > 2
+    assert all("Join" not in p and p.count("Exchange") <= 3 for p in rounds)
+
+
+def test_stars_are_found_to_be_components_in_one_round(spark, monkeypatch):
+    plans = plans_of(monkeypatch)
+    edges = [(0, k) for k in range(1, 9)] + [(20, 10), (30, 10), (10, 10)]
+    got = minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {(r.c, r.component) for r in got} == {(k, 0) for k in range(9)} | {(k, 10) for k in (10, 20, 30)}
+    assert len(got) == 12 and len(plans) == 2
+
+
+def test_no_step_plans_what_lies_before_it_again(spark, monkeypatch):
+    plans = plans_of(monkeypatch)
+    minhash.near_duplicates(documents(spark, chains(3)), 3, 85)
+    assert max(p.count("Exchange") for _, p in plans) <= 16
