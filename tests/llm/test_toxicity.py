@@ -122,3 +122,63 @@ def test_the_driver_does_not_train(spark, monkeypatch):
     rows = sorted(((made(k, k % 2), k) for k in range(80)), key=lambda r: (toxicity.zlib.crc32(str(r[1]).encode()), r[0]))
     here = toxicity.fit_rows([t for t, _ in rows], [None] * 80, np.array([k % 2 for _, k in rows], np.float64))
     np.testing.assert_allclose(model.out, here.out, rtol=1e-4)
+
+
+def test_every_labelled_row_and_word_is_learnt(spark, monkeypatch):
+    """No text is left out beyond a number of rows, nor cut; rows that come twice count once."""
+    rows = [(k, made(k % 300, k % 2)) for k in range(3200)] + [(3200, words(7, 30_000))]
+    docs = spark.createDataFrame([(*r, None) for r in rows + rows[:50]], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(3201)] * 2, "doc_id long, toxic int")
+    given = []
+    monkeypatch.setattr(toxicity, "fit_blocks", lambda blocks: given.extend(blocks.collect()))
+    toxicity.fit(docs, labels, rows=1000)
+    sizes = np.concatenate([np.frombuffer(r.sizes, np.int64) for r in given])
+    assert len({r.block for r in given}) == 7 and sum(r.n for r in given) == len(sizes) == 3201
+    assert sum(r.n_toxic for r in given) == 1600
+    assert sizes.sum() == sum(len(r.words) // 4 for r in given) == 3200 * 60 + 30_000
+
+
+def test_blocks_learn_together(spark, monkeypatch):
+    """Many blocks give a model like that of one, and the same one however they are dealt over tasks."""
+    rows = [(k, made(k, k % 2)) for k in range(900)]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(900)], "doc_id long, toxic int")
+    found, real = [], toxicity.fit_blocks
+    monkeypatch.setattr(toxicity, "fit_blocks", lambda blocks: found.append(blocks) or real(blocks))
+    model = toxicity.fit(docs, labels, rows=250)
+    assert found[0].count() == 4
+    score = toxicity.scores(model, [made(2000 + k, k % 2) for k in range(200)], toxicity.Hasher())
+    assert np.mean((score >= toxicity.CUT) == (np.arange(200) % 2 == 1)) > 0.95
+    other = real(found[0].repartition(3))
+    for name, value in vars(model).items():
+        for a, b in zip(value if isinstance(value, list) else [value], vars(other)[name] if isinstance(value, list) else [vars(other)[name]], strict=True):
+            np.testing.assert_array_equal(a, b)
+
+
+def test_long_texts_train_by_pieces(model):
+    coded = [np.arange(n) % 40 for n in (0, 1, 7, 300)]
+    parts = np.random.default_rng(0).integers(0, toxicity.ROWS, (40, toxicity.PARTS))
+    laid, begin, end = toxicity._laid_out(np.concatenate(coded), np.array([len(c) for c in coded]))
+    whole = toxicity._best_places(model, laid, begin, end, parts)
+    for piece in (1, 2, 5, 100):
+        for a, b in zip(whole, toxicity._best_places(model, laid, begin, end, parts, piece), strict=True):
+            np.testing.assert_allclose(a, b, rtol=1e-4)
+    p, _ = toxicity.judged(model, coded, parts)
+    np.testing.assert_allclose(toxicity.judged(model, coded, parts, most=3)[0], p, rtol=1e-5)
+
+
+def test_steps_of_scores_give_the_threshold():
+    rng = np.random.default_rng(3)
+    p = np.concatenate([rng.beta(1, 8, 400), rng.beta(6, 2, 60)])
+    y = np.repeat([0.0, 1.0], [400, 60])
+    step = np.floor(toxicity.logit(p) * toxicity.STEP).astype(int)
+    steps = toxicity.pd.DataFrame({"step": step, "n": 1, "n_toxic": y.astype(int), "low": p, "high": p})
+    assert toxicity.step_threshold(steps) == pytest.approx(toxicity.best_threshold(p, y), abs=2e-3)
+
+
+def test_likely_rows_hold_all_that_have_a_key(spark):
+    rows = spark.range(40_000).selectExpr("string(id) AS key", "id AS v")
+    others = spark.range(0, 40_000, 7).selectExpr("string(id) AS key")
+    found = {int(r.key) for r in toxicity.likely(rows, others, 5715).collect()}
+    assert set(range(0, 40_000, 7)) <= found and len(found) < 0.3 * 40_000
+    assert toxicity.likely(rows, others.limit(0), 0).count() == 0
